@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from . import exact, mixing, packing, quality, simhash
+from . import exact, mixing, packing, quality, rollups, secrets, simhash, substring, toxicity, winnow
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
     "op2_pack": packing.op2_pack,
+    "op3_toxicity": toxicity.op3_toxicity,
+    "op4_substring_dedup": substring.op4_substring_dedup,
+    "op5_token_rollup": rollups.op5_token_rollup,
     "op6_quality": quality.op6_quality,
     "op7_exact_dedup": exact.op7_exact_dedup,
+    "op8_winnow": winnow.op8_winnow,
     "op9_simhash": simhash.op9_simhash,
+    "op10_secrets": secrets.op10_secrets,
 }
 
 ORACLES = {
