@@ -2,7 +2,7 @@
 
 Words compare by the characters that they share in order, gaps allowed: each run of
 three characters within SPAN counts DECAY for every character skipped, so letters
-pulled apart, inserted signs and foreign endings keep most of the likeness. The
+pulled apart by others and foreign endings keep most of the likeness; signs are left out. The
 kernel of two sentences sums the sharpened likeness of their words. Landmarks are
 words of the training sample; Nyström features are the likenesses to them, made
 orthogonal by the inverse root of the landmarks' own kernel matrix.
@@ -58,7 +58,7 @@ SIGNS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "
 
 class _Letters(dict):
     """Code points to one-byte letter codes: a to z as 1 to 26, other letters as 27 to 31,
-    and 0 for what is no letter and only widens gaps."""
+    and 0 for what is no letter."""
 
     def __missing__(self, point: int) -> int:
         c = SIGNS.get(chr(point), chr(point))
@@ -74,8 +74,8 @@ _letters = _Letters()
 
 
 def spelled(word: str) -> str:
-    """A word as its letter codes, from its first letter to its last."""
-    return word.lower().translate(_letters).strip("\0")
+    """A word as its letter codes; what is no letter, and no sign for one, is left out."""
+    return word.lower().translate(_letters).replace("\0", "")
 
 
 def pieces_of(spellings: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -188,7 +188,8 @@ def _svm(z: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
     """Weights and bias of a linear machine with squared hinge loss, by Newton steps on its active set."""
     # sentences without any likeness are one row a label, of their joint weight
     plain = ~z.any(axis=1)
-    joint = [(label, weight[plain & (y == label)].sum()) for label in (-1.0, 1.0)]
+    # and what is like no landmark, an empty text for one, counts as clean
+    joint = [(label, weight[plain & (y == label)].sum() + (y < 0).sum() * (label < 0)) for label in (-1.0, 1.0)]
     joint = [(label, total) for label, total in joint if total > 0]
     x = np.column_stack([np.vstack([z[~plain], np.zeros((len(joint), z.shape[1]))]), np.ones((~plain).sum() + len(joint))])
     y = np.append(y[~plain], [label for label, _ in joint])

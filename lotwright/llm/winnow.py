@@ -121,8 +121,8 @@ def fingerprint_pairs(docs: DataFrame) -> DataFrame:
     size = chosen.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)), F.count("*")).first()
     ranges = max(1, min(-(-size[0] // RANGE_POINTS), size[1]))
     shares = [i / ranges for i in range(1, ranges)]
-    bounds = chosen.select(F.percentile_approx(place, F.array(*map(F.lit, shares)), BOUND_ACCURACY * max(1, ranges // 100)) if shares else F.array().cast("array<long>")).first()[0]
-    edges = np.unique(np.array(bounds or [], np.int64))
+    bounds = chosen.select(F.percentile_approx(place, F.array(*map(F.lit, shares)), BOUND_ACCURACY * max(1, ranges // 100))).first()[0] if shares else []
+    edges = np.unique(np.array(bounds, np.int64))
 
     @F.pandas_udf("long")
     def range_of(ids: pd.Series) -> pd.Series:
