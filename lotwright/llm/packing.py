@@ -18,8 +18,10 @@ other columns are ignored.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
+from itertools import accumulate, chain, pairwise
 
 import numpy as np
 import pandas as pd
@@ -34,37 +36,93 @@ VOCABULARY = "word_bpe_49k.json"
 PART_ROWS = 20_000
 ROUNDS = 4
 #: A worker's cache of word ids is emptied beyond this many words, and texts are taken in slices of this many bytes.
-CACHE_WORDS = 300_000
-SLICE_BYTES = 1_000_000
+CACHE_WORDS = 800_000
+SLICE_BYTES = 2_000_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PLACED = f"{PIECES}, sequence_id long, offset long, settled boolean"
 
 
 class WordIds:
-    """Token ids of a text, word by word.
+    """Token ids of a text, word by word, as little-endian 32-bit numbers.
 
     White space parts tokens and is dropped in this vocabulary, so a text's ids are
-    those of its words one after the other. Words repeat, so their ids are kept, as
-    little-endian 32-bit numbers.
+    those of its words one after the other. Words repeat, so their ids are kept. New
+    words of plain letters share their parts, runs of letters, digits or signs, and
+    new parts are encoded many at a time, which ids that end a part divide again; all
+    other words are encoded as they are. Case is dropped, from ASCII texts at once.
     """
 
+    #: Words of these characters are parted here just as the tokenizer does.
+    PLAIN = re.compile(r"[!-~ß-öø-ÿÀ-ÖØ-Þ]+")
+    PART = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
+
     def __init__(self, vocabulary: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
         self.tokenizer.encode_special_tokens = True
+        # the same merges for parts that are in lower case and parted already
+        self.merges = Tokenizer.from_file(vocabulary)
+        self.merges.encode_special_tokens = True
+        self.merges.normalizer = normalizers.Sequence([])
+        self.merges.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        for token, number in self.tokenizer.get_vocab().items():
+            self.ends[number] = token.endswith("</w>")
         self.known: dict[bytes, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+
+    def _encoded(self, texts: list[str]) -> list[bytes]:
+        return [np.asarray(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn_parts(self, new: list[str]) -> None:
+        runs = [" ".join(new[i : i + 200]) for i in range(0, len(new), 200)]
+        ids = np.concatenate([np.asarray(x.ids, "<u4") for x in self.merges.encode_batch_fast(runs, add_special_tokens=False)])
+        ends = 4 * (np.flatnonzero(self.ends[ids]) + 1)
+        if len(ends) == len(new):
+            raw = ids.tobytes()
+            self.parts.update(zip(new, (raw[s:e] for s, e in pairwise([0, *ends.tolist()])), strict=True))
+        else:
+            self.parts.update(zip(new, self._encoded(new), strict=True))
+
+    def _learn(self, new: list[bytes]) -> None:
+        # letters alone are one part; all else is parted by the pattern
+        alone = [w for w in new if w.isalpha()]
+        lower = [w.lower().decode() for w in alone]
+        several, parted, other = [], [], []
+        for word in new:
+            if word.isalpha():
+                continue
+            text = word.decode()
+            if self.PLAIN.fullmatch(text):
+                several.append(word)
+                parted.append(self.PART.findall(text.lower()))
+            else:
+                other.append(word)
+        if other:
+            self.known.update(zip(other, self._encoded([w.decode() for w in other]), strict=True))
+        if fresh := list(set(lower).union(*parted).difference(self.parts)):
+            self._learn_parts(fresh)
+        get = self.parts.__getitem__
+        self.known.update(zip(alone, map(get, lower), strict=True))
+        self.known.update(zip(several, (b"".join(map(get, p)) for p in parted), strict=True))
 
     def of(self, texts: list[str]) -> Iterator[bytes]:
-        words = [t.encode().split() for t in texts]
-        if len(self.known) > CACHE_WORDS:
-            self.known.clear()
-        new = list(set().union(*words).difference(self.known))
-        for word, found in zip(new, self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False), strict=True):
-            self.known[word] = np.asarray(found.ids, "<u4").tobytes()
-        return (b"".join(map(self.known.__getitem__, w)) for w in words)
+        words = [(t.encode().lower() if t.isascii() else t.encode()).split() for t in texts]
+        flat = list(chain.from_iterable(words))
+        if len(self.known) > CACHE_WORDS:  # what shows up again now is likely to do so again
+            self.known = {w: self.known[w] for w in set(flat).intersection(self.known)}
+        if len(self.parts) > CACHE_WORDS:
+            self.parts.clear()
+        ids = list(map(self.known.get, flat))
+        if unknown := [i for i, x in enumerate(ids) if x is None]:
+            self._learn(list({flat[i] for i in unknown}))
+            for i in unknown:
+                ids[i] = self.known[flat[i]]
+        ends = accumulate(map(len, words))
+        return (b"".join(ids[end - len(w) : end]) for w, end in zip(words, ends, strict=True))
 
 
 _word_ids: dict[str, WordIds] = {}
