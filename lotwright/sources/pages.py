@@ -1,0 +1,128 @@
+"""Reading web pages and print forms.
+
+Flat parts come by pattern, in generated code. A print form's table of positions
+needs its cells in order and goes through a small parser, batch by batch.
+"""
+
+from __future__ import annotations
+
+import re
+from html.parser import HTMLParser
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..functions.identifiers import every
+from ..functions.normalise import money
+
+POSITION = T.StructType([T.StructField(c, T.DoubleType() if c in ("quantity", "price", "total") else T.StringType()) for c in ("name", "code", "quantity", "unit", "price", "total")])
+
+# What heads a column of a print form, first match first.
+HEADINGS = (
+    ("name", r"наименование"), ("code", r"ктру|окпд"), ("quantity", r"количество|кол-во"), ("unit", r"единиц\w*\s+измер"),
+    ("price", r"цена"), ("total", r"сумма|стоимость"),
+)
+
+
+def page_parts(pages: DataFrame) -> DataFrame:
+    """page_id, title, heading and links of a page."""
+    return pages.select(
+        "page_id", F.regexp_extract("html", "(?s)<title>(.*?)</title>", 1).alias("title"),
+        F.regexp_extract("html", "(?s)<h1[^>]*>(.*?)</h1>", 1).alias("heading"),
+        every(F.col("html"), '<a [^>]*href="([^"]*)"', 1).alias("links"),
+    )
+
+
+def plain_text(html: Column) -> Column:
+    """The text of a page, tags gone."""
+    bare = F.regexp_replace(F.regexp_replace(html, r"(?is)<(script|style)[^>]*>.*?</\1>", " "), r"(?s)<[^>]*>", " ")
+    return F.trim(F.regexp_replace(F.translate(bare, " ", " "), r"\s+", " "))
+
+
+def labelled(text: Column, label: str, span: int = 120) -> Column:
+    """Up to `span` characters after a label."""
+    return F.when(F.instr(text, label) > 0, F.trim(F.substring(F.substring_index(text, label, -1), 1, span)))
+
+
+def search_hits(html: Column) -> Column:
+    """Contract headers of a search page, as an array of structs; blocks without a number are left out."""
+    blocks = F.slice(F.split(html, "search-registry-entry-block"), 2, 10_000)
+    number = lambda b: F.regexp_extract(plain_text(b), r"№\s*(\d{19})", 1)
+    header = lambda b: F.struct(
+        number(b).alias("reestr_number"),
+        money(F.regexp_extract(plain_text(b), r"(\d[\d  ]*,\d{2})\s*(?:₽|руб)", 1)).alias("price"),
+        F.regexp_extract(plain_text(b), r"(\d{2}\.\d{2}\.\d{4})", 1).alias("concluded"),
+    )
+    return F.filter(F.transform(blocks, header), lambda h: h["reestr_number"] != "")
+
+
+class _Tables(HTMLParser):
+    """Rows of cell texts of every table."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.tables: list[list[list[str]]] = []
+        self.cell: list[str] | None = None
+
+    def handle_starttag(self, tag: str, attrs) -> None:
+        if tag == "table":
+            self.tables.append([])
+        elif tag == "tr" and self.tables:
+            self.tables[-1].append([])
+        elif tag in ("td", "th") and self.tables and self.tables[-1]:
+            self.cell = []
+
+    def handle_data(self, data: str) -> None:
+        if self.cell is not None:
+            self.cell.append(data)
+
+    def handle_endtag(self, tag: str) -> None:
+        if tag in ("td", "th") and self.cell is not None:
+            self.tables[-1][-1].append(" ".join(" ".join(self.cell).split()))
+            self.cell = None
+
+
+def _number(text: str | None) -> float | None:
+    found = re.search(r"\d[\d  ]*(?:[.,]\d+)?", text or "")
+    return float(re.sub(r"[  ]", "", found[0]).replace(",", ".")) if found else None
+
+
+def _columns(cells: list[str]) -> dict[str, int]:
+    out: dict[str, int] = {}
+    for i, cell in enumerate(cells[:14]):
+        for field, pattern in HEADINGS:
+            if field not in out and re.search(pattern, cell, re.I):
+                out[field] = i
+                break
+    return out
+
+
+def form_positions(html: str) -> list[dict]:
+    """Positions of the table whose heading names the most columns, a name and a price among them."""
+    reader = _Tables()
+    reader.feed(html or "")
+    best, rows = {}, []
+    for table in reader.tables:
+        for i, cells in enumerate(table):
+            found = _columns(cells)
+            if {"name", "price"} <= found.keys() and len(found) > len(best):
+                best, rows = found, table[i + 1 :]
+    out = []
+    for cells in rows:
+        # a position starts with its number; a row of column numbers has nothing but numbers
+        if len(cells) < 5 or not re.fullmatch(r"\d{1,3}\.?", cells[0]) or all(re.fullmatch(r"\d{0,2}", c) for c in cells):
+            continue
+        at = lambda f: cells[best[f]] if f in best and best[f] < len(cells) else None  # noqa: B023, E731
+        quantity, price, total = (_number(at(f)) for f in ("quantity", "price", "total"))
+        unit = at("unit") or re.sub(r"^[\d .,]+", "", at("quantity") or "").strip() or None
+        if total is None and quantity is not None and price is not None:
+            total = round(quantity * price, 2)
+        out.append({"name": at("name"), "code": at("code"), "quantity": quantity, "unit": unit, "price": price, "total": total})
+    return out
+
+
+@F.pandas_udf(T.ArrayType(POSITION))
+def print_form(pages: pd.Series) -> pd.Series:
+    return pd.Series([form_positions(p) for p in pages])
