@@ -118,12 +118,26 @@ def feature_table(codes: np.ndarray) -> np.ndarray:
     return table / np.maximum(np.sqrt((table**2).sum(axis=0)), 1e-9)
 
 
+def _norms(found: list[tuple[np.ndarray, float]]) -> np.ndarray:
+    """Norms of rows, features that occur again added up first."""
+    features = np.concatenate([f for f, _ in found], axis=1)
+    weights = np.concatenate([np.full(f.shape[1], w, np.float32) for f, w in found])
+    order = np.argsort(features, axis=1)
+    features, weights = np.take_along_axis(features, order, axis=1), weights[order]
+    weights[features == 0] = 0
+    new = np.ones(features.shape, bool)
+    new[:, 1:] = features[:, 1:] != features[:, :-1]
+    starts = np.flatnonzero(new)
+    squares = np.add.reduceat(weights.ravel(), starts) ** 2
+    return np.sqrt(np.maximum(np.bincount(starts // features.shape[1], squares, len(features)), 1e-12))
+
+
 def likeness(codes: np.ndarray, table: np.ndarray) -> np.ndarray:
     """Sharpened likeness of each row to each landmark of `table`.
 
     Likeness below FLOOR counts as none. The largest entry of each feature over all
-    landmarks bounds every likeness of a row, and rows bounded below FLOOR, nearly all,
-    need no more work.
+    landmarks bounds every likeness of a row, as does a norm that leaves features that
+    occur again apart; rows bounded below FLOOR, nearly all, need no more work.
     """
     out = np.zeros((len(codes), table.shape[1]), np.float32)
     most = table.max(axis=1)
@@ -135,10 +149,11 @@ def likeness(codes: np.ndarray, table: np.ndarray) -> np.ndarray:
         norm = np.sqrt(square)
         some = bound >= FLOOR * norm
         if some.any():
+            found = list(_triples(codes[at[some]]))
             sums = np.zeros((int(some.sum()), table.shape[1]), np.float32)
-            for feature, weight in _triples(codes[at[some]]):
+            for feature, weight in found:
                 sums += weight * table[feature].sum(axis=1)
-            like = np.minimum(sums / norm[some, None], 1.0)
+            like = np.minimum(sums / _norms(found)[:, None], 1.0)
             out[at[some]] = np.where(like >= FLOOR, like, 0.0) ** SHARPEN
     return out
 

@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 
 from . import common
 
-GRAM = 25
-WINDOW = 100
+GRAM = 12
+WINDOW = 40
 #: Documents are dealt by id to ranges of about this many code points.
 RANGE_POINTS = 24_000_000
 #: Range bounds come from a sketch of the ids of this relative accuracy.
