@@ -3,8 +3,9 @@
 Words compare by the characters that they share in order, gaps allowed: each run of
 three characters within SPAN counts DECAY for every character skipped, so letters
 pulled apart by others and foreign endings keep most of the likeness; signs are left out. The
-kernel of two sentences sums the sharpened likeness of their words. Landmarks are
-words of the training sample; Nyström features are the likenesses to them, made
+kernel of two sentences sums the sharpened likeness of their distinct words. Landmarks
+are words of the training sample, those that favour toxic documents and clean ones
+that look like them; Nyström features are the likenesses to them, made
 orthogonal by the inverse root of the landmarks' own kernel matrix.
 
 Training is on labelled sentences. Labels are of documents, so the sentences of a
@@ -12,7 +13,8 @@ toxic document begin as toxic and, fit after fit, only those stay so that the mo
 takes for toxic, or the document's likeliest one (multiple-instance learning).
 
 As the kernel of sentences adds over words, so does the decision; a worker keeps the
-value of words it has met. A document's score is that of its likeliest sentence.
+value of words it has met. A document's score is that of its likeliest sentence,
+raised by the next two where they speak for toxic too.
 
 Defined cases: a null text is empty and gets a score; with labels of one kind only,
 or none, every score is a constant below one half; a document labelled twice is toxic
@@ -26,6 +28,7 @@ import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from heapq import nlargest
 
 import numpy as np
 import pandas as pd
@@ -35,10 +38,13 @@ from pyspark.sql import functions as F
 from . import common
 from .packing import slices
 
-#: At most so many labelled documents of each kind, those of the smallest hash, of at most TRAINING_POINTS code points.
-TRAINING_DOCS = 1500
+#: At most so many labelled documents, toxic and clean, those of the smallest hash, of at most TRAINING_POINTS code points.
+TOXIC_DOCS, CLEAN_DOCS = 1500, 3000
 TRAINING_POINTS = 20_000
-TOXIC_LANDMARKS, OTHER_LANDMARKS = 56, 8
+TOXIC_LANDMARKS, CLEAN_LANDMARKS = 72, 24
+#: A landmark is at least so many times likelier in toxic documents; one chosen lessens the need of its documents for others.
+LEAST_ODDS = 4.0
+FADE = 0.7
 SPAN = 9
 DECAY = 0.7
 SHARPEN = 4
@@ -180,7 +186,7 @@ class Model:
 
 
 def sentences(text: str) -> list[list[str]]:
-    """Words of each sentence; letters that stand alone in a row are also one word."""
+    """Distinct words of each sentence; letters that stand alone in a row are also one word."""
     out = []
     for sentence in SENTENCE.split(text):
         words = sentence.split()
@@ -195,7 +201,7 @@ def sentences(text: str) -> list[list[str]]:
                     if len(run) >= 4:
                         words.append("".join(run))
                     run = []
-        out.append(words)
+        out.append(list(dict.fromkeys(words)))
     return out
 
 
@@ -235,22 +241,56 @@ def _platt(decision: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 def choose_landmarks(docs: list[set[str]], toxic: np.ndarray) -> list[str]:
-    """Words that most favour toxic documents, then the commonest others."""
+    """Words that favour toxic documents, each chosen for those that hold few chosen so far; then clean words like them.
+
+    The clean ones are those that a likeness alone would mistake, such as the stem of
+    an insult that is a plain word by itself.
+    """
     inside, outside = Counter(), Counter()
     for words, t in zip(docs, toxic.tolist(), strict=True):
         (inside if t else outside).update(words)
     n1, n0 = max(int(toxic.sum()), 1), max(int((~toxic).sum()), 1)
-    share = {w: (c + 0.5) / (n1 + 1) for w, c in inside.items() if c >= 2}
-    gain = {w: np.sqrt(inside[w]) * np.log(s * (n0 + 1) / (outside[w] + 0.5)) for w, s in share.items()}
-    best = sorted((w for w in gain if len(spelled(w)) >= 3), key=lambda w: (-gain[w], w))[:TOXIC_LANDMARKS]
-    common_words = sorted((w for w in outside if len(spelled(w)) >= 4 and w not in set(best)), key=lambda w: (-outside[w], w))
-    return best + common_words[:OTHER_LANDMARKS]
+    odds = {w: (c + 0.5) / (n1 + 1) * (n0 + 1) / (outside[w] + 0.5) for w, c in inside.items() if c >= 2 and len(spelled(w)) >= 3}
+    holders: dict[str, list[int]] = {w: [] for w, r in odds.items() if r >= LEAST_ODDS}
+    for i in np.flatnonzero(toxic).tolist():
+        for w in docs[i]:
+            if w in holders:
+                holders[w].append(i)
+    need, best = np.ones(len(docs)), []
+    while holders and len(best) < TOXIC_LANDMARKS:
+        word = max(holders, key=lambda w: (np.sqrt(need[holders[w]].sum()) * np.log(odds[w]), w))
+        need[holders.pop(word)] *= FADE
+        best.append(word)
+    if not best:
+        return []
+    others = sorted(w for w, c in outside.items() if c >= 2 and odds.get(w, 0) < 1 and len(spelled(w)) >= 3)
+    codes, owner = pieces_of([spelled(w) for w in others])
+    like = np.zeros(len(others))
+    np.maximum.at(like, owner, likeness(codes, feature_table(_first_pieces(best))).max(axis=1, initial=0))
+    mistaken = sorted((i for i in range(len(others)) if like[i] > 0), key=lambda i: (-like[i] * np.sqrt(outside[others[i]]), others[i]))
+    return best + [others[i] for i in mistaken[:CLEAN_LANDMARKS]]
+
+
+def _first_pieces(words: list[str]) -> np.ndarray:
+    codes, owner = pieces_of([spelled(w) for w in words])
+    return codes[np.unique(owner, return_index=True)[1]]
 
 
 def bare(word: str) -> str:
     return word.lower().strip(".,;:!?\"'()[]|*%$&#")
 
 
+def document_value(sums: list[float]) -> float:
+    """The value of a document: that of its likeliest sentence, and half and a quarter of the next two, where they speak for toxic."""
+    first = nlargest(3, sums)
+    return first[0] + sum(max(v, 0.0) / 2**i for i, v in enumerate(first[1:], 1)) if first else 0.0
+
+
+def nothing_learned() -> Model:
+    """A constant score below one half."""
+    return Model(np.zeros((ALPHABET**3, 1), np.float32), np.zeros(1), 0.0, 1.0, -3.0)
+
+
 def fit(texts: list[str], labels: np.ndarray) -> Model:
     """Fit on texts and their labels 0 and 1."""
     order = {}
@@ -259,11 +299,12 @@ def fit(texts: list[str], labels: np.ndarray) -> Model:
     keep = np.array(sorted(order.values()), np.int64)
     texts, toxic = [texts[i] for i in keep.tolist()], labels[keep].astype(bool) if len(keep) else np.zeros(0, bool)
     if not len(toxic) or toxic.all() or not toxic.any():
-        return Model(np.zeros((ALPHABET**3, 1), np.float32), np.zeros(1), 0.0, 1.0, -3.0)
+        return nothing_learned()
     split = [sentences(t) for t in texts]
     landmarks = choose_landmarks([{bare(w) for s in doc for w in s} for doc in split], toxic)
-    codes, owner = pieces_of([spelled(w) for w in landmarks])
-    codes = codes[np.unique(owner, return_index=True)[1]]
+    if not landmarks:
+        return nothing_learned()
+    codes = _first_pieces(landmarks)
     table = feature_table(codes)
     values, vectors = np.linalg.eigh(likeness(codes, table).astype(float) + RIDGE * np.eye(len(codes)))
     root = vectors @ np.diag(1 / np.sqrt(np.maximum(values, RIDGE))) @ vectors.T
@@ -293,8 +334,10 @@ def fit(texts: list[str], labels: np.ndarray) -> Model:
         best = np.full(len(split), -np.inf)
         np.maximum.at(best, doc_of, decision)
         y = np.where(toxic[doc_of] & ((decision > 0) | (decision == best[doc_of])), 1.0, -1.0)
-    best = np.where(np.isfinite(best), best, w[-1])
-    slope, shift = _platt(best, toxic.astype(float))
+    sums = (decision - w[-1]).tolist()
+    ends = np.cumsum([len(doc) for doc in split]).tolist()
+    worst = np.array([document_value(sums[e - len(doc) : e]) for e, doc in zip(ends, split, strict=True)])
+    slope, shift = _platt(worst + w[-1], toxic.astype(float))
     return Model(table, root @ w[:-1], float(w[-1]), slope, shift)
 
 
@@ -302,10 +345,10 @@ def training_texts(docs: DataFrame, labels: DataFrame) -> tuple[list[str], np.nd
     """The bounded training sample, none of it held out."""
     usable = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~common.held_out(F.col("doc_id")))
     one = usable.groupBy("doc_id").agg(F.max("toxic").alias("y"))
-    kind = lambda v: one.filter(F.col("y") == v).orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAINING_DOCS)
-    sample = kind(1).unionByName(kind(0))  # bounded, so it may be broadcast
+    kind = lambda v, most: one.filter(F.col("y") == v).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    sample = kind(1, TOXIC_DOCS).unionByName(kind(0, CLEAN_DOCS))  # bounded, so it may be broadcast
     text = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).filter(F.length("text") <= TRAINING_POINTS)
-    got = text.join(F.broadcast(sample), "doc_id").select("doc_id", "text", "y").limit(2 * TRAINING_DOCS).collect()
+    got = text.join(F.broadcast(sample), "doc_id").select("doc_id", "text", "y").limit(TOXIC_DOCS + CLEAN_DOCS).collect()
     got = sorted(got)
     return [r["text"] for r in got], np.array([r["y"] for r in got])
 
@@ -332,7 +375,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
             new = list({w for doc in split for s in doc for w in s}.difference(known))
             known.update(zip(new, m.word_values(new).tolist() if new else (), strict=True))
             get = known.__getitem__
-            out += [max((sum(map(get, s)) for s in doc), default=0.0) for doc in split]
+            out += [document_value([sum(map(get, s)) for s in doc]) for doc in split]
         return pd.Series(m.probability(np.array(out, float) + m.bias))
 
     got = docs.select("doc_id", score(F.coalesce("text", F.lit(""))).alias("score"))
