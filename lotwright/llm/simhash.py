@@ -43,6 +43,7 @@ SEED = 42
 DISTANCE = 2
 PIVOTS = 16
 RUN_ROWS = 4096
+SLICE = 1 << 16
 
 
 def fingerprint(text: str, size: int = SHINGLE) -> int:
@@ -54,7 +55,9 @@ def fingerprint(text: str, size: int = SHINGLE) -> int:
         return 0
     grams = map(b" ".join, zip(*(words[i:] for i in range(size)))) if len(words) >= size else [b" ".join(words)]
     hashes = np.fromiter(map(xxhash.xxh64_intdigest, grams, repeat(SEED)), np.uint64)
-    ones = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint32)
+    ones = np.zeros(BITS, np.int64)
+    for at in range(0, len(hashes), SLICE):  # a hash takes 64 bytes here, so a very long text is summed slice by slice
+        ones += np.unpackbits(hashes[at : at + SLICE].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint32)
     return int.from_bytes(np.packbits(2 * ones > len(hashes), bitorder="little").tobytes(), "little")
 
 

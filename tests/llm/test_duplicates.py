@@ -82,6 +82,12 @@ def test_simhash_matches_brute_force(unique):
     assert {r.doc_id: (r.fp % (1 << 64), r.component_id) for r in got} == {i: (p, want[i]) for i, p in prints.items()}
 
 
+def test_fingerprint_of_a_long_text_is_summed_in_slices(monkeypatch):
+    text = " ".join(f"w{i % 97}x{i % 13}" for i in range(500))
+    monkeypatch.setattr(simhash, "SLICE", 7)
+    assert simhash.fingerprint(text) == plain_fingerprint(text)
+
+
 def test_fingerprints_near_each_other_link_in_small_and_refined_runs(spark, monkeypatch):
     rng = np.random.default_rng(1)
     centre = int(rng.integers(1 << 62))
