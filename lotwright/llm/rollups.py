@@ -2,10 +2,11 @@
 
 A change is a signed row: +1 for a document that comes, -1 for one that goes, both
 for one whose count is revised. A batch of changes is summed by source, language and
-tokenizer version and committed as one folder, named by the batch, of a ledger in
-storage. Totals are sums over the ledger, so batches may come in any order. A batch
-that is committed again replaces its own folder and counts once; a batch cut short
-leaves no rows. No text or count is read again to keep totals current.
+tokenizer version and written as one folder, named by the batch, of a ledger in
+storage; a row in the ledger's list of commits then makes it count. Totals are sums
+over the committed batches, which may come in any order. A batch that is committed
+again changes nothing; a batch cut short does not count, and its next try replaces
+what it left. No text or count is read again to keep totals current.
 
 Defined cases: a null text has no tokens but is a document; null sources and
 languages are keys of their own; equal rows count each; groups that come to no
@@ -17,7 +18,7 @@ from __future__ import annotations
 
 import base64
 import uuid
-
+from urllib.parse import quote
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -27,7 +28,8 @@ from . import common
 from .packing import slices
 
 KEY = ["source", "lang", "tokenizer"]
-DELTA = "source string, lang string, tokenizer string, documents long, tokens long"
+DELTA = "source string, lang string, tokenizer string, documents long, tokens long, batch string"
+COMMIT = "batch string"
 RANKS = "byte_bpe_50k.tiktoken"
 VERSIONS = {"words": "words-1", "bpe": "byte-bpe-50k-1"}
 
@@ -84,20 +86,35 @@ def revisions(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 class Rollup:
-    """A ledger of batches in a folder that all executors share."""
+    """A ledger of batches in a folder that all executors share.
+
+    `deltas` has a folder of summed changes for each batch, `commits` a row for each
+    batch that is whole. A batch counts from the moment that its row is there, so one
+    cut short, and then tried again, counts never or once.
+    """
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
+        for name, schema in (("commits", COMMIT), ("deltas/none", DELTA)):  # so that a ledger without batches can be read
+            spark.createDataFrame([], schema).write.mode("append").parquet(f"{self.folder}/{name}")
+
+    def committed(self) -> DataFrame:
+        """The names of the batches that count."""
+        return self.spark.read.schema(COMMIT).parquet(f"{self.folder}/commits")
 
     def commit(self, batch: str, changes: DataFrame) -> None:
-        """Commit a batch; to commit the same batch again changes nothing."""
+        """Commit a batch; to commit a batch again changes nothing."""
+        if not self.committed().filter(F.col("batch") == batch).isEmpty():
+            return
         summed = changes.groupBy(*KEY).agg(F.sum("documents").alias("documents"), F.sum("tokens").alias("tokens"))
-        summed.write.mode("overwrite").parquet(f"{self.folder}/batch={batch}")
+        summed.withColumn("batch", F.lit(batch)).write.mode("overwrite").parquet(f"{self.folder}/deltas/{quote(batch, safe='')}")
+        self.spark.range(1).select(F.lit(batch).alias("batch")).write.mode("append").parquet(f"{self.folder}/commits")
 
     def totals(self) -> DataFrame:
         """source, lang, tokenizer, documents and tokens over all committed batches."""
-        ledger = self.spark.read.schema(DELTA).option("recursiveFileLookup", "true").parquet(self.folder)
-        summed = ledger.groupBy(*KEY).agg(F.sum("documents").alias("documents"), F.sum("tokens").alias("tokens"))
+        ledger = self.spark.read.schema(DELTA).option("recursiveFileLookup", "true").parquet(f"{self.folder}/deltas")
+        counted = ledger.join(self.committed(), "batch", "left_semi")
+        summed = counted.groupBy(*KEY).agg(F.sum("documents").alias("documents"), F.sum("tokens").alias("tokens"))
         return summed.filter((F.col("documents") != 0) | (F.col("tokens") != 0))
 
 

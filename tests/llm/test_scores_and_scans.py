@@ -157,8 +157,22 @@ def test_rollup_follows_inserts_deletes_and_revisions(spark, docs, rows, tmp_pat
     assert sum(v for k, v in got.items() if k[3] == "tokens") == sum(v for k, v in plain(left).items() if k[3] == "tokens") + old.count()
 
 
+def test_rollup_leaves_out_a_batch_cut_short_and_counts_its_next_try_once(spark, tmp_path):
+    rows = lambda n: spark.createDataFrame([("a", "en", "v", 1, n)], "source string, lang string, tokenizer string, documents long, tokens long")
+    ledger = rollups.Rollup(spark, f"file://{tmp_path}/ledger")
+    ledger.commit("x/1", rows(5))
+    rows(7).selectExpr("*", "'2' AS batch").write.parquet(f"file://{tmp_path}/ledger/deltas/2")  # written, not yet committed
+    assert [tuple(r) for r in ledger.totals().collect()] == [("a", "en", "v", 1, 5)]
+    again = rollups.Rollup(spark, f"file://{tmp_path}/ledger")
+    for _ in range(2):
+        again.commit("2", rows(8))
+        again.commit("x/1", rows(5))
+    assert [tuple(r) for r in again.totals().collect()] == [("a", "en", "v", 2, 13)]
+
+
 def test_rollup_of_nothing(spark, nothing, tmp_path):
     ledger = rollups.Rollup(spark, f"file://{tmp_path}/empty")
+    assert ledger.totals().count() == 0
     ledger.commit("1", rollups.inserts(rollups.token_counts(nothing)))
     assert ledger.totals().count() == 0
 
