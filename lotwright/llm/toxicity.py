@@ -29,6 +29,7 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from heapq import nlargest
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -54,6 +55,7 @@ ALPHABET = 32
 PIECE = 24
 CACHE_WORDS = 400_000
 FITS = 4
+WORDS_AT_ONCE = 20_000
 RIDGE = 1e-3
 SLACK = 1.0
 
@@ -205,16 +207,18 @@ def sentences(text: str) -> list[list[str]]:
     return out
 
 
-def _svm(z: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """Weights and bias of a linear machine with squared hinge loss, by Newton steps on its active set."""
-    # sentences without any likeness are one row a label, of their joint weight
-    plain = ~z.any(axis=1)
+def _svm(z: np.ndarray, like: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Weights and bias of a linear machine with squared hinge loss, by Newton steps on its active set.
+
+    `z` has the rows of the sentences marked in `like`; those of all others are zero.
+    """
+    # sentences without any likeness are one row a label, of their joint weight;
     # and what is like no landmark, an empty text for one, counts as clean
-    joint = [(label, weight[plain & (y == label)].sum() + (y < 0).sum() * (label < 0)) for label in (-1.0, 1.0)]
+    joint = [(label, weight[~like & (y == label)].sum() + (y < 0).sum() * (label < 0)) for label in (-1.0, 1.0)]
     joint = [(label, total) for label, total in joint if total > 0]
-    x = np.column_stack([np.vstack([z[~plain], np.zeros((len(joint), z.shape[1]))]), np.ones((~plain).sum() + len(joint))])
-    y = np.append(y[~plain], [label for label, _ in joint])
-    weight = np.append(weight[~plain], [total for _, total in joint])
+    x = np.column_stack([np.vstack([z, np.zeros((len(joint), z.shape[1]))]), np.ones(len(z) + len(joint))])
+    y = np.append(y[like], [label for label, _ in joint])
+    weight = np.append(weight[like], [total for _, total in joint])
     w = np.zeros(x.shape[1])
     ridge = np.eye(x.shape[1])
     ridge[-1, -1] = 1e-6
@@ -308,29 +312,41 @@ def fit(texts: list[str], labels: np.ndarray) -> Model:
     table = feature_table(codes)
     values, vectors = np.linalg.eigh(likeness(codes, table).astype(float) + RIDGE * np.eye(len(codes)))
     root = vectors @ np.diag(1 / np.sqrt(np.maximum(values, RIDGE))) @ vectors.T
-    spelling = {w: spelled(w) for w in {w for doc in split for s in doc for w in s}}
-    known = {w: i for i, w in enumerate(sorted(set(spelling.values())))}
-    pieces_, owner = pieces_of(list(known))
-    by_word = np.zeros((len(known), len(codes)), np.float32)
-    np.maximum.at(by_word, owner, likeness(pieces_, table))
-    flat = [s for doc in split for s in doc]
+    # likenesses of the few words that have any, by number; number 0 is for all others
+    number, rows = dict.fromkeys({w for doc in split for s in doc for w in s}, 0), [np.zeros((1, len(codes)), np.float32)]
+    for at in range(0, len(number), WORDS_AT_ONCE):
+        words = list(islice(number, at, at + WORDS_AT_ONCE))
+        pieces, owner = pieces_of([spelled(w) for w in words])
+        by_word = np.zeros((len(words), len(codes)), np.float32)
+        np.maximum.at(by_word, owner, likeness(pieces, table))
+        for i in np.flatnonzero(by_word.any(axis=1)).tolist():
+            number[words[i]] = len(rows)
+            rows.append(by_word[i : i + 1])
+    by_word = np.vstack(rows)
+    flat = [[k for w in s if (k := number[w])] for doc in split for s in doc]
     doc_of = np.repeat(np.arange(len(split)), [len(doc) for doc in split])
-    features = np.vstack([by_word[[known[spelling[w]] for w in s]].sum(axis=0) for s in flat]) @ root
+    like = np.array([bool(s) for s in flat], bool)
+    features = np.vstack([np.zeros((0, len(codes))), *[by_word[s].sum(axis=0)[None] for s in flat if s]]) @ root
+
+    def decided(w: np.ndarray) -> np.ndarray:
+        out = np.full(len(flat), w[-1])
+        out[like] += features @ w[:-1]
+        return out
+
     y = np.where(toxic[doc_of], 1.0, -1.0)
     for _ in range(FITS):
         balance = np.where(y > 0, len(y) / (2 * max((y > 0).sum(), 1)), len(y) / (2 * max((y < 0).sum(), 1)))
-        w = _svm(features, y, np.sqrt(balance / balance.min()))
-        decision = features @ w[:-1] + w[-1]
+        w = _svm(features, like, y, np.sqrt(balance / balance.min()))
+        decision = decided(w)
         best = np.full(len(split), -np.inf)
         np.maximum.at(best, doc_of, decision)
         stays = toxic[doc_of] & ((decision > 0) | (decision == best[doc_of]))
-        y = np.where(stays, 1.0, -1.0)
         # sentences that fell out of a toxic document say nothing either way
         used = stays | ~toxic[doc_of]
-        features_used, y_used = features[used], y[used]
-        weight = np.where(y_used > 0, np.sqrt((y_used < 0).sum() / max((y_used > 0).sum(), 1)), 1.0)
-        w = _svm(features_used, y_used, weight)
-        decision = features @ w[:-1] + w[-1]
+        y = np.where(stays, 1.0, -1.0)[used]
+        weight = np.where(y > 0, np.sqrt((y < 0).sum() / max((y > 0).sum(), 1)), 1.0)
+        w = _svm(features[used[like]], like[used], y, weight)
+        decision = decided(w)
         best = np.full(len(split), -np.inf)
         np.maximum.at(best, doc_of, decision)
         y = np.where(toxic[doc_of] & ((decision > 0) | (decision == best[doc_of])), 1.0, -1.0)
