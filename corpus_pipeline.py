@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lotwright.llm import common, exact, mixing, packing, quality, simhash
+from lotwright.llm import common, exact, mixing, near, packing, quality
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,7 +24,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies, that with the smallest doc_id."""
-    return simhash.survivors(docs)
+    return near.survivors(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,7 +45,7 @@ STAGES = [
     ("pack", pack),
 ]
 
-#: A trained classifier and a tokenizer have no SQL form; the tests hold the rows against a plain version.
+#: A trained classifier and a tokenizer have no SQL form; the tests hold the near-dedup stage against all pairs.
 ORACLE_SQL = None
 
 
