@@ -12,7 +12,8 @@ and an identifier and a secret link when one lies in the scope of the other.
   and the endpoint with them.
 
 The join is an equi-join on the document and a bucket of positions as long as a
-scope, so a bucket holds few parts however long a document is.
+scope; a part is in every bucket that its span meets, with its scope on one side, so
+that parts meet however long they are.
 
 Defined cases: a null text is empty and has no spans; repeated rows are scanned each;
 an empty table gives an empty result; other columns are ignored.
@@ -39,8 +40,8 @@ ASSIGN_LEAST = 12
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 ACCESS_LEAST = 18
 HEX = re.compile(r"[0-9a-f]{16,}")
-WEAK_ACCESS = re.compile(r"(?<![A-Za-z0-9])(?=[A-Z0-9]{0,30}[0-9])(?=[A-Z0-9]{0,30}[A-Z])[A-Z0-9]{16,32}(?![A-Za-z0-9])")
-WEAK_SECRET = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,80}={0,2}(?![A-Za-z0-9+/_=-])")
+WEAK_ACCESS = re.compile(r"(?<![A-Za-z0-9])(?=[A-Z]*[0-9])(?=[0-9]*[A-Z])[A-Z0-9]{16,}(?![A-Za-z0-9])")
+WEAK_SECRET = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_=-])")
 ENDPOINT = re.compile(r"""https?://[^\s"'<>]{4,}|(?<![\w.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?::[0-9]{2,5})?(?![\w.])""")
 #: A weak secret's own variety: it has all three classes.
 CLASSES = (re.compile("[a-z]"), re.compile("[A-Z]"), re.compile("[0-9]"))
@@ -93,15 +94,10 @@ def scan(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInPandas(run, FOUND)
 
 
-def _bucketed(parts: DataFrame, prefix: str, neighbours: bool) -> DataFrame:
-    """Parts with the bucket of their first code point, or with all buckets that their scope meets."""
-    start = F.floor(F.col("s") / SCOPE)
-    if neighbours:
-        bucket = F.explode(F.sequence(F.floor((F.col("s") - SCOPE) / SCOPE) - 1, F.floor((F.col("e") + SCOPE) / SCOPE)))
-    else:
-        bucket = start
-    named = parts.withColumn("bucket", bucket)
-    return named.select("row", "bucket", *[F.col(c).alias(f"{prefix}_{c}") for c in ("kind", "s", "e", "weak")])
+def _bucketed(parts: DataFrame, prefix: str, scope: int) -> DataFrame:
+    """Parts with all buckets that their span, `scope` wider on either side, meets."""
+    bucket = F.explode(F.sequence(F.floor((F.col("s") - scope) / SCOPE), F.floor((F.col("e") + scope) / SCOPE)))
+    return parts.withColumn("bucket", bucket).select("row", "bucket", *[F.col(c).alias(f"{prefix}_{c}") for c in ("kind", "s", "e", "weak")])
 
 
 def _close(a: str, b: str):
@@ -115,15 +111,15 @@ def linked(parts: DataFrame) -> DataFrame:
     ids = parts.filter(F.col("kind").isin("access", "weak_access"))
     secret = parts.filter(F.col("kind").isin("assign", "hex", "weak_secret"))
     ends = parts.filter(F.col("kind") == "endpoint")
-    pairs = _bucketed(ids, "i", True).join(_bucketed(secret, "k", False), ["row", "bucket"]).filter(_close("i", "k") & (F.col("i_weak") | F.col("k_weak")))
-    pairs = pairs.drop("bucket")
+    pairs = _bucketed(ids, "i", SCOPE).join(_bucketed(secret, "k", 0), ["row", "bucket"]).filter(_close("i", "k") & (F.col("i_weak") | F.col("k_weak")))
+    pairs = pairs.drop("bucket").distinct()
     one = pairs.filter(F.col("i_weak") != F.col("k_weak")).select(
         "row", F.when(F.col("i_weak"), F.struct(F.col("i_kind").alias("kind"), F.col("i_s").alias("s"), F.col("i_e").alias("e")))
         .otherwise(F.struct(F.col("k_kind").alias("kind"), F.col("k_s").alias("s"), F.col("k_e").alias("e"))).alias("part"),
     )
     two = pairs.filter(F.col("i_weak") & F.col("k_weak")).withColumn("s", F.least("i_s", "k_s")).withColumn("e", F.greatest("i_e", "k_e"))
-    reach = two.withColumn("bucket", F.explode(F.sequence(F.floor((F.col("s") - SCOPE) / SCOPE) - 3, F.floor((F.col("e") + SCOPE) / SCOPE))))
-    met = reach.join(_bucketed(ends, "n", False), ["row", "bucket"]).filter(_close("i", "n") | _close("k", "n"))
+    reach = two.withColumn("bucket", F.explode(F.sequence(F.floor((F.col("s") - SCOPE) / SCOPE), F.floor((F.col("e") + SCOPE) / SCOPE))))
+    met = reach.join(_bucketed(ends, "n", 0), ["row", "bucket"]).filter(_close("i", "n") | _close("k", "n"))
     three = met.select("row", F.explode(F.array(*[F.struct(F.col(f"{p}_kind").alias("kind"), F.col(f"{p}_s").alias("s"), F.col(f"{p}_e").alias("e")) for p in "ikn"])).alias("part"))
     return one.unionByName(three).distinct().select("row", "part.*")
 
