@@ -198,33 +198,60 @@ def test_winnow_matches_brute_force_and_its_guarantee(rows):
     # equal grams have equal hashes wherever they stand
     a = winnow.gram_hashes(np.arange(400, dtype=np.uint32))
     assert (winnow.gram_hashes(np.arange(150, 400, dtype=np.uint32)) == a[150:]).all()
+    # a text is winnowed slice by slice as it is at once
+    for text in texts[:12]:
+        assert [x.tolist() for x in winnow.winnow(text, slice_=17)] == [x.tolist() for x in winnow.winnow(text)]
     passage = texts[10][: winnow.GRAM + winnow.WINDOW - 1]
     for i, j in ((3, 5), (7, 12)):
         one, two = winnow.winnow(texts[i] + passage + texts[j])[0], winnow.winnow(texts[j] + passage)[0]
         assert set(one.tolist()) & set(two.tolist())
 
 
-def test_fingerprint_pairs_match_brute_force(unique, monkeypatch):
-    ordered = sorted(((r.doc_id, r.text or "") for r in unique.collect()))
-    want = {}
-    for k, (i, text) in enumerate(ordered):
-        following = ordered[(k + 1) % len(ordered)][1]
+def plain_fingerprint_rows(rows):
+    """What op8 says of (doc_id, text) rows, whose texts differ where ids are equal."""
+    order = sorted(((i is None, i or 0, t or "") for i, t in rows), key=lambda r: r[:2])
+    sets = lambda t: {h for _, h in plain_winnow(t)} if len(t) < 3000 else set(winnow.winnow(t)[0].tolist())
+    out = {}
+    for k, (z, i, text) in enumerate(order):
+        following = order[(k + 1) % len(order)][2]
         half = len(text) // 2
         new = text[: len(text) - half] + following[:half]
-        sets = [{h for _, h in plain_winnow(t)} if len(t) < 3000 else set(winnow.winnow(t)[0].tolist()) for t in (text, new, following)]
-        like = [1.0 if not sets[0] | s else len(sets[0] & s) / len(sets[0] | s) for s in sets[1:]]
-        want[i] = (len(text), hashlib.sha256(new.encode()).hexdigest(), *map(pytest.approx, like))
-    for points in (winnow.RANGE_POINTS, 5000):
+        own, other, beside = sets(text), sets(new), sets(following)
+        like = [1.0 if not own | s else len(own & s) / len(own | s) for s in (other, beside)]
+        out[None if z else i] = (len(text), hashlib.sha256(new.encode()).hexdigest(), *map(pytest.approx, like))
+    return out
+
+
+def test_fingerprint_pairs_match_brute_force(unique, monkeypatch):
+    want = plain_fingerprint_rows([(r.doc_id, r.text) for r in unique.collect()])
+    for points, rows in ((winnow.RANGE_POINTS, winnow.RANGE_ROWS), (5000, winnow.RANGE_ROWS), (winnow.RANGE_POINTS, 1)):
         monkeypatch.setattr(winnow, "RANGE_POINTS", points)
+        monkeypatch.setattr(winnow, "RANGE_ROWS", rows)
         got = winnow.fingerprint_pairs(unique).collect()
         assert {r.doc_id: (r.n_chars, r.edited_sha256, r.near_edited, r.near_next) for r in got} == want
 
 
-def test_winnow_edges(nothing, docs, unique):
+def test_winnow_edges(spark, nothing, docs, unique, monkeypatch):
     assert winnow.fingerprint_pairs(nothing).count() == 0
-    assert winnow.fingerprint_pairs(docs).count() == docs.count()
     alone = winnow.fingerprint_pairs(unique.filter("doc_id = 5")).collect()
     assert len(alone) == 1 and alone[0].near_next == 1.0
+    # rows of one id, or of none, make a ring like any others, in one range and in many
+    rows = [(7, f"text {k} {'of the same id ' * k}") for k in range(12)] + [(None, f"no id {k} {'at all ' * k}") for k in range(9)] + [(1, "first"), (7, "text 0 ")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for ranges in (100_000, 4, 1):
+        monkeypatch.setattr(winnow, "RANGE_ROWS", ranges)
+        got = winnow.fingerprint_pairs(frame).collect()
+        assert sorted((r.doc_id or 0, r.n_chars) for r in got) == sorted((i or 0, len(t)) for i, t in rows)
+        assert len({r.edited_sha256 for r in got}) >= 21
+    assert winnow.fingerprint_pairs(docs).count() == docs.count()
+
+
+def test_winnow_of_many_equal_rows_in_order(spark, monkeypatch):
+    rows = [(3, "the same text again and again, over and over")] * 40 + [(i, f"document {i} " * 9) for i in (1, 2, 4, 5)]
+    monkeypatch.setattr(winnow, "RANGE_ROWS", 3)
+    got = winnow.fingerprint_pairs(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+    assert len(got) == 44 and sum(r.near_next == 1.0 for r in got if r.doc_id == 3) == 39
+    assert len({r.fingerprint for r in got if r.doc_id == 3}) == 1
 
 
 def test_winnow_ignores_other_columns(docs, clashing):
