@@ -7,30 +7,35 @@ removed, windows being judged on the input.
 Texts go once into packs, compressed tables of a few megabytes that task after task
 reads where it is; only sketches, keys and bitmaps are shuffled.
 
-1. Each pack adds its windows to a count-min sketch, held sparsely: the sorted cells
-   it touches, a count for each. The sketch has one row of 64 cells a window of the
-   whole input, so its error rate stays the same at any size; it is kept in blocks of
-   cells, and all packs' parts of a block are merged by adding counts. An estimate is
-   never below a count. The answer to a pack is one bit a window: estimated repeated.
-2. Windows so marked are grouped exactly, by two independent 64-bit hashes. A pack
-   sends the first place of each of its keys to the key's block; the answer is one bit
-   a key: the key starts earlier elsewhere.
+1. Each pack makes a count-min sketch of its windows: ROWS rows of counters, of which
+   a window raises one each. A row is cut into blocks of 2**CELL_BITS counters, as many
+   as give each about 2**CELL_BITS / CELLS windows of the whole input, so errors stay
+   the same at any size. Packs send the counters that they touch, each once with its
+   count; a block's sketch is the sum of all packs' parts, an array of fixed size. A
+   window's estimate is its least counter, never below its count, so windows estimated
+   once are never repeated. The answer to a pack is one bit a counter: 2 or more.
+2. Windows estimated repeated are grouped exactly, by the BLAKE2b digest of their
+   words. A pack sends the first place of each of its digests to the digest's block;
+   the answer is one bit a digest: these words start earlier elsewhere.
 3. Each pack marks the covered words of its documents.
 
-A window that occurs in a third of all documents is one entry a pack, so no block
-grows with the copies of a text.
+The hash that places a window in the sketch may collide, even by design, which costs
+time alone; what is removed hangs on the digests of the words themselves.
+
+A window that occurs in a third of all documents is one entry a pack, in the sketch
+and in the exact pass, so no block grows with the copies of a text.
 
 Defined cases: a null text has no words; with fewer words than a window nothing is
 removed; rows of equal doc_id are copies of a document at the same place, neither
-earlier; null ids come last; an empty table gives an empty result; other columns
-are ignored.
+earlier; null ids come last; a very long text is a pack of its own; an empty table
+gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from itertools import compress
+from itertools import compress, pairwise
 
 import numpy as np
 import pandas as pd
@@ -42,12 +47,18 @@ from . import common
 
 WINDOW = 20
 PACK_BYTES = 4_000_000
-#: A block has 2**CELL_BITS cells, and blocks are as many as give it about 2**(CELL_BITS - 6) windows.
-CELL_BITS = 26
+#: A row of the sketch has about CELLS counters a window, in blocks of 2**CELL_BITS.
+ROWS = 2
+CELLS = 8
+CELL_BITS = 23
+#: A block of digests has about this many windows that are estimated repeated, or fewer.
+BLOCK_BITS = 20
+DIGEST = 16
 SEGMENT = 1_000_000
 NO_ID = np.iinfo(np.int64).max
 
 ANSWER = "p long, kind int, block long, bits binary"
+EXACT = ROWS  # the kind of answers of the exact pass; those of the sketch have their row's number
 U = np.uint64
 
 
@@ -101,7 +112,7 @@ class Pack:
         self.words = np.array([t.count(b" ") + bool(t) for t in self.texts], np.int64)
 
 
-# --- hashes --------------------------------------------------------------
+# --- hashes ---------------------------------------------------------------
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -111,8 +122,8 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-class Family:
-    """Polynomial hashes modulo 2**64 of byte and word ranges, from running sums."""
+class Rolling:
+    """Polynomial hashes modulo 2**64 of byte and word ranges, from running sums; for the sketch alone."""
 
     def __init__(self, seed: int):
         rng = np.random.default_rng(seed)
@@ -147,42 +158,50 @@ class Family:
         return _mix(self._ranges(1, words, starts, starts + window))
 
 
-_families: list[Family] = []
+_rolling: list[Rolling] = []
 
 
-def window_hashes(pack: Pack, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Both hashes of every window of every document, and its first word's position in the pack."""
-    if not _families:
-        _families.extend((Family(11), Family(29)))
-    hashed: list[list[np.ndarray]] = [[np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]]
-    run: list[bytes] = []
+def window_hashes(pack: Pack, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
+    """The hash of every window of every document, and its first word's position in the pack."""
+    if not _rolling:
+        _rolling.append(Rolling(11))
+    hashed, run, held = [np.zeros(0, np.uint64)], [], 0
 
     def flush() -> None:
-        if not run:
-            return
         raw = np.frombuffer(b" ".join([*run, b""]), np.uint8)
         ends = np.flatnonzero(raw == 32)
         starts = np.append(0, ends[:-1] + 1)
         some = ends > starts
-        for out, family in zip(hashed, _families, strict=True):
-            out.append(family.words(raw, starts[some], ends[some]))
+        hashed.append(_rolling[0].words(raw, starts[some], ends[some]))
         run.clear()
 
-    held = 0
     for text in pack.texts:
         run.append(text)
         held += len(text)
         if held >= SEGMENT:
             flush()
             held = 0
-    flush()
-    of_words = [np.concatenate(h) for h in hashed]
+    if run:
+        flush()
+    words = np.concatenate(hashed)
     doc = np.repeat(np.arange(len(pack.words)), pack.words)
     if len(doc) < window:
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     at = np.flatnonzero(doc[: len(doc) - window + 1] == doc[window - 1 :])
-    first, second = (f.windows(w, window)[at] for f, w in zip(_families, of_words, strict=True))
-    return first, second, at
+    return _rolling[0].windows(words, window)[at], at
+
+
+def window_digests(pack: Pack, doc: np.ndarray, start: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
+    """Digests of the words of windows, in two halves; the windows are in order of their document's place in the pack."""
+    out = []
+    edges = np.flatnonzero(np.diff(doc, prepend=-1))
+    for s, e in pairwise([*edges.tolist(), len(doc)]):
+        text = pack.texts[doc[s]]
+        spaces = np.flatnonzero(np.frombuffer(text, np.uint8) == 32)
+        firsts, lasts = np.append(0, spaces + 1)[start[s:e]], np.append(spaces, len(text))[start[s:e] + window - 1]
+        out += [hashlib.blake2b(text[i:j], digest_size=DIGEST).digest() for i, j in zip(firsts.tolist(), lasts.tolist(), strict=True)]
+    both = np.frombuffer(b"".join(out), ">u8").astype(np.uint64).reshape(-1, 2)
+    return both[:, 0], both[:, 1]
 
 
 # --- messages ------------------------------------------------------------
@@ -212,80 +231,94 @@ def _blocks(codes: np.ndarray, shift: int) -> Iterator[tuple[int, int, int]]:
         yield int(block[s]), s, e
 
 
-def _cells(first: np.ndarray, bits: int, cell_bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted (block, cell) codes of windows and the order that sorts them."""
-    codes = first >> U(64 - cell_bits - bits)
-    order = np.argsort(codes, kind="stable")
-    return codes[order], order
+class Counters:
+    """The counters of a row of the sketch that a pack's windows touch: sorted codes (block and cell), their counts, and each window's counter."""
+
+    def __init__(self, hashes: np.ndarray, row: int, bits: int, cell_bits: int):
+    XX
+        order = np.argsort(codes)
+        ranked = codes[order]
+        new = np.append(True, ranked[1:] != ranked[:-1])[: len(ranked)]
+        self.codes = ranked[new]
+        self.counts = np.diff(np.append(np.flatnonzero(new), len(ranked)))
+        self.of = np.empty(len(codes), np.int64)
+        self.of[order] = np.cumsum(new) - 1
 
 
 def _sketch_parts(bits: int, cell_bits: int):
-    """Messages of a pack: for each block the cells of its windows, as differences."""
+    """Messages of a pack: for each row and block the counters that it touches, as differences, and which it raises more than once."""
 
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for p, blob in zip(batch["p"].tolist(), batch["blob"], strict=True):
-                codes, _ = _cells(window_hashes(Pack(blob))[0], bits, cell_bits)
-                rows = []
-                for block, s, e in _blocks(codes, cell_bits):
-                    cells = (codes[s:e] & U((1 << cell_bits) - 1)).astype(np.uint32)
-                    rows.append((p, block, e - s, _planes(np.diff(cells, prepend=np.uint32(0)))))
-                yield pd.DataFrame(rows, columns=["p", "block", "n", "blob"])
+                hashes, rows = window_hashes(Pack(blob))[0], []
+                for row in range(ROWS):
+                    c = Counters(hashes, row, bits, cell_bits)
+                    for block, s, e in _blocks(c.codes, cell_bits):
+                        cells = (c.codes[s:e] & U((1 << cell_bits) - 1)).astype(np.uint32)
+                        part = _planes(np.diff(cells, prepend=np.uint32(0))) + np.packbits(c.counts[s:e] > 1).tobytes()
+                        rows.append((p, row, block, e - s, part))
+                yield pd.DataFrame(rows, columns=["p", "row", "block", "n", "blob"])
 
     return make
 
 
-def _merge_sketch(part: pd.DataFrame) -> pd.DataFrame:
-    """Add up the packs' counts of a block; answer each pack which windows' cells count 2 or more."""
-    messages = [np.cumsum(_unplaned(b, n, "u4")[0], dtype=np.uint32) for b, n in zip(part["blob"], part["n"].tolist(), strict=True)]
-    cells = np.sort(np.concatenate(messages))
-    again = cells[1:][cells[1:] == cells[:-1]]
-    if not len(again):
-        bits = [np.packbits(np.zeros(len(m), bool)).tobytes() for m in messages]
-    else:
-        bits = [np.packbits(again[np.minimum(np.searchsorted(again, m), len(again) - 1)] == m).tobytes() for m in messages]
-    return pd.DataFrame({"p": part["p"], "kind": np.int32(0), "block": part["block"], "bits": bits})
+def _merge_sketch(cell_bits: int):
+    """Add up the packs' parts of a block; answer each pack which of its counters come to 2 or more."""
+
+    def merge(part: pd.DataFrame) -> pd.DataFrame:
+        sketch = np.zeros(1 << cell_bits, np.uint8)
+        cells = lambda b, n: np.cumsum(_unplaned(b, n, "u4")[0], dtype=np.uint32)
+        messages = list(zip(part["blob"], part["n"].tolist(), strict=True))
+        for blob, n in messages:
+            at = cells(blob, n)
+            more = np.unpackbits(np.frombuffer(blob, np.uint8, -1, 4 * n), count=n)
+            sketch[at] = np.minimum(sketch[at] + more + 1, 2)
+        bits = [np.packbits(sketch[cells(blob, n)] > 1).tobytes() for blob, n in messages]
+        return pd.DataFrame({"p": part["p"], "kind": part["row"], "block": part["block"], "bits": bits})
+
+    return merge
 
 
 class Marked:
-    """Windows of a pack that are estimated repeated, in order of (key, doc_id, start)."""
+    """Windows of a pack that are estimated repeated, in order of (digest, doc_id, start)."""
 
     def __init__(self, pack: Pack, answers: pd.DataFrame, bits: int, cell_bits: int):
-        first, second, at = window_hashes(pack)
-        codes, order = _cells(first, bits, cell_bits)
-        by_block = dict(zip(answers["block"].tolist(), answers["bits"], strict=True))
-        hit = np.zeros(len(codes), bool)
-        for block, s, e in _blocks(codes, cell_bits):
-            hit[s:e] = np.unpackbits(np.frombuffer(by_block[block], np.uint8), count=e - s)
-        chosen = order[hit]
+        hashes, at = window_hashes(pack)
+        hit = np.ones(len(hashes), bool)
+        for row in range(ROWS):
+            c = Counters(hashes, row, bits, cell_bits)
+            mine = answers[answers["kind"] == row]
+            by_block = dict(zip(mine["block"].tolist(), mine["bits"], strict=True))
+            again = [np.unpackbits(np.frombuffer(by_block[b], np.uint8), count=e - s) for b, s, e in _blocks(c.codes, cell_bits)]
+            if again:
+                hit &= np.concatenate(again).astype(bool)[c.of]
+        at = at[hit]
         doc_start = np.concatenate(([0], np.cumsum(pack.words)[:-1])) if len(pack.words) else np.zeros(0, np.int64)
-        doc = np.repeat(np.arange(len(pack.words)), pack.words)[at[chosen]]
-        ids, start = pack.ids[doc], at[chosen] - doc_start[doc]
-        self.order = np.lexsort((start, ids, second[chosen], first[chosen]))
-        self.first, self.second, self.ids, self.start, self.at = (x[self.order] for x in (first[chosen], second[chosen], ids, start, at[chosen]))
-        self.lead = _leads(self.first, self.second)
-
-
-def _leads(first: np.ndarray, second: np.ndarray) -> np.ndarray:
-    """Where a new key begins in sorted keys."""
-    lead = np.ones(len(first), bool)
-    lead[1:] = (first[1:] != first[:-1]) | (second[1:] != second[:-1])
+        doc = np.repeat(np.arange(len(pack.words)), pack.words)[at]
+        ids, start = pack.ids[doc], at - doc_start[doc]
+        high, low = window_digests(pack, doc, start)
+        order = np.lexsort((start, ids, low, high))
+        self.high, self.low, self.ids, self.start, self.at = (x[order] for x in (high, low, ids, start, at))
+        self.lead = _leads(self.high, self.low)
+
+
+def _leads(high: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """Where a new digest begins in sorted ones."""
+    lead = np.ones(len(high), bool)
+    lead[1:] = (high[1:] != high[:-1]) | (low[1:] != low[:-1])
     return lead
 
 
-def _key_shift(bits: int) -> int:
-    return 64 - max(bits - 3, 0)
-
-
-def _exact_parts(bits: int, cell_bits: int):
-    """Messages of a pack: for each block of keys, each key's first place in the pack."""
+def _exact_parts(bits: int, cell_bits: int, blocks: int):
+    """Messages of a pack: for each block of digests, each digest's first place in the pack."""
 
     def make(packed: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         rows = []
         for p, blob in zip(packed["p"].tolist(), packed["blob"], strict=True):
             m = Marked(Pack(blob), answers, bits, cell_bits)
-            columns = [x[m.lead] for x in (m.first, m.second, m.ids)] + [m.start[m.lead].astype(np.uint32)]
-            for block, s, e in _blocks(columns[0], _key_shift(bits)):
+            columns = [x[m.lead] for x in (m.high, m.low, m.ids)] + [m.start[m.lead].astype(np.uint32)]
+            for block, s, e in _blocks(columns[0], 64 - blocks):
                 rows.append((p, block, e - s, _planes(*(c[s:e] for c in columns))))
         return pd.DataFrame(rows, columns=["p", "block", "n", "blob"])
 
@@ -293,33 +326,33 @@ def _exact_parts(bits: int, cell_bits: int):
 
 
 def _merge_exact(part: pd.DataFrame) -> pd.DataFrame:
-    """Find each key's first place; answer each pack which of its keys start earlier elsewhere."""
+    """Find each digest's first place; answer each pack which of its digests start earlier elsewhere."""
     counts = part["n"].to_numpy()
     columns = zip(*(_unplaned(b, n, "u8", "u8", "i8", "u4") for b, n in zip(part["blob"], counts.tolist(), strict=True)), strict=True)
-    first, second, ids, start = map(np.concatenate, columns)
-    order = np.lexsort((start, ids, second, first))
-    lead = _leads(first[order], second[order])
+    high, low, ids, start = map(np.concatenate, columns)
+    order = np.lexsort((start, ids, low, high))
+    lead = _leads(high[order], low[order])
     head = order[np.maximum.accumulate(np.where(lead, np.arange(len(order)), 0))]
     later = np.zeros(len(order), bool)
     later[order] = (ids[order] != ids[head]) | (start[order] != start[head])
     bits = [np.packbits(x).tobytes() for x in np.split(later, np.cumsum(counts)[:-1])]
-    return pd.DataFrame({"p": part["p"], "kind": np.int32(1), "block": part["block"], "bits": bits})
+    return pd.DataFrame({"p": part["p"], "kind": np.int32(EXACT), "block": part["block"], "bits": bits})
 
 
 RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string"
 
 
-def _removal(bits: int, cell_bits: int, with_text: bool):
+def _removal(bits: int, cell_bits: int, blocks: int, with_text: bool):
     """Rows of the documents of a pack, from both kinds of answers."""
 
     def make(packed: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         rows = []
         for blob in packed["blob"]:
             pack = Pack(blob)
-            m = Marked(pack, answers[answers["kind"] == 0], bits, cell_bits)
-            exact = answers[answers["kind"] == 1]
+            m = Marked(pack, answers, bits, cell_bits)
+            exact = answers[answers["kind"] == EXACT]
             by_block = dict(zip(exact["block"].tolist(), exact["bits"], strict=True))
-            later = [np.unpackbits(np.frombuffer(by_block[b], np.uint8), count=e - s).astype(bool) for b, s, e in _blocks(m.first[m.lead], _key_shift(bits))]
+            later = [np.unpackbits(np.frombuffer(by_block[b], np.uint8), count=e - s).astype(bool) for b, s, e in _blocks(m.high[m.lead], 64 - blocks)]
             key = np.cumsum(m.lead) - 1
             lead_at = np.flatnonzero(m.lead)[key] if len(key) else key
             gone = (m.ids != m.ids[lead_at]) | (m.start != m.start[lead_at])
@@ -345,18 +378,34 @@ def deduped(docs: DataFrame, with_text: bool = False, pack_bytes: int = PACK_BYT
     """doc_id, n_words, n_removed and kept_sha256 of every document; kept_text if asked for."""
     packed = common.store(packs(docs, pack_bytes), "substring-pack")
     windows = packed.agg(F.coalesce(F.sum("windows"), F.lit(0))).first()[0]
-    bits = max(0, int(windows - 1).bit_length() - (cell_bits - 6)) if windows else 0
+    bits = max(0, (max(windows, 1) * CELLS - 1).bit_length() - cell_bits)
+    blocks = max(0, (max(windows, 1) - 1).bit_length() - BLOCK_BITS)
     texts = packed.select("p", "blob")
-    message = "p long, block long, n int, blob binary"
-    repeated = texts.mapInPandas(_sketch_parts(bits, cell_bits), message).groupBy("block").applyInPandas(_merge_sketch, ANSWER)
-    repeated = common.store(repeated, "substring-repeated")
-    keys = texts.groupBy("p").cogroup(repeated.groupBy("p")).applyInPandas(_exact_parts(bits, cell_bits), message)
+    counters = texts.mapInPandas(_sketch_parts(bits, cell_bits), "p long, row int, block long, n int, blob binary")
+    repeated = common.store(counters.groupBy("row", "block").applyInPandas(_merge_sketch(cell_bits), ANSWER), "substring-repeated")
+    keys = texts.groupBy("p").cogroup(repeated.groupBy("p")).applyInPandas(_exact_parts(bits, cell_bits, blocks), "p long, block long, n int, blob binary")
     later = common.store(keys.groupBy("block").applyInPandas(_merge_exact, ANSWER), "substring-later")
     answers = repeated.unionByName(later)
-    out = texts.groupBy("p").cogroup(answers.groupBy("p")).applyInPandas(_removal(bits, cell_bits, with_text), RESULT)
+    out = texts.groupBy("p").cogroup(answers.groupBy("p")).applyInPandas(_removal(bits, cell_bits, blocks, with_text), RESULT)
     return out if with_text else out.drop("kept_text")
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Repeated passages of all documents."""
+    """Repeated passages of all documents.
+
+    Reads doc_id and text of the whole table; the module's defined cases hold.
+    """
     return deduped(common.documents(spark, sf_dir))
+
+
+OP4_SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+win AS (SELECT doc_id, unnest(range(1, len(ws) - 18)) AS s, ws FROM w),
+keyed AS (SELECT doc_id, s, array_to_string(ws[s:s + 19], ' ') AS k FROM win),
+gone AS (SELECT doc_id, s FROM keyed QUALIFY row_number() OVER (PARTITION BY k ORDER BY doc_id, s) > 1),
+words AS (SELECT doc_id, unnest(ws) AS x, generate_subscripts(ws, 1) AS pos FROM w),
+gaps AS (SELECT DISTINCT doc_id, pos FROM (SELECT doc_id, unnest(range(s, s + 20)) AS pos FROM gone)),
+kept AS (SELECT doc_id, string_agg(x, ' ' ORDER BY pos) AS t, count(*) AS n FROM words ANTI JOIN gaps USING (doc_id, pos) GROUP BY 1)
+SELECT doc_id, len(ws) AS n_words, len(ws) - coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM w LEFT JOIN kept USING (doc_id)
+"""
