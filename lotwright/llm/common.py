@@ -49,6 +49,33 @@ def store(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name like `name` that `df` does not have."""
+    while name in df.columns:
+        name += "_"
+    return name
+
+
+def kept_rows(docs: DataFrame, stay: DataFrame, key: Column, name: str) -> DataFrame:
+    """The rows of `docs` that the stored table `stay` (k_id, k_key) names, one each, with the columns of `docs`.
+
+    Texts are joined by id. Only rows whose id occurs more than once are told apart by
+    `key`; of those alike in both, the one with the longest, then greatest text stays.
+    """
+    ids = docs.groupBy(F.col("doc_id").alias("r_id")).agg(F.count("*").alias("n")).filter("n > 1").select("r_id")
+    ids = store(ids, f"{name}-repeat")
+    if ids.isEmpty():
+        return docs.join(stay, docs["doc_id"].eqNullSafe(stay["k_id"]), "left_semi")
+    once = docs.join(ids, docs["doc_id"].eqNullSafe(ids["r_id"]), "left_anti")
+    once = once.join(stay, once["doc_id"].eqNullSafe(stay["k_id"]), "left_semi")
+    mark = fresh(docs, "key")
+    repeated = docs.join(ids, docs["doc_id"].eqNullSafe(ids["r_id"]), "left_semi").withColumn(mark, key)
+    repeated = repeated.join(stay, repeated["doc_id"].eqNullSafe(stay["k_id"]) & (repeated[mark] == stay["k_key"]), "left_semi")
+    best = F.max_by(F.struct(*docs.columns), F.struct(F.length("text"), F.col("text"))).alias("best")
+    repeated = repeated.groupBy(F.col("doc_id").alias("k_id"), F.col(mark).alias("k_key")).agg(best).select("best.*")
+    return once.unionByName(repeated)
+
+
 def word_count(text: Column) -> Column:
     """Number of words of a text as a long; null counts 0."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

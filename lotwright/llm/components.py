@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
+#: Paths shorten by half a round or faster, so more rounds than this mean that something is wrong.
 MOST_ROUNDS = 60
 
 
@@ -48,5 +49,7 @@ def components(links: DataFrame) -> DataFrame:
         if now == before:
             break
         before = now
+    else:
+        raise RuntimeError(f"components are not settled after {MOST_ROUNDS} rounds")
     stars = edges.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node")
     return stars

@@ -13,10 +13,12 @@ grouped by its text itself.
 All of it is DataFrame code. Grouping uses aggregates that are combined before the
 shuffle, so a group of copies of any size passes as one partial row a task.
 
-Defined cases: a null text is an empty one; all empty texts are equal; ties in
-length keep the smallest doc_id, null ids last; repeated rows are members of their
-group like any others, and one row of a group is kept; an empty table gives an empty
-result; other columns are ignored.
+Defined cases: a null text is an empty one, its recipe an empty list; all empty texts
+are equal; ties in length keep the smallest doc_id, null ids last; repeated rows are
+members of their group like any others, and one row of a group is kept; a very long
+text has a long recipe, which stays in its row and is shuffled as one digest, chunk by
+chunk only for the dictionary; an empty table gives an empty result; other columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -90,24 +92,18 @@ def exact_groups(docs: DataFrame) -> DataFrame:
 def survivors(docs: DataFrame) -> DataFrame:
     """The rows of `docs` that stay, with its columns.
 
-    Ids are joined to texts only here. Where an id occurs more than once, one row of
-    those with its text stays.
+    Ids are joined to texts only here. Where an id occurs more than once, the longest
+    of its rows with the text stays.
     """
-    stay = common.store(exact_groups(docs).filter("kept").select(F.col("doc_id").alias("k_id"), F.col("text_sha256").alias("k_sha")), "exact-stay")
-    ids = docs.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("doc_id").alias("r_id"))
-    ids = common.store(ids, "exact-repeat")
-    if ids.isEmpty():
-        return docs.join(stay.select("k_id"), docs.doc_id.eqNullSafe(F.col("k_id")), "left_semi")
-    repeated = docs.join(ids, docs.doc_id.eqNullSafe(F.col("r_id")), "left_semi").withColumn("_sha", F.sha2(normalised(F.col("text")), 256))
-    repeated = repeated.join(stay, F.col("doc_id").eqNullSafe(F.col("k_id")) & (F.col("_sha") == F.col("k_sha")), "left_semi")
-    repeated = repeated.dropDuplicates(["doc_id", "_sha"]).drop("_sha")
-    once = docs.join(ids, docs.doc_id.eqNullSafe(F.col("r_id")), "left_anti")
-    once = once.join(stay.select("k_id"), F.col("doc_id").eqNullSafe(F.col("k_id")), "left_semi")
-    return once.unionByName(repeated)
+    stay = exact_groups(docs).filter("kept").select(F.col("doc_id").alias("k_id"), F.col("text_sha256").alias("k_key"))
+    return common.kept_rows(docs, common.store(stay, "exact-stay"), F.sha2(normalised(F.col("text")), 256), "exact")
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The exact groups of all documents."""
+    """The exact groups of all documents.
+
+    Reads doc_id and text of the whole table; the module's defined cases hold.
+    """
     return exact_groups(common.documents(spark, sf_dir)).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 

@@ -19,8 +19,10 @@ source, close most of the rest. Everything is DataFrame code.
 
 Defined cases: a null or empty text has size 0, takes 0 and has no say in its
 source's target; null is a source of its own, last in order; equal rows are
-separate documents; an empty table gives an empty mix. Other columns of the
-input are ignored.
+separate documents; documents of one source and size are in order of id, then of a
+hash of the text, and those alike in both stand for each other; a very long text is
+one document like any other, so a source may miss its target by part of it; an empty
+table gives an empty mix. Other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -41,8 +43,8 @@ BRACKET = 400.0
 
 
 def sizes(docs: DataFrame) -> DataFrame:
-    """doc_id, source and size (words) of every document."""
-    return docs.select("doc_id", "source", common.word_count(F.col("text")).alias("size"))
+    """doc_id, source, size (words) and mark (a hash of the text) of every document."""
+    return docs.select("doc_id", "source", common.word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("mark"))
 
 
 def targets(totals: DataFrame, cap: int = CAP) -> DataFrame:
@@ -131,7 +133,7 @@ def _rounded(rows: DataFrame, histogram: DataFrame, duals: DataFrame, buckets: i
         F.col("source").alias("c_source"), F.col("size").alias("c_size"), F.col("bucket").alias("c_bucket"),
         "rate", "target", "source_size", (F.col("before") + F.col("offset") * F.col("rate")).alias("before"),
     )
-    rank = F.row_number().over(Window.partitionBy("source", "size", "bucket").orderBy("doc_id"))
+    rank = F.row_number().over(Window.partitionBy("source", "size", "bucket").orderBy("doc_id", "mark"))
     placed = rows.withColumn("rank", rank).join(
         cells,
         F.col("source").eqNullSafe(F.col("c_source")) & (F.col("size") == F.col("c_size")) & (F.col("bucket") == F.col("c_bucket")),
@@ -139,7 +141,7 @@ def _rounded(rows: DataFrame, histogram: DataFrame, duals: DataFrame, buckets: i
     # a running sum within 1e-6 of a whole number is that number, whatever the order of the additions
     whole = lambda n: F.floor(F.col("before") + n * F.col("rate") + 0.5 + 1e-6)
     copies = F.least(F.greatest(whole(F.col("rank")) - whole(F.col("rank") - 1), F.lit(0)), F.lit(cap)).cast("long")
-    return placed.select("doc_id", "source", "size", "bucket", "rank", "source_size", "target", "rate", copies.alias("copies"))
+    return placed.select("doc_id", "source", "size", "mark", "bucket", "rank", "source_size", "target", "rate", copies.alias("copies"))
 
 
 def _repaired(placed: DataFrame, rounds: int, cap: int) -> DataFrame:
@@ -177,7 +179,7 @@ def _repaired(placed: DataFrame, rounds: int, cap: int) -> DataFrame:
 
 
 def mix(docs: DataFrame, cap: int = CAP) -> DataFrame:
-    """doc_id, source, size, source_size, target, rate, copies and taken of every document.
+    """doc_id, source, size, mark, source_size, target, rate, copies and taken of every document.
 
     `copies` is how often the mix holds the document, 0 to `cap`; `taken` the words
     of those copies. The result is a table in the shared folder read again.
@@ -189,14 +191,17 @@ def mix(docs: DataFrame, cap: int = CAP) -> DataFrame:
     duals = dual_variables(histogram, goals, cap)
     rows = histogram.agg(F.coalesce(F.sum("docs"), F.lit(0))).first()[0]
     buckets = max(LEAST_BUCKETS, -(-rows // BUCKET_ROWS))
-    bucketed = sized.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("long"))
+    bucketed = sized.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "mark"), F.lit(buckets)).cast("long"))
     placed = common.store(_rounded(bucketed, histogram, duals, buckets, cap), "mix-copies")
     done = _repaired(placed, REPAIR_ROUNDS, cap)
-    return done.select("doc_id", "source", "size", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    return done.select("doc_id", "source", "size", "mark", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The mix of all documents."""
+    """The mix of all documents.
+
+    Reads doc_id, text and source of the whole table; the module's defined cases hold.
+    """
     return mix(common.documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
@@ -204,14 +209,32 @@ def resampled(docs: DataFrame, cap: int = CAP) -> DataFrame:
     """The documents of the mix, each as often as it has copies, with the columns of `docs`.
 
     A document of no words keeps its place: its source's target says nothing of it.
-    Rows of equal doc_id, source and size all get the most copies that one of them has.
+    Rows alike in id, source and text stand for each other: one is repeated as often as
+    all of them are taken.
     """
+    size, mark, times = (common.fresh(docs, c) for c in ("size", "mark", "times"))
     mixed = mix(docs, cap)
-    per_row = mixed.groupBy(F.col("doc_id").alias("r_id"), F.col("source").alias("r_source"), F.col("size").alias("r_size")).agg(F.max("copies").alias("copies"))
-    sized = docs.withColumn("r_words", common.word_count(F.col("text")))
-    joined = sized.join(
-        per_row,
-        sized.doc_id.eqNullSafe(F.col("r_id")) & sized.source.eqNullSafe(F.col("r_source")) & (sized.r_words == F.col("r_size")),
+    taken = mixed.groupBy(F.col("doc_id").alias("k_id"), F.col("source").alias("k_source"), F.col("size").alias("k_size"), F.col("mark").alias("k_mark")).agg(
+        F.sum("copies").alias("k_copies"), F.count("*").alias("k_rows")
     )
-    times = joined.withColumn("copies", F.when(F.col("r_words") == 0, 1).otherwise(F.col("copies")).cast("int")).filter("copies > 0")
-    return times.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+    taken = common.store(taken, "mix-taken")
+    sized = docs.withColumn(size, common.word_count(F.col("text"))).withColumn(mark, F.xxhash64("text"))
+
+    def joined(rows: DataFrame, keys: DataFrame) -> DataFrame:
+        same = rows["doc_id"].eqNullSafe(keys["k_id"]) & rows["source"].eqNullSafe(keys["k_source"]) & (rows[size] == keys["k_size"]) & (rows[mark] == keys["k_mark"])
+        return rows.join(keys, same)
+
+    def repeated(rows: DataFrame, copies: Column) -> DataFrame:
+        out = rows.withColumn(times, F.explode(F.sequence(F.lit(1), copies)))
+        return out.select(*[out[c] for c in docs.columns])
+
+    one = joined(sized, taken.filter("k_rows = 1"))
+    one = one.select(*[sized[c] for c in docs.columns], F.when(taken["k_size"] == 0, 1).otherwise(taken["k_copies"]).cast("int").alias(times))
+    one = repeated(one.filter(F.col(times) > 0).withColumnRenamed(times, size), F.col(size))
+    several = common.store(taken.filter("k_rows > 1"), "mix-several")
+    if several.isEmpty():
+        return one
+    alike = joined(sized, several).select(F.struct(*[sized[c] for c in docs.columns]).alias("best"), "k_id", "k_source", "k_size", "k_mark", "k_copies", "k_rows")
+    alike = alike.groupBy("k_id", "k_source", "k_size", "k_mark", "k_copies", "k_rows").agg(F.first("best").alias("best"))
+    alike = alike.withColumn("k_times", F.when(F.col("k_size") == 0, F.col("k_rows")).otherwise(F.col("k_copies")).cast("int")).filter("k_times > 0")
+    return one.unionByName(alike.select("best", F.explode(F.sequence(F.lit(1), F.col("k_times")))).select("best.*"))

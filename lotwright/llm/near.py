@@ -1,27 +1,30 @@
-"""Near copies for the pipeline: five-word shingles, exact Jaccard similarity.
+"""Near copies for the pipeline: SimHash candidates over five-word shingles, exact Jaccard similarity.
 
 Two texts are linked where the Jaccard similarity of their sets of SHINGLE-word
 shingles is LEAST or more, and the connected components are the groups of near
-copies. `op9_simhash` has settings of its own in `simhash`.
-
-Candidates. A text's sketch is the minima of HASHES permutations of its shingles. Of
-BANDS groups of ROWS minima, pairs at similarity 0.8 share one with probability
-1 - (1 - 0.8^6)^24 = 0.9993, pairs at 0.9 with all but 1e-8. A bit of every minimum
-makes a fingerprint of HASHES bits, of which a pair at similarity s differs in
-HASHES (1 - s) / 2 in the mean; a pair over FAR (4.5 deviations above the mean at
-0.8) is no candidate. Texts of equal shingles are one row from the sketch on.
-
-Verification. Every link is a pair whose shingles have been compared. So that a large
-group isn't compared pair by pair, each text first meets the nearest of its
-predecessors in its bands, ROUNDS times, always of another component than its own;
-then all candidate pairs that still lie in different components are compared. Left
-out are only pairs that links already connect, so the components are those of all
-candidate pairs.
+copies. `op9_simhash` has settings of its own in `simhash`, whose search of runs by
+pivot distance tables serves here too. Texts of equal shingles are one node.
+
+1. Candidates. A node has a SimHash of WORDS * 64 bits, and BANDS keys of ROWS minima
+   of permutations each. Pairs at similarity 0.8 share a key with probability
+   1 - (1 - 0.8^6)^24 = 0.9993, pairs at 0.9 with all but 1e-8. Nodes of a key are a
+   run, in which pairs at FAR or fewer differing bits (a pair at 0.8 has 39 in the
+   mean, with a deviation of 6) link, found by the distances to the run's own first
+   fingerprints. A run of over RUN_ROWS nodes links as a whole, each to its least.
+2. Families are the components of such links. They are too wide, not too narrow: all
+   pairs at 0.8 or more that share a key are within one.
+3. Verification. A family is cut into tiles of a bounded number of nodes and code
+   points; all pairs of two tiles (or within one) are compared exactly, by counting
+   shared shingles as a product of matrices. A spanning forest of the pairs at LEAST
+   or more goes on, and its components are the groups.
+
+So what is shuffled grows with the texts, however large a group is, but for a family
+of many tiles, whose texts go once to each other tile.
 
 Defined cases: texts without words (null included) are near copies of each other;
-fewer words than a shingle are one sequence; repeated rows and ids are members like
-any other; null ids are ignored as component ids; an empty table gives an empty
-result; other columns are ignored.
+fewer words than a shingle are one sequence; very long texts are tiles of their own;
+repeated rows and ids are members like any other, a row with its own text; null ids
+come last; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,21 +34,24 @@ from itertools import repeat
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common
 from .components import components
+from .simhash import run_links, runs_of, whole_runs
 
 SHINGLE = 5
 LEAST = 0.8
 SEED = 42
-HASHES, BANDS, ROWS = 256, 24, 6
-FAR = 47
-ROUNDS = 2
+WORDS, BANDS, ROWS = 4, 24, 6
+FAR = 72
+PIVOTS = 16
+RUN_ROWS = 4096
+TILE_ROWS, TILE_POINTS = 512, 4_000_000
 SLICE = 2048
-#: A mixer of 64 bits, whose top bit depends on all of them.
-MIX = np.uint64(0x9E3779B97F4A7C15)
+COLUMNS = 4096
 
 
 def shingles(text: str, size: int = SHINGLE) -> np.ndarray:
@@ -58,21 +64,35 @@ def shingles(text: str, size: int = SHINGLE) -> np.ndarray:
 
 
 def permutations() -> tuple[np.ndarray, np.ndarray]:
-    """Factors, odd, and terms of the permutations, fixed random numbers."""
-    rng = np.random.default_rng(SEED)
-    factors, terms = rng.integers(0, 1 << 63, (2, HASHES), dtype=np.uint64) * np.uint64(2)
-    return factors | np.uint64(1), terms | np.uint64(1)
+    """Factors, odd, and terms of the permutations of 32-bit numbers, fixed random ones."""
+    factors, terms = np.random.default_rng(SEED).integers(0, 1 << 32, (2, BANDS * ROWS), dtype=np.uint32)
+    return factors | np.uint32(1), terms
 
 
 def minima(hashes: np.ndarray, factors: np.ndarray, terms: np.ndarray) -> np.ndarray:
     """The least value of every permutation; a very long text is taken slice by slice."""
-    least = np.full(HASHES, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(hashes), SLICE):
-        least = np.minimum(least, (hashes[at : at + SLICE, None] * factors + terms).min(axis=0))
+    least = np.full(len(factors), np.iinfo(np.uint32).max, np.uint32)
+    high = (hashes >> np.uint64(32)).astype(np.uint32)
+    for at in range(0, len(high), SLICE):
+        least = np.minimum(least, (factors[:, None] * high[at : at + SLICE] + terms[:, None]).min(axis=1))
     return least
 
 
-SKETCH = "doc_id long, node long, bands array<long>, bits array<long>"
+def simhash(hashes: np.ndarray) -> np.ndarray:
+    """The SimHash of a set of shingles, as WORDS unsigned numbers."""
+    ones = np.zeros(64 * WORDS, np.int64)
+    for at in range(0, len(hashes), SLICE):
+        part = hashes[at : at + SLICE]
+        bits = []
+        for k in range(WORDS):
+            x = (part + np.uint64(k + 1)) * np.uint64(0x9E3779B97F4A7C15)
+            x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+            bits.append(x ^ (x >> np.uint64(29)))
+        ones += np.unpackbits(np.column_stack(bits).view(np.uint8), axis=1).sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * ones > len(hashes)).view(np.uint64)
+
+
+SKETCH = "doc_id long, node long, points long, bands array<long>, bits array<long>"
 
 
 def node_of(hashes: np.ndarray) -> int:
@@ -82,8 +102,12 @@ def node_of(hashes: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(hashes.tobytes(), SEED)).astype(np.int64))
 
 
+def _plain(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+
+
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, hash of the shingles, band keys and fingerprint of every document."""
+    """doc_id, hash of the shingles, length, band keys and SimHash of every document."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import xxhash
@@ -93,123 +117,140 @@ def sketches(docs: DataFrame) -> DataFrame:
             out = []
             for doc_id, text in zip(batch["doc_id"].tolist(), batch["text"].tolist(), strict=True):
                 hashes = shingles(text)
-                least = minima(hashes, factors, terms)
-                keys = [xxhash.xxh64_intdigest(band.tobytes(), SEED) for band in least[: BANDS * ROWS].reshape(BANDS, ROWS)]
-                mixed = (least ^ least >> np.uint64(32)) * MIX
-                bits = np.packbits(((mixed ^ mixed >> np.uint64(29)) * MIX >> np.uint64(63)).astype(np.uint8))
-                out.append((doc_id, node_of(hashes), np.array(keys, np.uint64).view(np.int64), bits.view(np.int64)))
-            yield pd.DataFrame(out, columns=["doc_id", "node", "bands", "bits"]).astype({"doc_id": "Int64"})
+                least = minima(hashes, factors, terms).reshape(BANDS, ROWS)
+                keys = [xxhash.xxh64_intdigest(band.tobytes(), SEED) for band in least]
+                out.append((doc_id, node_of(hashes), len(text), np.array(keys, np.uint64).view(np.int64), simhash(hashes).view(np.int64)))
+            yield pd.DataFrame(out, columns=["doc_id", "node", "points", "bands", "bits"]).astype({"doc_id": "Int64"})
 
     return _plain(docs).mapInPandas(run, SKETCH)
 
 
-def _plain(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-
-
-def _apart(a: str, b: str):
-    """The number of bits in which two fingerprints differ."""
-    differ = F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y)))
-    return F.aggregate(differ, F.lit(0), lambda n, x: n + x.cast("int"))
-
-
-def _within(pairs: DataFrame, distinct: DataFrame) -> DataFrame:
-    """The pairs (a, b) of at most FAR differing bits, with their number."""
-    one, two = (distinct.select(F.col("node").alias(c), F.col("bits").alias(f"{c}_bits")) for c in "ab")
-    return pairs.join(one, "a").join(two, "b").select("a", "b", _apart("a_bits", "b_bits").alias("apart")).filter(F.col("apart") <= FAR)
-
+@F.pandas_udf(T.LongType())
+def shingle_node(texts: pd.Series) -> pd.Series:
+    """The hash of the shingles of each text."""
+    return pd.Series([node_of(shingles(t)) for t in texts], dtype=np.int64)
+
+
+def candidate_links(distinct: DataFrame) -> DataFrame:
+    """Pairs (a, b) of nodes that connect all candidates, for stored `distinct` (node, bands, bits)."""
+    keys = distinct.select("node", F.posexplode("bands").alias("band", "key"))
+    shared = keys.groupBy("band", "key").agg(F.count("*").alias("n"), F.min("node").alias("least")).filter("n > 1")
+    shared = common.store(shared, "near-run")
+    members = common.store(keys.join(shared, ["band", "key"]).select("band", "key", "n", "least", "node"), "near-member")
+    large = members.filter((F.col("n") > RUN_ROWS) & (F.col("node") != F.col("least"))).select(F.col("least").alias("a"), F.col("node").alias("b"))
+
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in whole_runs(batches, ["band", "key"]):
+            nodes, out = rows["node"].to_numpy(np.int64), []
+            prints = np.vstack(rows["bits"].to_numpy()).view(np.uint64)
+            for s, e in runs_of(rows, ["band", "key"]):
+                out += [(nodes[s + i], nodes[s + j]) for i, j in run_links(prints[s:e], prints[s : min(e, s + PIVOTS)], FAR)]
+            yield pd.DataFrame(out, columns=["a", "b"], dtype=np.int64).drop_duplicates()
+
+    small = members.filter(F.col("n") <= RUN_ROWS).join(distinct.select("node", "bits"), "node")
+    small = small.select("band", "key", "node", "bits").repartition("band", "key").sortWithinPartitions("band", "key", "node")
+    return small.mapInPandas(search, "a long, b long").union(large)
+
+
+def shared_counts(one: list[np.ndarray], two: list[np.ndarray]) -> np.ndarray:
+    """How many shingles each set of one list shares with each of another."""
+    sizes = [len(x) for x in one + two]
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    _, column, count = np.unique(np.concatenate(one + two), return_inverse=True, return_counts=True)
+    kept = count[column] > 1  # what one set alone has is shared by none
+    number = np.cumsum(count > 1) - 1
+    owner, column = owner[kept], number[column[kept]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    total = np.zeros((len(one), len(two)), np.int64)
+    for first in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        s, e = np.searchsorted(column, (first, first + COLUMNS))
+        table = np.zeros((len(sizes), COLUMNS), np.float32)
+        table[owner[s:e], column[s:e] - first] = 1
+        total += (table[: len(one)] @ table[len(one) :].T).astype(np.int64)
+    return total
+
+
+def forest(near: np.ndarray) -> list[tuple[int, int]]:
+    """A spanning forest, as pairs of positions, of a symmetric matrix of links."""
+    left, out = np.ones(len(near), bool), []
+    for start in range(len(near)):
+        queue = [start] if left[start] else []
+        left[start] = False
+        while queue:
+            x = queue.pop()
+            found = np.flatnonzero(near[x] & left)
+            left[found] = False
+            out += zip(repeat(x), found.tolist())
+            queue += found.tolist()
+    return out
+
+
+def tile_links(sets: list[np.ndarray], tiles: np.ndarray) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs at LEAST or more between two tiles, or within the only one."""
+    n = np.array([len(x) for x in sets])
+    low = np.flatnonzero(tiles == tiles.min())
+    high = low if len(low) == len(tiles) else np.flatnonzero(tiles != tiles.min())
+    both = shared_counts([sets[i] for i in low], [sets[i] for i in high])
+    near = np.zeros((len(sets), len(sets)), bool)
+    near[np.ix_(low, high)] = both / (n[low][:, None] + n[high] - both) >= LEAST
+    return forest(near | near.T)
+
+
+def verified(families: DataFrame, distinct: DataFrame, docs: DataFrame) -> DataFrame:
+    """Pairs (a, b) that connect all similar nodes of each family of `families` (node, family)."""
+    members = families.join(distinct.select("node", "id", "points"), "node")
+    sizes = members.groupBy("family").agg(F.greatest(F.ceil(F.count("*") / TILE_ROWS), F.ceil(F.sum("points") / TILE_POINTS)).cast("int").alias("tiles"))
+    wanted = common.store(members.join(sizes, "family").select("node", "id", "family", "tiles"), "near-wanted")
+    plain = _plain(docs)
+    ids = wanted.select("id").distinct()
+    rows = plain.join(ids, plain.doc_id.eqNullSafe(ids.id), "left_semi").select(shingle_node("text").alias("node"), "text")
+    texts = rows.join(wanted.select("node", "family", "tiles"), "node")
+    tile = F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
+    dealt = texts.withColumn("tile", tile).withColumn("other", other)
+    dealt = dealt.select("family", F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high"), "tile", "node", "text")
+    keys = ["family", "low", "high"]
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in whole_runs(batches, keys):
+            out = []
+            for s, e in runs_of(rows, keys):
+                part = rows.iloc[s:e].drop_duplicates("node")
+                nodes, tiles = part["node"].to_numpy(np.int64), part["tile"].to_numpy()
+                out += [(nodes[i], nodes[j]) for i, j in tile_links(list(map(shingles, part["text"])), tiles)] if len(nodes) > 1 else []
+            yield pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
 
-def _texts(pairs: DataFrame, distinct: DataFrame, docs: DataFrame) -> DataFrame:
-    """(node, text) of the nodes of stored pairs."""
+    return dealt.repartition(*keys).sortWithinPartitions(*keys, "node").mapInPandas(compare, "a long, b long")
 
-    @F.pandas_udf("long")
-    def node(texts: pd.Series) -> pd.Series:
-        return pd.Series([node_of(shingles(t)) for t in texts], dtype=np.int64)
 
-    wanted = common.store(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(distinct.select("node", "id"), "node"), "near-wanted")
-    plain = _plain(docs)
-    rows = plain.join(wanted.select("id").distinct(), plain.doc_id.eqNullSafe(F.col("id")), "left_semi").select(node("text").alias("node"), "text")
-    return common.store(rows.join(wanted, "node", "left_semi").groupBy("node").agg(F.min("text").alias("text")), "near-text")
-
-
-def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) of nodes of `texts` whose similarity is LEAST or more."""
-
-    @F.pandas_udf("boolean")
-    def near(one: pd.Series, two: pd.Series) -> pd.Series:
-        return pd.Series([similarity(x, y) >= LEAST for x, y in zip(one, two, strict=True)], dtype=bool)
-
-    one, two = (texts.select(F.col("node").alias(c), F.col("text").alias(f"{c}_text")) for c in "ab")
-    return pairs.join(one, "a").join(two, "b").filter(near("a_text", "b_text")).select("a", "b")
-
-
-def similarity(one: str, two: str) -> float:
-    """The Jaccard similarity of the shingles of two texts."""
-    x, y = shingles(one), shingles(two)
-    both = len(np.intersect1d(x, y, assume_unique=True))
-    return both / (len(x) + len(y) - both)
-
-
-def _open(runs: DataFrame, links: DataFrame | None) -> DataFrame:
-    """Rows (band, key, node, part) of the runs that hold more than one component; part is a node's component."""
-    if links is None:
-        rows = runs.withColumn("part", F.col("node"))
-    else:
-        rows = runs.join(components(links), "node", "left").select("band", "key", "node", F.coalesce("component", "node").alias("part"))
-    held = rows.groupBy("band", "key").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low < high").select("band", "key")
-    return common.store(rows.join(held, ["band", "key"], "left_semi"), "near-open")
-
-
-def _neighbours(rows: DataFrame) -> DataFrame:
-    """Pairs (a, b) that follow each other in a run, in order of components, and lie in different ones."""
-    order = Window.partitionBy("band", "key").orderBy("part", "node")
-    before = rows.select(F.col("node").alias("b"), "part", F.lag("node").over(order).alias("a"), F.lag("part").over(order).alias("last"))
-    return before.filter("last <> part").select("a", "b").distinct()
-
-
-def _crossing(rows: DataFrame) -> DataFrame:
-    """All pairs (a, b) of different components of a run; one of the two isn't the run's largest."""
-    sizes = rows.groupBy("band", "key", "part").count()
-    main = sizes.groupBy("band", "key").agg(F.max_by("part", F.struct("count", "part")).alias("main"))
-    few = rows.join(main, ["band", "key"]).filter("part <> main").select("band", "key", F.col("node").alias("x"), F.col("part").alias("x_part"))
-    pairs = few.join(rows, ["band", "key"]).filter("x_part <> part")
-    return pairs.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct()
-
-
-def near_links(distinct: DataFrame, docs: DataFrame) -> DataFrame:
-    """Pairs (a, b) that connect all that similar candidates connect, for `distinct` (node, id, bands, bits)."""
-    runs, links, tried = distinct.select("node", F.posexplode("bands").alias("band", "key")), None, None
-    for turn in range(ROUNDS + 1):
-        rows = _open(runs, links)
-        pairs = _neighbours(rows) if turn < ROUNDS else _crossing(rows)
-        if tried is not None:
-            pairs = pairs.join(tried.union(tried.select("b", "a")), ["a", "b"], "left_anti")
-        pairs = _within(pairs, distinct)
-        if turn < ROUNDS:
-            pairs = pairs.groupBy("b").agg(F.min_by("a", F.struct("apart", "a")).alias("a"))
-        pairs = common.store(pairs.select("a", "b"), "near-pair")
-        if turn == ROUNDS and pairs.isEmpty():
-            break
-        found = common.store(verified(pairs, _texts(pairs, distinct, docs)), "near-link")
-        links = found if links is None else links.union(found)
-        tried = pairs if tried is None else tried.union(pairs)
-        runs = rows.drop("part")
-    return links
+def near_parts(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Stored (doc_id, node) of every row of `docs`, and (node, id, part) of every node; part is the group's least node."""
+    marked = common.store(sketches(docs), "near-sketch")
+    first = [F.first(c).alias(c) for c in ("points", "bands", "bits")]
+    distinct = common.store(marked.groupBy("node").agg(F.min("doc_id").alias("id"), *first), "near-distinct")
+    families = common.store(components(candidate_links(distinct)).select("node", F.col("component").alias("family")), "near-family")
+    # the least node of a family is no row of the components
+    families = families.union(families.select("family", "family")).distinct()
+    groups = components(verified(families, distinct, docs))
+    parts = distinct.select("node", "id").join(groups, "node", "left").select("node", "id", F.coalesce("component", "node").alias("part"))
+    return marked.select("doc_id", "node"), common.store(parts, "near-part")
 
 
 def near_groups(docs: DataFrame) -> DataFrame:
     """doc_id and component_id of every row of `docs`."""
-    marked = common.store(sketches(docs), "near-sketch")
-    distinct = marked.groupBy("node").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands"), F.first("bits").alias("bits"))
-    distinct = common.store(distinct, "near-distinct")
-    parts = distinct.select("node", "id").join(components(near_links(distinct, docs)), "node", "left").select("node", "id", F.coalesce("component", "node").alias("part"))
-    parts = common.store(parts, "near-part")
+    marked, parts = near_parts(docs)
     least = parts.groupBy("part").agg(F.min("id").alias("component_id"))
     named = common.store(parts.join(least, "part").select("node", "component_id"), "near-component")
-    return marked.select("doc_id", "node").join(named, "node").select("doc_id", "component_id")
+    return marked.join(named, "node").select("doc_id", "component_id")
 
 
 def survivors(docs: DataFrame) -> DataFrame:
-    """The rows of `docs` of which no near copy has a smaller doc_id, with its columns."""
-    stay = common.store(near_groups(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("k_id")).distinct(), "near-stay")
-    return docs.join(stay, docs.doc_id.eqNullSafe(F.col("k_id")), "left_semi")
+    """One row of each group of near copies, that with the smallest doc_id, with the columns of `docs`.
+
+    Where an id occurs more than once, the texts of its rows tell which of them stays.
+    """
+    _, parts = near_parts(docs)
+    first = F.min(F.struct(F.col("id").isNull().alias("z"), F.col("id").alias("i"), F.col("node").alias("k"))).alias("s")
+    stay = common.store(parts.groupBy("part").agg(first).select(F.col("s.i").alias("k_id"), F.col("s.k").alias("k_key")), "near-stay")
+    return common.kept_rows(docs, stay, shingle_node(F.coalesce("text", F.lit(""))), "near")

@@ -16,18 +16,20 @@ reference fingerprints. By the triangle inequality, a pair with a coordinate tha
 differs by more than 2 can't link; it is discarded by its largest coordinate
 difference, and the survivors are verified bit by bit. Of a run only a spanning
 forest of its links goes on, as many links as rows at most, which leaves components
-as they are.
+as they are. Links join fingerprints; ids only name what they join.
 
 Defined cases: no words (null text included) gives fingerprint zero, linked like any
-other; fewer words than a shingle hash as one sequence; repeated rows and ids are
-members like any other; null ids are ignored as component ids; an empty table gives
-an empty result; other columns are ignored.
+other; fewer words than a shingle hash as one sequence; a very long text is summed
+slice by slice; repeated rows and ids are members like any other, a row with its own
+text; rows without id link like any other, and name a component (by null) only where
+no row of it has an id; an empty table gives an empty result; other columns are
+ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import pairwise, repeat
 
 import numpy as np
 import pandas as pd
@@ -93,21 +95,21 @@ def _signed(mask: int) -> int:
 
 
 def _keyed(rows: DataFrame, level: int, within: bool) -> DataFrame:
-    """Rows (fp, id, path, part) of each path of a level; `within`: only paths that refine the rows' own."""
+    """Rows (fp, path, part) of each path of a level; `within`: only paths that refine the rows' own."""
     paths = F.array(*[F.struct(F.lit(n).alias("n"), F.lit(_signed(m)).cast("long").alias("mask")) for n, m in _paths(level).items()])
     chosen = F.filter(paths, lambda p: F.floor(p["n"] / 4) == F.col("path")) if within else paths
-    return rows.withColumn("p", F.explode(chosen)).select("fp", "id", F.col("p.n").alias("path"), F.col("fp").bitwiseAND(F.col("p.mask")).alias("part"))
+    return rows.withColumn("p", F.explode(chosen)).select("fp", F.col("p.n").alias("path"), F.col("fp").bitwiseAND(F.col("p.mask")).alias("part"))
 
 
 def candidates(distinct: DataFrame) -> DataFrame:
-    """Rows (fp, id, path, part); fingerprints that link share a (path, part)."""
+    """Rows (fp, path, part) of `distinct` (fp); fingerprints that link share a (path, part)."""
     level, rows = 2, common.store(_keyed(distinct, 2, False), "simhash-key")
     settled = None
     while level < 6:
         hot = common.store(rows.groupBy("path", "part").count().filter(F.col("count") > RUN_ROWS).select("path", "part"), "simhash-hot")
         if hot.isEmpty():
             break
-        cold = rows.join(hot, ["path", "part"], "left_anti").select("fp", "id", "path", "part")
+        cold = rows.join(hot, ["path", "part"], "left_anti").select("fp", "path", "part")
         settled = cold if settled is None else settled.unionByName(cold)
         level += 1
         rows = common.store(_keyed(rows.join(hot, ["path", "part"], "left_semi"), level, True), "simhash-key")
@@ -120,15 +122,19 @@ def pivots(count: int = PIVOTS) -> np.ndarray:
 
 
 def run_links(fps: np.ndarray, references: np.ndarray, distance: int = DISTANCE) -> list[tuple[int, int]]:
-    """A spanning forest, as pairs of positions, of the links within a run of fingerprints."""
-    table = np.bitwise_count(fps[:, None] ^ references).astype(np.int8)
+    """A spanning forest, as pairs of positions, of the links within a run of fingerprints.
+
+    A fingerprint is a row of 64-bit numbers.
+    """
+    apart = lambda x, y: np.bitwise_count(x ^ y).sum(axis=-1, dtype=np.int16)
+    table = np.column_stack([apart(fps, r) for r in references])
     left, links = np.arange(len(fps)), []
     while len(left) > 1:
         queue, left = [int(left[0])], left[1:]
         while queue and len(left):
             x = queue.pop()
             near = left[np.abs(table[left] - table[x]).max(axis=1) <= distance]
-            near = near[np.bitwise_count(fps[near] ^ fps[x]) <= distance]
+            near = near[apart(fps[near], fps[x]) <= distance]
             if len(near):
                 links += zip(repeat(x), near.tolist())
                 queue += near.tolist()
@@ -136,54 +142,65 @@ def run_links(fps: np.ndarray, references: np.ndarray, distance: int = DISTANCE)
     return links
 
 
+def whole_runs(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
+    """Sorted rows batch by batch, none of which parts the rows of a key; a key's rows must be few."""
+    held = None
+    for batch in batches:
+        rows = batch if held is None else pd.concat([held, batch], ignore_index=True)
+        if not len(rows):
+            continue
+        other = np.zeros(len(rows), bool)
+        for k in keys:
+            other |= (rows[k] != rows[k].iloc[-1]).to_numpy()
+        whole = int(other.sum())  # the last run may go on in the next batch
+        held = rows.iloc[whole:]
+        if whole:
+            yield rows.iloc[:whole]
+    if held is not None and len(held):
+        yield held
+
+
+def runs_of(rows: pd.DataFrame, keys: list[str]) -> Iterator[tuple[int, int]]:
+    """First and end of each run of equal keys in sorted rows."""
+    new = np.zeros(len(rows), bool)
+    for k in keys:
+        column = rows[k].to_numpy()
+        new[1:] |= column[1:] != column[:-1]
+    yield from pairwise([0, *np.flatnonzero(new).tolist(), len(rows)])
+
+
 def links(distinct: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """Pairs (a, b) of ids of linked fingerprints that connect all that links connect."""
+    """Pairs (a, b) of linked fingerprints of `distinct` (fp) that connect all that links connect."""
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        references, held = pivots(), None
-
-        def found(rows: pd.DataFrame) -> pd.DataFrame:
-            path, part = rows["path"].to_numpy(), rows["part"].to_numpy()
-            fps, ids = rows["fp"].to_numpy(np.int64).view(np.uint64), rows["id"].to_numpy(np.int64)
-            edge = np.flatnonzero((path[1:] != path[:-1]) | (part[1:] != part[:-1])) + 1
-            starts, ends = np.append(0, edge), np.append(edge, len(rows))
-            out = []
-            for s, e in zip(starts[ends - starts > 1].tolist(), ends[ends - starts > 1].tolist(), strict=True):
-                out += [(ids[s + i], ids[s + j]) for i, j in run_links(fps[s:e], references, distance)]
-            return pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
-
-        for batch in batches:
-            rows = batch if held is None else pd.concat([held, batch], ignore_index=True)
-            last = rows.iloc[-1] if len(rows) else None
-            if last is None:
-                continue
-            whole = int(((rows["path"] != last["path"]) | (rows["part"] != last["part"])).sum())
-            held = rows.iloc[whole:]  # the last run may go on in the next batch; runs are bounded
-            yield found(rows.iloc[:whole]) if whole else pd.DataFrame({"a": [], "b": []}, dtype=np.int64)
-        if held is not None and len(held) > 1:
-            yield found(held)
+        references = pivots()
+        for rows in whole_runs(batches, ["path", "part"]):
+            fps, out = rows["fp"].to_numpy(np.int64), []
+            for s, e in runs_of(rows, ["path", "part"]):
+                if e - s > 1:
+                    out += [(fps[s + i], fps[s + j]) for i, j in run_links(fps[s:e].view(np.uint64)[:, None], references, distance)]
+            yield pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
 
     keyed = candidates(distinct).repartition("path", "part").sortWithinPartitions("path", "part", "fp")
-    return keyed.select("path", "part", "fp", "id").mapInPandas(search, "a long, b long")
+    return keyed.select("path", "part", "fp").mapInPandas(search, "a long, b long")
 
 
 def near_groups(docs: DataFrame, size: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
     """doc_id, fp and component_id of every row of `docs`."""
     marked = common.store(fingerprints(docs, size), "simhash-fp")
     distinct = common.store(marked.groupBy("fp").agg(F.min("doc_id").alias("id")), "simhash-distinct")
-    grouped = components(links(distinct.filter("id is not null"), distance))
-    least = distinct.join(grouped, distinct.id == grouped.node, "left").select("fp", F.coalesce("component", "id").alias("component_id"))
-    least = common.store(least, "simhash-component")
-    return marked.join(least, "fp").select("doc_id", "fp", "component_id")
-
-
-def survivors(docs: DataFrame) -> DataFrame:
-    """The rows of `docs` of which no near copy has a smaller doc_id, with its columns."""
-    stay = common.store(near_groups(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("k_id")).distinct(), "simhash-stay")
-    return docs.join(stay, docs.doc_id.eqNullSafe(F.col("k_id")), "left_semi")
+    grouped = components(links(distinct.select("fp"), distance))
+    parts = distinct.join(grouped, distinct.fp == grouped.node, "left").select("fp", "id", F.coalesce("component", "fp").alias("part"))
+    parts = common.store(parts, "simhash-part")
+    least = parts.groupBy("part").agg(F.min("id").alias("component_id"))
+    named = common.store(parts.join(least, "part").select("fp", "component_id"), "simhash-component")
+    return marked.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fingerprint and group of near copies of every document."""
+    """Fingerprint and group of near copies of every document.
+
+    Reads doc_id and text of the whole table; the module's defined cases hold.
+    """
     groups = near_groups(common.documents(spark, sf_dir))
     return groups.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

@@ -4,6 +4,7 @@ from collections import defaultdict
 from itertools import combinations
 
 import numpy as np
+import pytest
 import xxhash
 
 from lotwright.llm import components, exact, simhash, substring
@@ -32,6 +33,13 @@ def test_exact_survivors_are_whole_rows(docs, rows):
     assert sorted(texts) == sorted({BLANK.sub("", t or "") for _, t, *_ in rows})
 
 
+def test_exact_survivors_of_repeated_ids_keep_the_longest(spark, clashing):
+    rows = [(1, "a b"), (1, "ab"), (1, " a  b "), (1, "c"), (2, "ab"), (None, "d"), (None, "d e"), (None, "de  ")]
+    left = exact.survivors(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted(map(tuple, left), key=str) == sorted([(1, " a  b "), (1, "c"), (None, "d"), (None, "de  ")], key=str)
+    assert exact.survivors(clashing).columns == clashing.columns
+
+
 def test_chunks_join_to_the_text_and_resume_after_an_edit(spark):
     text = "".join(f"s{i * i}abcdefgh" * 9 + "." for i in range(400))
     cut = lambda t: spark.createDataFrame([(t,)], "t string").select(exact.chunks(exact.normalised("t")).alias("c")).first().c
@@ -97,16 +105,21 @@ def test_fingerprints_near_each_other_link_in_small_and_refined_runs(spark, monk
         for b in rng.integers(0, 64, int(rng.integers(1, 5))):
             start ^= 1 << int(b)
         prints[i] = start
-    first = {}
-    for i, p in prints.items():
-        first.setdefault(p, i)
-    edges = [(a, b) for (p, a), (q, b) in combinations(first.items(), 2) if (p ^ q).bit_count() <= 2]
-    want = plain_components(first.values(), edges)
-    distinct = spark.createDataFrame([(p - (1 << 64) if p >> 63 else p, i) for p, i in first.items()], "fp long, id long")
+    signed = sorted({p - (1 << 64) if p >> 63 else p for p in prints.values()})
+    edges = [(p, q) for p, q in combinations(signed, 2) if ((p ^ q) % (1 << 64)).bit_count() <= 2]
+    want = plain_components(signed, edges)
+    distinct = spark.createDataFrame([(p,) for p in signed], "fp long")
     for most in (4096, 8):
         monkeypatch.setattr(simhash, "RUN_ROWS", most)
         got = {r.node: r.component for r in components.components(simhash.links(distinct)).collect()}
-        assert {i: got.get(i, i) for i in want} == want
+        assert {p: got.get(p, p) for p in want} == want
+
+
+def test_fingerprints_link_through_rows_without_id_and_repeated_ids(spark, monkeypatch):
+    rows = [(1, 0), (None, 3), (2, 15), (7, 1 << 40), (7, 1 << 20), (None, 0xFFFF << 30), (None, 0x1FFFF << 30)]
+    monkeypatch.setattr(simhash, "fingerprints", lambda docs, size: docs)
+    got = simhash.near_groups(spark.createDataFrame(rows, "doc_id long, fp long")).collect()
+    assert sorted(map(tuple, got), key=str) == sorted(((i, p, 1 if p < 1 << 41 else None) for i, p in rows), key=str)
 
 
 def test_simhash_edges(nothing, docs, clashing, spark):
@@ -114,8 +127,12 @@ def test_simhash_edges(nothing, docs, clashing, spark):
     assert simhash.near_groups(docs).count() == docs.count()
     pick = lambda d: sorted(map(str, simhash.near_groups(d).collect()))
     assert pick(docs) == pick(clashing)
-    left = simhash.survivors(docs)
-    assert left.columns == docs.columns and left.filter("doc_id between 300 and 307").count() < 8
+
+
+def test_components_that_do_not_settle_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(components, "MOST_ROUNDS", 1)
+    with pytest.raises(RuntimeError):
+        components.components(spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long"))
 
 
 def test_components_of_paths_and_stars(spark):
@@ -155,6 +172,39 @@ def test_substring_dedup_matches_brute_force(docs, rows):
     assert sorted(map(tuple, got), key=str) == want
 
 
+def test_substring_keeps_words_that_rolling_hashes_confuse(spark):
+    """Thue-Morse words collide under any polynomial hash modulo 2**64."""
+    bits = [i.bit_count() % 2 for i in range(1024)]
+    one, two = ("".join("ab"[b ^ flip] for b in bits) for flip in (0, 1))
+    rows = [(i, " ".join([*(f"w{k}" for k in range(19)), x])) for i, x in enumerate((one, two, one))]
+    got = {r.doc_id: r.n_removed for r in substring.deduped(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {0: 0, 1: 0, 2: 20}
+
+
+def test_sketch_never_underestimates_and_adds_up_copies_of_a_pack():
+    import pandas as pd
+
+    hashes = np.random.default_rng(3).integers(0, 1 << 62, 5000, dtype=np.uint64)
+    packs = [hashes[:3000], hashes[2900:], np.repeat(hashes[100:101], 50)]
+    for row in range(substring.ROWS):
+        counters = [substring.Counters(h, row, 2, 10) for h in packs]
+        messages = []
+        for p, c in enumerate(counters):
+            for block, s, e in substring._blocks(c.codes, 10):
+                cells = (c.codes[s:e] & np.uint64(1023)).astype(np.uint32)
+                messages.append((p, row, block, e - s, substring._planes(np.diff(cells, prepend=np.uint32(0))) + np.packbits(c.counts[s:e] > 1).tobytes()))
+        frame = pd.DataFrame(messages, columns=["p", "row", "block", "n", "blob"])
+        answers = pd.concat([substring._merge_sketch(10)(g) for _, g in frame.groupby("block")])
+        total = np.zeros(1 << 12, int)
+        for c in counters:
+            np.add.at(total, c.codes.astype(int), c.counts)
+        assert len(answers) == len(frame) and total.sum() == sum(map(len, packs))
+        for p, c in enumerate(counters):
+            mine = answers[answers.p == p].sort_values("block")
+            bits = np.concatenate([np.unpackbits(np.frombuffer(b, np.uint8), count=e - s) for b, (_, s, e) in zip(mine.bits, substring._blocks(c.codes, 10), strict=True)])
+            assert (bits.astype(bool) == (total[c.codes.astype(int)] > 1)).all()
+
+
 def test_substring_of_nothing_and_other_columns(nothing, docs, clashing):
     assert substring.deduped(nothing).count() == 0
     assert sorted(map(str, substring.deduped(docs).collect())) == sorted(map(str, substring.deduped(clashing).collect()))

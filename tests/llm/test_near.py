@@ -3,6 +3,8 @@
 import random
 from itertools import combinations
 
+import numpy as np
+
 import corpus_pipeline
 from lotwright.llm import near
 
@@ -66,8 +68,36 @@ def test_pipeline_near_stage_matches_all_pairs(spark):
     assert sorted(r.doc_id for r in left.collect()) == sorted(set(want.values()))
 
 
+def test_near_tiles_and_large_runs_lose_no_link(spark, monkeypatch):
+    rows = near_rows()[-12:] + [(6000 + k, edited(777 + k % 3, 200, 1 + k % 7)) for k in range(40)]
+    want = plain_groups(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for run, tile in ((4096, 512), (4, 512), (4096, 5)):
+        monkeypatch.setattr(near, "RUN_ROWS", run)
+        monkeypatch.setattr(near, "TILE_ROWS", tile)
+        assert {r.doc_id: r.component_id for r in near.near_groups(docs).collect()} == want
+
+
+def test_shared_counts_match_plain_sets(monkeypatch):
+    rng = np.random.default_rng(5)
+    sets = [np.unique(rng.integers(0, 60, 30, dtype=np.uint64)) for _ in range(9)]
+    for columns in (near.COLUMNS, 7):
+        monkeypatch.setattr(near, "COLUMNS", columns)
+        got = near.shared_counts(sets[:4], sets[4:])
+        assert got.tolist() == [[len(set(x.tolist()) & set(y.tolist())) for y in sets[4:]] for x in sets[:4]]
+
+
+def test_near_survivors_of_repeated_ids(spark):
+    f, g = prose(1, 80), prose(2, 80)
+    rows = [(3, f), (5, g), (5, f), (5, g + " "), (None, g), (None, prose(4, 80)), (8, None), (9, "")]
+    left = near.survivors(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted(map(tuple, left), key=str) == sorted([(3, f), (5, g + " "), (None, prose(4, 80)), (8, None)], key=str)
+
+
 def test_near_edges(nothing, docs, unique, clashing):
     assert near.near_groups(nothing).count() == 0
     want = plain_groups([(r.doc_id, r.text) for r in unique.collect()])
     assert {r.doc_id: r.component_id for r in near.near_groups(unique).collect()} == want
     assert sorted(map(str, near.near_groups(docs).collect())) == sorted(map(str, near.near_groups(clashing).collect()))
+    assert near.survivors(clashing).columns == clashing.columns
+    assert near.survivors(nothing).count() == 0

@@ -87,6 +87,14 @@ def test_resampled_keeps_columns_and_counts(unique):
     assert got == {i: n for i, n in copies.items() if n}
 
 
+def test_resampled_of_repeated_rows_takes_what_the_mix_takes(docs, clashing):
+    mixed = mixing.mix(docs).collect()
+    words = sum(r.taken for r in mixed)
+    assert sum(n_words(r.text) for r in mixing.resampled(docs).collect()) == words
+    out = mixing.resampled(clashing)
+    assert out.columns == clashing.columns and out.count() == mixing.resampled(docs).count()
+
+
 def check_packing(got, rows, capacity=2048):
     tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     tokenizer.encode_special_tokens = True
