@@ -235,7 +235,7 @@ class Counters:
     """The counters of a row of the sketch that a pack's windows touch: sorted codes (block and cell), their counts, and each window's counter."""
 
     def __init__(self, hashes: np.ndarray, row: int, bits: int, cell_bits: int):
-    XX
+        codes = _mix(hashes + U((row + 1) * 0x9E3779B97F4A7C15 % (1 << 64))) >> U(64 - cell_bits - bits)
         order = np.argsort(codes)
         ranked = codes[order]
         new = np.append(True, ranked[1:] != ranked[:-1])[: len(ranked)]
