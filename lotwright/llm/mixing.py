@@ -234,7 +234,7 @@ def resampled(docs: DataFrame, cap: int = CAP) -> DataFrame:
     several = common.store(taken.filter("k_rows > 1"), "mix-several")
     if several.isEmpty():
         return one
-    alike = joined(sized, several).select(F.struct(*[sized[c] for c in docs.columns]).alias("best"), "k_id", "k_source", "k_size", "k_mark", "k_copies", "k_rows")
-    alike = alike.groupBy("k_id", "k_source", "k_size", "k_mark", "k_copies", "k_rows").agg(F.first("best").alias("best"))
+    alike = joined(sized, several).select(F.struct(*[sized[c] for c in docs.columns]).alias("best"), *[several[c] for c in several.columns])
+    alike = alike.groupBy(*several.columns).agg(F.first("best").alias("best"))
     alike = alike.withColumn("k_times", F.when(F.col("k_size") == 0, F.col("k_rows")).otherwise(F.col("k_copies")).cast("int")).filter("k_times > 0")
     return one.unionByName(alike.select("best", F.explode(F.sequence(F.lit(1), F.col("k_times")))).select("best.*"))

@@ -10,9 +10,12 @@ all partitions are dealt anew and packed again, for a few rounds.
 
 Only piece lengths and checksums are shuffled, never texts or ids.
 
-Defined cases: a null text is empty and packs its end id alone; equal rows are
-separate documents; ids may repeat or be null; an empty table packs to nothing;
-other columns are ignored.
+Defined cases: a null text is empty and packs its end id alone; a text that holds the
+name of a special token of the vocabulary gets that token's id there, as the plain
+tokenizer has it; a very long text is cut into pieces as it is encoded; equal rows are
+separate documents; ids may repeat or be null, as pieces are dealt by row and not by
+id; of pieces of equal length that come first which are read first; an empty table
+packs to nothing; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
-from itertools import accumulate, chain, pairwise
+from itertools import accumulate, chain, compress, pairwise
 
 import numpy as np
 import pandas as pd
@@ -40,7 +43,7 @@ CACHE_WORDS = 800_000
 SLICE_BYTES = 2_000_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-PLACED = f"{PIECES}, sequence_id long, offset long, settled boolean"
+PLACED = f"row long, {PIECES}, sequence_id long, offset long, settled boolean"
 
 
 class WordIds:
@@ -62,7 +65,7 @@ class WordIds:
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
-        self.tokenizer.encode_special_tokens = True
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         # the same merges for parts that are in lower case and parted already
         self.merges = Tokenizer.from_file(vocabulary)
         self.merges.encode_special_tokens = True
@@ -110,6 +113,12 @@ class WordIds:
         self.known.update(zip(several, (b"".join(map(get, p)) for p in parted), strict=True))
 
     def of(self, texts: list[str]) -> Iterator[bytes]:
+        """The ids of each text. One with a special token is no sequence of words, and goes to the tokenizer whole."""
+        plain = [not any(s in t for s in self.special) for t in texts]
+        of_words = self._of_words(list(compress(texts, plain)))
+        return (next(of_words) if p else self._encoded([t])[0] for t, p in zip(texts, plain, strict=True))
+
+    def _of_words(self, texts: list[str]) -> Iterator[bytes]:
         words = [(t.encode().lower() if t.isascii() else t.encode()).split() for t in texts]
         flat = list(chain.from_iterable(words))
         if len(self.known) > CACHE_WORDS:  # what shows up again now is likely to do so again
@@ -240,17 +249,19 @@ def _pack_round(items: DataFrame, number: int, capacity: int, last: bool) -> Dat
         settled = np.full(len(part), True) if certified or last else fill[bins] == capacity
         return part.assign(sequence_id=(number << 58) + (int(key[0]) << 22) + bins, offset=offsets, settled=settled)
 
-    dealt = items.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", F.lit(number)), F.lit(parts)))
+    dealt = items.withColumn("part", F.pmod(F.xxhash64("row", F.lit(number)), F.lit(parts)))
     return dealt.groupBy("part").applyInPandas(pack, PLACED)
 
 
 def packed(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACITY, rounds: int = ROUNDS) -> DataFrame:
     """The place of every piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
-    left, done = common.store(pieces(docs, vocabulary, capacity), "pack-piece"), None
+    # the row's number is stored with it, so it is the same whenever it is read
+    cut = pieces(docs, vocabulary, capacity).select(F.monotonically_increasing_id().alias("row"), "*")
+    left, done = common.store(cut, "pack-piece"), None
     for number in range(rounds):
         last = number == rounds - 1
         out = common.store(_pack_round(left, number, capacity, last), f"pack-{number}")
-        settled = out.filter("settled").drop("settled")
+        settled = out.filter("settled").drop("row", "settled")
         done = settled if done is None else done.unionByName(settled)
         left = out.filter("not settled").drop("sequence_id", "offset", "settled")
         if last or left.isEmpty():
@@ -259,5 +270,8 @@ def packed(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPAC
 
 
 def op2_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents packed into sequences of 2048 tokens."""
+    """All documents packed into sequences of 2048 tokens.
+
+    Reads doc_id and text of the whole table; the module's defined cases hold.
+    """
     return packed(common.documents(spark, sf_dir))

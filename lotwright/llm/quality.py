@@ -6,8 +6,9 @@ walking its flattened trees in numpy.
 
 Defined cases: a null text is an empty one and gets a score; with no usable label
 every score is a constant; a document with several labels counts with the smallest;
-repeated rows get equal scores; an empty table gives an empty result; other columns
-are ignored.
+rows with the same statistics tie and get equal scores; a very long text is measured
+whole; an empty table gives an empty result; other columns are ignored, even one
+named score.
 """
 
 from __future__ import annotations
@@ -69,11 +70,12 @@ def _matrix(texts: pd.Series) -> np.ndarray:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, target: str, rows: int) -> DataFrame:
-    """text and y of the sample of labelled rows, none of them held out."""
+    """text and y of the sample of labelled rows, none of them held out; of texts of one id, the greatest."""
     usable = labels.filter(F.col("doc_id").isNotNull() & F.col(target).isNotNull() & ~common.held_out(F.col("doc_id")))
     one = usable.groupBy("doc_id").agg(F.min(target).alias("y"))
     sample = one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)  # bounded, so it may be broadcast
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(sample), "doc_id").select("text", "y")
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(sample), "doc_id")
+    return texts.groupBy("doc_id", "y").agg(F.max("text").alias("text")).select("text", "y")
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> boosting.Forest:
@@ -85,29 +87,33 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> boosti
             yield pd.DataFrame(_matrix(batch["text"]), columns=names).assign(y=batch["y"].to_numpy())
 
     sample = training_rows(docs, labels, "quality", rows)
-    # a document id that repeats in `docs` adds rows; the bound holds for them too
-    got = sample.mapInPandas(measure, ", ".join(f"{c} double" for c in names) + ", y int").limit(rows).toPandas().sort_values(names)
+    got = sample.mapInPandas(measure, ", ".join(f"{c} double" for c in names) + ", y int").toPandas().sort_values([*names, "y"])
     return boosting.fit(got[names].to_numpy(float), got["y"].to_numpy(float))
 
 
-def scored(docs: DataFrame, model: boosting.Forest) -> DataFrame:
-    """`docs` with a column score."""
+def scored(docs: DataFrame, model: boosting.Forest, name: str = "score") -> DataFrame:
+    """`docs` with a column for the score, whose name the caller gives if `docs` may have one of that name."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a few thousand numbers
 
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
         return pd.Series(shared.value.score(_matrix(texts)))
 
-    return docs.withColumn("score", score(F.coalesce("text", F.lit(""))))
+    return docs.withColumn(name, score(F.coalesce("text", F.lit(""))))
 
 
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of `docs` that the classifier accepts, with its columns."""
-    return scored(docs, fit(docs, labels)).filter(F.col("score") >= ACCEPTED).select(*docs.columns)
+    name = common.fresh(docs, "score")
+    return scored(docs, fit(docs, labels), name).filter(F.col(name) >= ACCEPTED).select(*docs.columns)
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Quality score of every document."""
+    """Quality score of every document.
+
+    Reads doc_id and text of the whole table, and the labels that are not held out;
+    the module's defined cases hold.
+    """
     docs = common.documents(spark, sf_dir)
     out = scored(docs.select("doc_id", "text"), fit(docs, common.labels(spark, sf_dir)))
     return out.select("doc_id", common.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= ACCEPTED).cast("int").alias("predicted"))

@@ -10,8 +10,9 @@ what it left. No text or count is read again to keep totals current.
 
 Defined cases: a null text has no tokens but is a document; null sources and
 languages are keys of their own; equal rows count each; groups that come to no
-documents and no tokens are left out; a ledger without batches and a batch without
-rows give no totals; other columns are ignored.
+documents and no tokens are left out; a very long text is counted whole, in the batch
+of texts that it comes in; a ledger without batches and a batch without rows give no
+totals; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -118,14 +119,27 @@ class Rollup:
         return summed.filter((F.col("documents") != 0) | (F.col("tokens") != 0))
 
 
+def estimated(docs: DataFrame) -> DataFrame:
+    """The counts that documents come with, before any tokenizer has run: a token for each four code points."""
+    guess = docs.select("source", "lang", F.ceil(F.coalesce(F.length("text"), F.lit(0)) / 4).alias("tokens"))
+    versions = F.explode(F.array(*[F.lit(v) for v in VERSIONS.values()])).alias("tokenizer")
+    return guess.select("source", "lang", versions, "tokens")
+
+
 def op5_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token totals of all documents by source, language and tokenizer version.
 
-    The documents come in two batches, of which the first is then committed again.
+    All documents come with estimated counts, which a second batch revises to those of
+    the tokenizers. Then those without a language or in German go, and come again.
+    The second batch is committed twice. The totals are those of all documents.
+    Reads source, lang and text of the whole table; the module's defined cases hold.
     """
-    counts = common.store(token_counts(common.documents(spark, sf_dir)), "rollup-count")
+    docs = common.documents(spark, sf_dir)
+    counts = common.store(token_counts(docs), "rollup-count")
+    guesses = estimated(docs)
     rollup = Rollup(spark, f"{common.shared_folder(spark)}/lotwright/rollup-{uuid.uuid4().hex}")
-    even = F.coalesce(F.col("doc_id") % 2 == 0, F.lit(False))
-    for batch, rows in (("even", even), ("odd", ~even), ("even", even)):
-        rollup.commit(batch, inserts(counts.filter(rows)))
+    some = counts.filter(F.coalesce(F.col("lang") == "de", F.lit(True)))
+    batches = {"arrival": inserts(guesses), "recount": revisions(guesses, counts), "withdrawal": deletes(some), "return": inserts(some)}
+    for batch in (*batches, "recount"):
+        rollup.commit(batch, batches[batch])
     return rollup.totals()

@@ -16,9 +16,12 @@ As the kernel of sentences adds over words, so does the decision; a worker keeps
 value of words it has met. A document's score is that of its likeliest sentence,
 raised by the next two where they speak for toxic too.
 
-Defined cases: a null text is empty and gets a score; with labels of one kind only,
-or none, every score is a constant below one half; a document labelled twice is toxic
-if any label says so; repeated rows get equal scores; other columns are ignored.
+Defined cases: a null or empty text gets the score of one like no landmark, and a row
+with an unknown id the score of its text; with labels of one kind only, or none, every
+score is a constant below one half; a document labelled twice is toxic if any label
+says so, and of several texts of one id the greatest trains; rows of equal texts tie
+and get equal scores; a very long text is scored whole, sentence by sentence; an empty
+table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -39,9 +42,10 @@ from pyspark.sql import functions as F
 from . import common
 from .packing import slices
 
-#: At most so many labelled documents, toxic and clean, those of the smallest hash, of at most TRAINING_POINTS code points.
+#: The sample has at most so many labelled documents, toxic and clean, those of the smallest hash, and of each kind as
+#: many as fit into TRAINING_POINTS code points together. It is the same whatever the size of the corpus.
 TOXIC_DOCS, CLEAN_DOCS = 1500, 3000
-TRAINING_POINTS = 20_000
+TRAINING_POINTS = 12_000_000
 TOXIC_LANDMARKS, CLEAN_LANDMARKS = 72, 24
 #: A landmark is at least so many times likelier in toxic documents; one chosen lessens the need of its documents for others.
 LEAST_ODDS = 4.0
@@ -270,14 +274,13 @@ def choose_landmarks(docs: list[set[str]], toxic: np.ndarray) -> list[str]:
     others = sorted(w for w, c in outside.items() if c >= 2 and odds.get(w, 0) < 1 and len(spelled(w)) >= 3)
     codes, owner = pieces_of([spelled(w) for w in others])
     like = np.zeros(len(others))
-    np.maximum.at(like, owner, likeness(codes, feature_table(_first_pieces(best))).max(axis=1, initial=0))
+    np.maximum.at(like, owner, likeness(codes, feature_table(_all_pieces(best))).max(axis=1, initial=0))
     mistaken = sorted((i for i in range(len(others)) if like[i] > 0), key=lambda i: (-like[i] * np.sqrt(outside[others[i]]), others[i]))
     return best + [others[i] for i in mistaken[:CLEAN_LANDMARKS]]
 
 
-def _first_pieces(words: list[str]) -> np.ndarray:
-    codes, owner = pieces_of([spelled(w) for w in words])
-    return codes[np.unique(owner, return_index=True)[1]]
+def _all_pieces(words: list[str]) -> np.ndarray:
+    return pieces_of([spelled(w) for w in words])[0]
 
 
 def bare(word: str) -> str:
@@ -304,11 +307,12 @@ def fit(texts: list[str], labels: np.ndarray) -> Model:
     texts, toxic = [texts[i] for i in keep.tolist()], labels[keep].astype(bool) if len(keep) else np.zeros(0, bool)
     if not len(toxic) or toxic.all() or not toxic.any():
         return nothing_learned()
-    split = [sentences(t) for t in texts]
+    same: dict[str, str] = {}  # a word that repeats is held once
+    split = [[[same.setdefault(w, w) for w in s] for s in sentences(t)] for t in texts]
     landmarks = choose_landmarks([{bare(w) for s in doc for w in s} for doc in split], toxic)
     if not landmarks:
         return nothing_learned()
-    codes = _first_pieces(landmarks)
+    codes = _all_pieces(landmarks)
     table = feature_table(codes)
     values, vectors = np.linalg.eigh(likeness(codes, table).astype(float) + RIDGE * np.eye(len(codes)))
     root = vectors @ np.diag(1 / np.sqrt(np.maximum(values, RIDGE))) @ vectors.T
@@ -363,10 +367,16 @@ def training_texts(docs: DataFrame, labels: DataFrame) -> tuple[list[str], np.nd
     one = usable.groupBy("doc_id").agg(F.max("toxic").alias("y"))
     kind = lambda v, most: one.filter(F.col("y") == v).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     sample = kind(1, TOXIC_DOCS).unionByName(kind(0, CLEAN_DOCS))  # bounded, so it may be broadcast
-    text = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).filter(F.length("text") <= TRAINING_POINTS)
-    got = text.join(F.broadcast(sample), "doc_id").select("doc_id", "text", "y").limit(TOXIC_DOCS + CLEAN_DOCS).collect()
-    got = sorted(got)
-    return [r["text"] for r in got], np.array([r["y"] for r in got])
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(sample), "doc_id")
+    texts = texts.groupBy("doc_id", "y").agg(F.max("text").alias("text")).select(F.xxhash64("doc_id").alias("rank"), "doc_id", "y", F.length("text").alias("points"), "text")
+    texts = common.store(texts, "toxic-sample")
+    chosen, room = [], {0: TRAINING_POINTS, 1: TRAINING_POINTS}
+    for r in sorted(texts.select("rank", "doc_id", "y", "points").collect()):
+        if r.points <= room[r.y]:
+            room[r.y] -= r.points
+            chosen.append(r.doc_id)
+    got = sorted(texts.filter(F.col("doc_id").isin(chosen)).select("rank", "doc_id", "text", "y").collect())
+    return [r.text for r in got], np.array([r.y for r in got])
 
 
 _values: dict = {}
@@ -399,6 +409,10 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Toxicity of every document."""
+    """Toxicity of every document.
+
+    Reads doc_id and text of the whole table, and the labels that are not held out;
+    the module's defined cases hold.
+    """
     docs = common.documents(spark, sf_dir)
     return scored(docs, fit(*training_texts(docs, common.labels(spark, sf_dir))))

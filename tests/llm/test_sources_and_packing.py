@@ -97,7 +97,6 @@ def test_resampled_of_repeated_rows_takes_what_the_mix_takes(docs, clashing):
 
 def check_packing(got, rows, capacity=2048):
     tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    tokenizer.encode_special_tokens = True
     pieces = defaultdict(list)
     for r in got:
         pieces[r.doc_id].append(r)
@@ -134,6 +133,24 @@ def test_packing_rounds_exchange_pieces(unique, monkeypatch):
     assert used <= 1.3 * packing.lower_bound(np.array([r.length for r in got])) + 1
 
 
+def test_packing_has_the_plain_tokenizers_ids(spark):
+    texts = ["<|endoftext|> hello", "a<|endoftext|>b", "<|startoftext|>", "A <|ENDOFTEXT|> b", "<|endof text|>", "It's 12's don't—x", "İstanbul ǅ ß ﬁ", "tab\tand\u00a0space\u2028line", "e\u0301 é"]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    check_packing(packing.packed(spark.createDataFrame(rows, "doc_id long, text string")).collect(), rows)
+
+
+def test_packing_deals_rows_of_one_id(spark, monkeypatch):
+    monkeypatch.setattr(packing, "PART_ROWS", 50)
+    rows = [(None, "word " * (i % 90)) for i in range(300)] + [(4, "same text") for _ in range(300)]
+    got = packing.packed(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert got.count() == 600
+    fill = got.groupBy("sequence_id").agg(F.sum("length").alias("n"), F.max(F.col("offset") + F.col("length")).alias("e")).collect()
+    assert all(r.n == r.e <= 2048 for r in fill)
+    assert sum(r.n for r in fill) == sum(i % 90 + 1 for i in range(300)) + 300 * 3
+    parts = spark.range(600).select(F.pmod(F.xxhash64("id", F.lit(0)), F.lit(12)).alias("p")).groupBy("p").count()
+    assert parts.agg(F.max("count")).first()[0] < 120
+
+
 def test_packing_of_nothing_and_of_other_columns(nothing, docs, clashing):
     assert packing.packed(nothing).count() == 0
     pick = lambda d: sorted(map(str, packing.packed(d).select("doc_id", "piece", "start", "length", "ids_crc32").collect()))
