@@ -38,8 +38,8 @@ from . import common
 GRAM = 12
 WINDOW = 20
 #: A range has about this many code points, or this many documents if that makes more ranges.
-RANGE_POINTS = 24_000_000
-RANGE_ROWS = 100_000
+RANGE_POINTS = 4_000_000
+RANGE_ROWS = 20_000
 #: Beyond so many ranges they grow instead, so the table of bounds that all tasks get stays under 2 MB.
 MOST_RANGES = 1 << 16
 #: Grams that are hashed at once, and code points of texts after which results are handed on.
