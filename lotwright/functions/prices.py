@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .normalise import plural
+
 # Notes, and the parts of a way of placing that tell there was no bidding.
 NO_BIDDING = "торгов не было"
 NO_START = "начальная цена не найдена"
@@ -49,3 +51,23 @@ def discount(bidding: Column, start: Column, price: Column) -> Column:
 def short_percent(c: Column) -> Column:
     """One digit after the point, two for less than a tenth."""
     return F.when(F.abs(c) >= 0.1, F.round(c, 1)).otherwise(F.round(c, 2))
+
+
+def discount_note(lowered: Column, known: Column, no_bidding: Column, incomparable: Column, most: Column) -> Column:
+    """One line on the price reductions of some contracts: how many and how far, how many without bidding, how many beyond comparison."""
+    many = lambda n: plural(n, "контракт", "контракта", "контрактов")
+    of = lambda n: F.when((n % 10 == 1) & (n % 100 != 11), "контракта").otherwise("контрактов")
+    text = lambda c: c.cast("string")
+    percent = short_percent(most)
+    # a whole number is written with one digit after the point, as any other
+    furthest = F.when(percent != 0, F.concat(F.lit(", максимум −"), text(percent), F.lit("%"))).otherwise("")
+    head = (
+        F.when((known == 0) & (no_bidding > 0), NO_BIDDING)
+        .when(known == 0, "начальная цена неизвестна")
+        .when((lowered == 0) & (known == 1), "контракт заключён по начальной цене")
+        .when(lowered == 0, F.concat(F.lit("все "), text(known), F.lit(" "), many(known), F.lit(" — по начальной цене")))
+        .otherwise(F.concat(F.lit("снижали в "), text(lowered), F.lit(" из "), text(known), F.lit(" "), of(known), F.coalesce(furthest, F.lit(""))))
+    )
+    without = F.when((no_bidding > 0) & (known > 0), F.concat(F.lit("ещё "), text(no_bidding), F.lit(" без торгов")))
+    beyond = F.when(incomparable > 0, F.concat(F.lit("у "), text(incomparable), F.lit(" "), of(incomparable), F.lit(" цену сравнить не с чем")))
+    return F.concat_ws("; ", head, without, beyond)

@@ -1,8 +1,13 @@
 """Domain cases of the column functions and text rules."""
 
+import re
+from difflib import SequenceMatcher
+
 import pytest
 from pyspark.sql import functions as F
 
+from lotwright.functions import companies as C
+from lotwright.functions import evidence as E
 from lotwright.functions import identifiers as I
 from lotwright.functions import names
 from lotwright.functions import normalise as N
@@ -117,35 +122,115 @@ def test_spellings():
     assert len(names.search_words("B.Well PRO-30 Comfort")) == 2
 
 
-def test_initialisms():
-    assert names.is_initialism("ДЗМО", "Досчатинский завод медицинского оборудования")
-    assert not names.is_initialism("Досчатинский завод медицинского оборудования", "ДЗМО")
-    assert not names.is_initialism("Медтехника", "Медтехника плюс")
+def test_initialisms(spark):
+    full = "Досчатинский завод медицинского оборудования"
+    pairs = [("ДЗМО", full), (full, "ДЗМО"), ("Медтехника", "Медтехника плюс"), ("ООО «ДЗМО»", f"АО «{full}»"), ("дзмо", full), ("ДЗ медицинского оборудования", full), ("ДЗМ", full), ("", full)]
+    assert of(spark, pairs, C.is_initialism(F.col("a"), F.col("b")), "a string, b string") == [True, False, False, True, False, True, False, False]
 
 
 def test_phonetic_closeness(spark):
-    assert of(spark, ["Диксион", "RuScan"], names.phonetic_close(F.col("v"), F.lit("DIXION"))) == [True, False]
-    assert names.sound("Рускан") == names.sound("RuScan")
+    assert of(spark, ["Диксион", "RuScan", "Нечто (Диксион)", None], names.phonetic_close(F.col("v"), F.lit("DIXION"))) == [True, False, True, False]
+    assert of(spark, ["Рускан", "RuScan"], N.phonetic(F.col("v"))) == ["ruskan", "ruskan"]
+
+
+def test_similarity(spark):
+    pairs = [("Стол", "стол"), ("", "x"), ("Аппарат для ингаляции", "аппарат для терапии"), ("Камера \"Бирюса\"", "Камера Бирюса медицинская холодильная для хранения крови"), ("камера", "камера медицинская холодильная для хранения крови и плазмы")]
+    got = of(spark, pairs, F.round(names.similarity(F.col("a"), F.col("b")), 4), "a string, b string")
+
+    def plain(a, b):
+        tidy = lambda t: " ".join(re.sub(r"[\"'«»()\[\]®™]", " ", t.lower().replace("ё", "е")).split())
+        x, y = tidy(a), tidy(b)
+        sets = [{t for t in re.findall(r"[a-zа-я0-9\-]{3,}", z) if t not in I.KEY_STOP} for z in (x, y)]
+        return round(max(SequenceMatcher(None, x, y).ratio(), len(sets[0] & sets[1]) / len(sets[0] | sets[1])), 4) if x and y else 0.0
+
+    assert got == [1.0, 0.0, plain(*pairs[2]), 0.85, plain(*pairs[4])]
+
+
+def test_kind_names(spark):
+    pairs = [("аппарат для ингаляции", "аппарат для терапии"), ("светильники медицинские", "Светильник медицинский передвижной"), ("стол", "стул"), ("кровать для пациента", "пациента кровать"), ("для", "для"), (None, "стол")]
+    assert of(spark, pairs, E.name_match(F.col("a"), F.col("b")), "a string, b string") == [0.5, 1.0, 0.0, 1.0, 0.0, 0.0]
+
+
+COMPANIES = [
+    ('"Жухай Сайгер Медикал Ко., Лтд", Китай', "Жухай Сайгер Медикал Ко., Лтд"), ('"Жухай Сайгер Медикал Ко., Лтд", Китай,', "Жухай Сайгер Медикал Ко., Лтд"),
+    ('"КИРХНЕР & ВИЛЬГЕЛЬМ ГмбХ + Ко. КГ"', "КИРХНЕР & ВИЛЬГЕЛЬМ ГмбХ + Ко. КГ"), ('ЗАО "ЗАВОД ЭМА"', 'ЗАО "ЗАВОД ЭМА"'), ("«Диксион»", "Диксион"),
+    ("ООО «Диксион»", "ООО «Диксион»"), ('ООО "НПЦ МТ "АРМЕД""', 'ООО "НПЦ МТ "АРМЕД""'), ('ЗАО "Завод ЭМА" Российская Федерация (643)', 'ЗАО "Завод ЭМА"'),
+    ("ООО «Каскад-ФТО» / Россия", "ООО «Каскад-ФТО»"), ('АО "Завод ЭМА', 'АО "Завод ЭМА"'), ('ООО "НОВГОДЕНТ"', 'ООО "НОВГОДЕНТ"'),
+    ("ООО «Медстальконструкция», Российская Федерация", "ООО «Медстальконструкция»"), ("ООО «Ромашка», Китайская Народная Республика", "ООО «Ромашка»"),
+    ("ООО «Ромашка», Республика Беларусь", "ООО «Ромашка»"), ('ООО "Корея-Мед"', 'ООО "Корея-Мед"'), ('АО "Республика"', 'АО "Республика"'), (None, ""),
+]
+
+
+def test_clean_companies(spark):
+    got = of(spark, [(raw,) for raw, _ in COMPANIES], C.clean_company(F.col("v")), "v string")
+    assert got == [want for _, want in COMPANIES]
+    assert of(spark, got, C.clean_company(F.col("v"))) == got
+
+
+def test_same_companies(spark):
+    pairs = [("ООО Ромашка", "АО «Ромашка»"), ("Сателек САС", "Сателек САС Франция"), ("ДЗМО", "Досчатинский завод медицинского оборудования"), ("Медтехника", "Медтехника плюс"), ("Диксион", "DIXION"), ("", ""), (None, "x")]
+    assert of(spark, pairs, C.same_company(F.col("a"), F.col("b")), "a string, b string") == [True, True, True, False, False, False, False]
+    assert of(spark, ["НПП Медтехника (Завод Луч)", "ИП Ли"], C.company_keys(F.col("v"))) == [["научнопроизводственноепредприятиемедтехника", "заводлуч"], []]
+    named = [("ООО Ромашка", ""), ("Mindray Co., Ltd", ""), ("Китай", ""), ("Филипс", "Производитель: Филипс, США"), ("Филипс", "Модель: Филипс"), ("12 штук ООО", ""), ("ООО", "")]
+    assert of(spark, named, C.is_company_name(F.col("a"), F.col("b")), "a string, b string") == [True, True, False, True, False, False, False]
+    forms = [("ИП", "ИП Иванов", "Омск", "Омск"), ("ИП", "ИП Иванов", "Омск", "Томск"), ("ООО Луч", "ООО Луч плюс", "Омск", "Омск"), ("ООО.", "ооо Луч", " Омск", "Омск")]
+    mended = C.mended_form(F.col("a"), F.col("b"), (F.col("c"), F.col("d")))
+    assert of(spark, forms, mended, "a string, b string, c string, d string") == ["ИП Иванов", "ИП", "ООО Луч", "ооо Луч"]
+
+
+def test_evidence(spark):
+    two = "a string, b string"
+    tono = F.array(F.lit("Аппарат для измерения артериального давления электрический с ручным нагнетением, портативный"))
+    devices = ["Прибор для измерения артериального давления и частоты пульса цифровой LD", "Измеритель артериального давления и частоты пульса полуавтоматический OMRON", "Стол операционный", None]
+    assert of(spark, [(d,) for d in devices], E.same_device_kind(F.col("v"), tono), "v string") == [True, True, False, False]
+    marks = [("Камера холодильная медицинская \"Бирюса 450S-R\"", "Камеры холодильные медицинские \"Бирюса\""), ("Стол массажный", "Стол операционный"), ("Камеры холодильные медицинские", "Камеры холодильные медицинские «Бирюса»"), ("Аппарат X", "")]
+    assert of(spark, marks, E.shares_mark(F.col("a"), F.col("b")), two) == [True, False, True, False]
+    texts = [("Аппарат KLT-6210", "Установка KLT-6220"), ("Аппарат KLT-6210", "KLT-6210, KLT-6220"), ("Аппарат KLT-6210", "Установка"), ("по ТУ 9452-001-90933304-2020 KLT-6210", "KLT 6210"), ("АВС-123", "ABC-123")]
+    assert of(spark, texts, E.contradicts(F.col("a"), F.col("b")), two) == [True, False, False, False, False]
+    assert of(spark, texts[:2], E.evidence(F.array(F.lit("KLT-6210"), F.lit("zzz")), F.col("a"), F.col("b")), two) == [[], ["KLT-6210"]]
+    phrases = [("рускан 70п", "Сканер RuScan, модель ЭГД-70П"), ("рускан 70п", "RuScan 60"), ("", "x"), ("x", "")]
+    assert of(spark, phrases, E.phrase_matches(F.col("a"), F.col("b")), two) == [True, False, False, False]
+    assert of(spark, phrases[:2], E.any_match(F.array(F.col("a"), F.lit("сканер")), F.col("b")), two) == [True, False]
+    assert of(spark, [("РЗН 2020/1", "рзн2020/1"), ("РЗН 2020/1", "РЗН 2020/11"), ("", "")], E.same_number(F.col("a"), F.col("b")), two) == [True, False, False]
+    replies = ["Вот: ```{\"a\": \"x {y}\", \"b\": 2}``` {\"c\": 1}", "нет", None]
+    assert of(spark, [(r,) for r in replies], E.reply_fields(F.col("v")), "v string") == [{"a": "x {y}", "b": "2"}, {}, {}]
+    answers = [("DA 290", "модель DA-290 белая"), ("DA 290", "модель белая"), ("DA 290", "модель ZZ-290 другая"), ("", "модель"), (None, None)]
+    assert of(spark, answers, E.variant_supported(F.col("a"), F.col("b"), F.lit("Стул, модель DA-290 белая, с подставкой")), two) == [True, False, False, False, False]
 
 
 STOM = ["Установка стоматологическая"]
+LAMP = ["Светильник передвижной для проведения осмотра/терапевтических процедур"]
+TONO = ["Аппарат для измерения артериального давления электрический с ручным нагнетением, портативный"]
 GOLDEN = [
-    ("Установка стоматологическая DIPLOMAT с принадлежностями, модель ADEPT, вариант исполнения DA 290", "DIPLOMAT ADEPT (DA 290)"),
-    ("Установка стоматологическая ANTHOS, вариант исполнения A3 PLUS", "ANTHOS A3 PLUS"),
-    ("РЗН 2015/2631 Установка стоматологическая, вариант исполнения: INTEGO", "INTEGO"),
-    ("Установка стоматологическая STOMADENT HARMONY с принадлежностями", "STOMADENT HARMONY"),
-    ("Стоматологическая установка KLT, исполнения KLT-6210", "KLT-6210"),
-    ("Установка стоматологическая MERCURY по ТУ 9452-001-90933304-2020", "MERCURY"),
-    ("РЗН 2023/19677 Установка стоматологическая в вариантах исполнения:", ""),
-    ("Установка стоматологическая Mercury 550", "Mercury 550"),
-    ("Установка стоматологическая Mercury 550 (объект закупки является медицинским изделием, код НКМИ: 119630: Установка стоматологическая)", "Mercury 550"),
-    ("Установка стоматологическая, варианты исполнения: AJ15;2010/07225", "AJ15"),
-]
+    ("РЗН 2021/13711 Установка стоматологическая Mercury Safety с принадлежностями, в вариантах исполнения: II. Установка стоматологическая C2", STOM, "Mercury Safety C2"),
+    ("Установка стоматологическая STERN WEBER с принадлежностями: Установка стоматологическая STERN WEBER, вариант исполнения S200 CONTINENTAL", STOM, "STERN WEBER S200 CONTINENTAL"),
+    ("Установка стоматологическая DIPLOMAT с принадлежностями, модель ADEPT, вариант исполнения DA 290", STOM, "DIPLOMAT ADEPT (DA 290)"),
+    ("Установка стоматологическая ANTHOS, вариант исполнения A3 PLUS", STOM, "ANTHOS A3 PLUS"),
+    ("РЗН 2015/2631 Установка стоматологическая, вариант исполнения: INTEGO", STOM, "INTEGO"),
+    ("Установка стоматологическая STOMADENT HARMONY с принадлежностями", STOM, "STOMADENT HARMONY"),
+    ("Стоматологическая установка KLT, исполнения KLT-6210", STOM, "KLT-6210"),
+    ("Установка стоматологическая MERCURY по ТУ 9452-001-90933304-2020", STOM, "MERCURY"),
+    ("Аппарат наркозно-дыхательный WATO с принадлежностями, варианты исполнения WATO EX-35", ["Аппарат ингаляционной анестезии"], "WATO EX-35"),
+    ("РЗН 2023/19677 Установка стоматологическая в вариантах исполнения:", STOM, ""),
+    ("РЗН 2016/4979 (ЕРУЛ - Г004-00 Премьер 05)", STOM, "Премьер 05"),
+    ("Установка стоматологическая Mercury 550", STOM, "Mercury 550"),
+    ("Установка стоматологическая Mercury 550 (объект закупки является медицинским изделием, код НКМИ: 119630: Установка стоматологическая)", STOM, "Mercury 550"),
+    ("Установка стоматологическая, варианты исполнения: AJ15;2010/07225", STOM, "AJ15"),
+    ("Светильники медицинские АРМЕД по ТУ 9452-005-13391002-2014", LAMP, "АРМЕД"),
+    ("Светильник медицинский АРМЕД по ТУ 9452-005- 13391002-2014, вариант исполнения: АРМЕД-ЛД-2 ЛЕД", LAMP, "АРМЕД-ЛД-2 ЛЕД"),
+    ("Светильник бестеневой операционный «Конвелар» по ТУ 9452-016-74487176-2008 с принадлежностями: Передвижной: «Конвелар 1607ЛЭД»", LAMP, "Конвелар 1607ЛЭД"),
+    ('Светильник передвижной "ЭМАЛЕД" в вариантах исполнения по ТУ 9452-015-46655261-2011', LAMP, "ЭМАЛЕД"),
+    ("Б. Браун", TONO, "Б. Браун"),
+    ("Б. БРАУН", TONO, "Б. БРАУН"),
+    ("Измерители артериального давления и частоты пульса автоматические OMRON: М2 Basic (HEM-7121-ALRU), М2 Basic (HEM-7121-RU), М2 Basic (HEM-7121-ARU), М2 Classic (HEM-7122-ALRU), М2 Classic (HEM-7122-LRU), М3 Eco (HEM-7131-ARU), М3 Expert (HEM-7132-ALRU), М3 Family (HEM-7133-ALRU), с принадлежностями", TONO, "OMRON"),
+    ("РЕНЕКС Номер регистрации товарного знака: 210801", LAMP, "РЕНЕКС"),
+]
 
 
 def test_designations(spark):
-    got = of(spark, [n for n, _ in GOLDEN], names.parse_name(F.col("v"), F.array(*map(F.lit, STOM)))["full"])
-    assert got == [w for _, w in GOLDEN]
+    schema = "n string, h array<string>"
+    got = of(spark, [(n, h) for n, h, _ in GOLDEN], names.parse_name(F.col("n"), F.col("h"))["full"], schema)
+    assert {n: g for (n, _, _), g in zip(GOLDEN, got, strict=True)} == {n: w for n, _, w in GOLDEN}
 
 
 def test_registry_variants():
@@ -162,3 +247,13 @@ def test_starting_price(spark):
 
 def test_masking(spark):
     assert of(spark, ["РУ РЗН 2020/1 и рзн 2020/1"], I.masked(F.col("v"), F.lit("РЗН 2020/1"))) == ["РУ … и …"]
+
+
+def test_discount_notes(spark):
+    cases = [
+        ((0, 0, 3, 0, None), "торгов не было"), ((0, 0, 0, 0, None), "начальная цена неизвестна"), ((0, 1, 0, 0, 0.0), "контракт заключён по начальной цене"),
+        ((0, 3, 0, 0, 0.0), "все 3 контракта — по начальной цене"), ((1, 2, 1, 0, 20.0), "снижали в 1 из 2 контрактов, максимум −20.0%; ещё 1 без торгов"),
+        ((2, 21, 0, 1, 0.05), "снижали в 2 из 21 контракта, максимум −0.05%; у 1 контракта цену сравнить не с чем"),
+    ]
+    note = prices.discount_note(*map(F.col, "abcde"))
+    assert of(spark, [c for c, _ in cases], note, "a long, b long, c long, d long, e double") == [w for _, w in cases]
