@@ -49,9 +49,9 @@ WORDS, BANDS, ROWS = 4, 24, 6
 FAR = 72
 PIVOTS = 16
 RUN_ROWS = 4096
-TILE_ROWS, TILE_POINTS = 512, 4_000_000
+TILE_ROWS, TILE_POINTS = 256, 1_000_000
 SLICE = 2048
-COLUMNS = 4096
+COLUMNS = 2048
 
 
 def shingles(text: str, size: int = SHINGLE) -> np.ndarray:
