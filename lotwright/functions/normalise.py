@@ -36,6 +36,7 @@ LEGAL_FORMS = {
     "ооо": "ооо", "ао": "ао", "зао": "ао", "оао": "ао", "пао": "ао", "ип": "ип",
     "фгуп": "гуп", "гуп": "гуп", "муп": "гуп", "ано": "ано",
 }
+MORE_FORMS = ("нао", "уп", "чп", "тоо")
 FOREIGN_ENDINGS = (
     "лтд", "ltd", "limited", "лимитед", "гмбх", "gmbh", "ко", "co", "corp", "корпорейшн", "инк", "inc",
     "llc", "srl", "spa", "ag", "bv", "nv", "sa", "as", "компани", "company",
@@ -144,7 +145,7 @@ def company_core(c: Column) -> Column:
 
 def producer_key(c: Column) -> Column:
     """Letters and digits of a producer's name without any legal form."""
-    return F.array_join(F.filter(_company_words(c), lambda w: ~w.isin(*LEGAL_FORMS, "нао", "уп", "чп", "тоо")), "")
+    return F.array_join(F.filter(_company_words(c), lambda w: ~w.isin(*LEGAL_FORMS, *MORE_FORMS)), "")
 
 
 def group_key(c: Column) -> Column:

@@ -7,12 +7,13 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.normalise import LEGAL_FORMS, LOOKALIKE_CYRILLIC, LOOKALIKE_LATIN, MORE_FORMS
 from .ranking import most_common
 
 # --- groups that users maintain: pure functions of a mapping title -> spellings ---
 
-_FORMS = {"ооо", "оао", "зао", "пао", "ао", "нао", "ип", "уп", "чп", "тоо", "фгуп", "гуп", "муп", "ано"}
-_TWINS = str.maketrans("АВЕКМНОРСТУХавекмнорстух", "ABEKMHOPCTYXabekmhopctyx")
+_FORMS = {*LEGAL_FORMS, *MORE_FORMS}
+_TWINS = str.maketrans(LOOKALIKE_CYRILLIC, LOOKALIKE_LATIN)
 
 
 def plain_key(name: str) -> str:

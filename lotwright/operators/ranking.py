@@ -61,9 +61,9 @@ def evicted(df: DataFrame, keys: list[str], size: str, order: list[str], cap: fl
 
 
 def round_robin(df: DataFrame, group: str, order: list[Column], rows: int) -> DataFrame:
-    """`rows` rows, one of each group in turn."""
+    """`rows` rows, one of each group in turn. No group gives more than `rows`, so each task ranks that many of a group at most."""
     turn = F.row_number().over(Window.partitionBy(group).orderBy(*order))
-    return df.withColumn("turn", turn.cast("long")).orderBy("turn", group).limit(rows)
+    return df.withColumn("turn", turn).filter(F.col("turn") <= rows).withColumn("turn", F.col("turn").cast("long")).orderBy("turn", group).limit(rows)
 
 
 def snapshot_diff(old: DataFrame, new: DataFrame) -> DataFrame:

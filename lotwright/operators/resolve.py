@@ -10,6 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import evidence as E
+from ..functions import normalise as N
+
 
 def unanimous(donors: DataFrame, keys: list[str], value: str, core: Column, position: str) -> DataFrame:
     """The first donor's value of each key, and the number of different companies among its donors."""
@@ -62,9 +65,10 @@ def extend_marks(rows: DataFrame, number: str, mark: str) -> DataFrame:
     return joined.select(*rows.columns, F.when(F.col("_c") == 1, F.col("_long")).otherwise(F.col(mark)).alias("extended"))
 
 
-def document_frequency(docs: DataFrame, key: str, tokens: Column) -> DataFrame:
-    """In how many documents each token is, and the share of all."""
+def document_frequency(docs: DataFrame, key: str, tokens: Column, among: DataFrame | None = None) -> DataFrame:
+    """In how many documents each token is, and the share of all; of the tokens `among` (token) only, where given."""
     pairs = docs.select(key, F.explode(F.array_distinct(tokens)).alias("token"))
+    pairs = pairs if among is None else pairs.join(among, "token", "left_semi")
     total = docs.agg(F.count("*").alias("_all"))
     return pairs.groupBy("token").agg(F.count("*").alias("df")).crossJoin(F.broadcast(total)).select(  # one row
         "token", "df", F.round(F.col("df") / F.col("_all"), 6).alias("share")
@@ -76,16 +80,44 @@ def token_weight(token: Column) -> Column:
     return F.when(token.rlike(r"\d"), F.when(F.length(token) >= 4, 4.0).otherwise(2.5)).otherwise(F.when(F.length(token) >= 5, 3.0).otherwise(2.0))
 
 
-def match_rules(questions: DataFrame, records: DataFrame, frequency: DataFrame, *, least: float = 3.0, most_share: float = 0.3, tie: float = 0.01) -> DataFrame:
+def apply_registry(rows: DataFrame, number: str, registry: DataFrame, held: str) -> DataFrame:
+    """Fill positions from the registry record of their number.
+
+    `rows` have name, manufacturer and mark, `registry` producer, declarant, status,
+    r_name and unified (the number in the common form). What the contract says of the
+    maker stays; what fills a gap is from the registry, with high confidence where the
+    names agree or share a designation. A mark is cleared where the record contradicts it.
+    """
+    joined = rows.join(registry, F.col(number) == F.col(held), "left")
+    known, gap = F.col(held).isNotNull(), F.col("manufacturer").isNull()
+    agrees = (N.name_key(F.col("name")) == N.name_key(F.col("r_name"))) | E.shares_mark(F.col("name"), F.col("r_name"))
+    confidence = F.when(~gap, "high").when(F.col("producer").isNull(), "").when(agrees, "high").otherwise("medium")
+    source = F.when(~gap, "contract").when(F.col("producer").isNotNull(), "registry").otherwise("none")
+    refuted = known & E.contradicts(F.col("mark"), F.col("r_name"))
+    columns = [c for c in rows.columns if c not in ("manufacturer", "mark")]
+    return joined.select(
+        *columns, F.coalesce("manufacturer", "producer").alias("manufacturer"), source.alias("source"), confidence.alias("confidence"),
+        F.when(known, F.col("declarant")).alias("holder"), F.col("status"), F.coalesce(F.col("unified"), F.col(number).cast("string")).alias("unified"),
+        F.when(~refuted, F.col("mark")).alias("mark"),
+    )
+
+
+def holder_with_number(manufacturer: Column, holder: Column, number: Column) -> Column:
+    """The holder of a registration, which a position without a number has none of; its maker stays."""
+    return F.when(N.blank_to_null(number.cast("string")).isNotNull() | manufacturer.isNull(), holder)
+
+
+def match_rules(questions: DataFrame, records: DataFrame, frequency: DataFrame, *, least: float = 3.0, most_share: float = 0.3, tie: float = 0.01, plain: Column | None = None) -> DataFrame:
     """Score records by the weights of the telling tokens that they share with a question.
 
     `questions` (q, token), `records` (r, firm, token), `frequency` (token, share). A
     question is answered if its best score reaches `least` and all records as good are
-    of one firm; of those the smallest is named.
+    of one firm; of those the smallest is named. `plain` is the token without a prefix
+    that keeps kinds apart.
     """
     telling = frequency.filter(F.col("share") <= most_share).select("token")
     shared = questions.join(telling, "token").join(records, "token")
-    scores = shared.groupBy("q", "r", "firm").agg(F.round(F.sum(token_weight(F.col("token"))), 4).alias("score"))
+    scores = shared.groupBy("q", "r", "firm").agg(F.round(F.sum(token_weight(F.col("token") if plain is None else plain)), 4).alias("score"))
     best = scores.withColumn("top", F.max("score").over(Window.partitionBy("q"))).filter((F.col("score") >= F.col("top") - tie) & (F.col("top") >= least))
     return best.groupBy("q").agg(F.min("r").alias("r"), F.max("top").alias("score"), F.count_distinct("firm").alias("firms"), F.min("firm").alias("firm")).filter("firms = 1").drop("firms")
 

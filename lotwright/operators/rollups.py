@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import evidence as E
+from ..functions import normalise as N
 from ..functions import prices
 from .ranking import share_of_total
 
@@ -100,8 +102,26 @@ def calibration_gate(answers: DataFrame, group: str, *, least: int = 10, wanted:
     )
 
 
-def moving_average(samples: DataFrame, keys: list[str], order: list[str], value: str, *, start: float = 3.0, keep: float = 0.7, low: float = 0.4, high: float = 40.0) -> DataFrame:
-    """Exponentially weighted average of clamped values in order, from `start`."""
-    ordered = F.array_sort(F.collect_list(F.struct(*order, F.greatest(F.lit(low), F.least(F.lit(high), F.col(value))).alias("_v"))))
-    folded = F.aggregate(ordered, F.lit(start), lambda a, x: a * keep + x["_v"] * (1 - keep))
-    return samples.groupBy(*keys).agg(F.round(folded, 6).alias("average"), F.count("*").alias("n"))
+def registry_gaps(positions: DataFrame, name: str, record: str, record_name: str) -> DataFrame:
+    """How many positions have no record, and how many one whose name neither equals theirs nor shares a designation with it."""
+    found = F.col(record).isNotNull()
+    agrees = (N.name_key(F.col(name)) == N.name_key(F.col(record_name))) | E.shares_mark(F.col(name), F.col(record_name))
+    return positions.agg(
+        F.count("*").alias("positions"), F.count(F.when(~found, 1)).alias("without_manufacturer"), F.count(F.when(found & ~agrees, 1)).alias("mismatched")
+    )
+
+
+def moving_average(samples: DataFrame, keys: list[str], order: list[str], value: str, *, span: str = "day", start: float = 3.0, keep: float = 0.7, low: float = 0.4, high: float = 40.0) -> DataFrame:
+    """Exponentially weighted average of clamped values in order, from `start`; the first of `order` is a time.
+
+    The average is linear in the values, so the values of a `span` of time are one
+    partial sum, and those follow each other: no task holds more of a key than that.
+    """
+    clamped = F.greatest(F.lit(low), F.least(F.lit(high), F.col(value))).alias("_v")
+    block = F.date_trunc(span, F.col(order[0])).alias("_b")
+    ordered = F.array_sort(F.collect_list(F.struct(*order, clamped)))
+    partial = F.aggregate(ordered, F.lit(0.0), lambda a, x: a * keep + x["_v"] * (1 - keep))
+    blocks = samples.groupBy(*keys, block).agg(partial.alias("_s"), F.count("*").alias("_n"))
+    parts = F.array_sort(F.collect_list(F.struct("_b", "_s", "_n")))
+    folded = F.aggregate(parts, F.lit(start), lambda a, x: a * F.pow(F.lit(keep), x["_n"]) + x["_s"])
+    return blocks.groupBy(*keys).agg(F.round(folded, 6).alias("average"), F.sum("_n").alias("n"))

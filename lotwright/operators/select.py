@@ -7,6 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import evidence as E
 from ..functions import identifiers as I
 from ..functions import normalise as N
 from .ranking import first_wins
@@ -45,6 +46,33 @@ def collect_rows(positions: DataFrame, codes: list[str], contract: str) -> DataF
     return coded.select(*columns, F.lit("code").alias("by")).unionByName(rescued.select(*columns, F.lit("name").alias("by")))
 
 
+def without_services(positions: DataFrame, name: str, keep: bool = False) -> tuple[DataFrame, DataFrame]:
+    """The positions that are goods (all, with `keep`), and one row with the number of those dropped."""
+    service = I.is_service(F.col(name))
+    dropped = positions.agg(F.count(F.when(service, 1)).alias("services"))
+    return (positions if keep else positions.filter(~service)), (dropped.select((F.col("services") * 0).alias("services")) if keep else dropped)
+
+
+def kind_slice(registry: DataFrame, kind: Column, order: list[str], most: int = 1200) -> DataFrame:
+    """The first `most` records of a kind, with what tells a caller that this is not all of it.
+
+    `total` is the number of records of the kind, `truncated` whether there are more than
+    `most`, and `unfiltered` whether all records of the registry are of it, as where the
+    source did not heed the filter.
+    """
+    counts = registry.agg(F.count(F.when(kind, 1)).alias("total"), F.count("*").alias("_all"))
+    head = registry.filter(kind).orderBy(*order).limit(most)
+    marked = head.crossJoin(F.broadcast(counts))  # one row
+    return marked.select(*registry.columns, "total", (F.col("total") > most).alias("truncated"), (F.col("total") == F.col("_all")).alias("unfiltered"))
+
+
+def pick_attachment(files: DataFrame, owner: str, name: str) -> DataFrame:
+    """(owner, name, rank): each owner's file that stands best for the contract, the smallest name of equals; none where no file does."""
+    ranked = files.withColumn("rank", I.attachment_rank(I.clean_file_name(F.col(name)))).filter("rank >= 0")
+    best = F.min_by(F.struct(F.col(name), F.col("rank")), F.struct(-F.col("rank"), F.col(name))).alias("_best")
+    return ranked.groupBy(owner).agg(best).select(owner, f"_best.{name}", "_best.rank")
+
+
 # --- verdicts ---
 
 LISTED = "модель только в перечне исполнений РУ"
@@ -97,6 +125,30 @@ def judge_any(phrases: list[str], chosen: Column, family: Column, known: Column)
     return F.array_min(F.transform(ranked, lambda x: F.struct(x["r"].alias("r"), x["i"].alias("i"), x["v"].alias("v"))))["v"]
 
 
+BRAND, VARIANT = "бренд", "исполнение"
+
+
+def confirm_brand(rows: DataFrame, doubt: str, phrase: Column, record: Column) -> DataFrame:
+    """Clear doubts about the brand where the registry record's own text has all names of the phrase, by sound; `confirmed` marks them."""
+    names = I.phrase_names(phrase)
+    sounds = N.phonetic_words(record)
+    named = (F.size(names) > 0) & F.forall(names, lambda n: (n != "") & F.contains(sounds, n))
+    yes = (F.col(doubt) == BRAND) & F.coalesce(named, F.lit(False))
+    return rows.withColumn("confirmed", yes).withColumn(doubt, F.when(yes, "").otherwise(F.col(doubt)))
+
+
+def resolve_variant(rows: DataFrame, doubt: str, asked: Column, variant: Column, quote: Column, text: Column) -> DataFrame:
+    """Settle doubts about the variant by answers that their own quotations support.
+
+    A supported answer that is the article asked for clears the doubt, another one drops
+    the row; without a supported answer the doubt stays.
+    """
+    supported = (F.col(doubt) == VARIANT) & E.variant_supported(variant, quote, text)
+    right = supported & (N.latin_key(variant) == N.latin_key(asked))
+    marked = rows.withColumn("_right", right).withColumn("_wrong", supported & ~right)
+    return marked.filter(~F.col("_wrong")).withColumn(doubt, F.when(F.col("_right"), "").otherwise(F.col(doubt))).drop("_right", "_wrong")
+
+
 # --- planning of searches ---
 
 

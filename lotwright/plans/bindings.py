@@ -7,7 +7,9 @@ catalogue code, size for the device kind; a supplier for the declarant.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import prices
@@ -40,9 +42,15 @@ graded AS (
 """
 
 
-def positions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines with their record and declarant. Part and supplier are joined by key; Spark broadcasts them if their size allows."""
+def positions(spark: SparkSession, sf_dir: str, tidy: Callable[[Column], Column] | None = None) -> DataFrame:
+    """Lines with their record and declarant. Part and supplier are joined by key; Spark broadcasts them if their size allows.
+
+    `tidy` is applied to the texts of both before the join, once a record and not once a line.
+    """
     lines, part, supplier = (table(spark, sf_dir, t) for t in ("lineitem", "part", "supplier"))
+    if tidy is not None:
+        part = part.withColumns({c: tidy(F.col(c)) for c in ("p_name", "p_type", "p_brand")})
+        supplier = supplier.withColumn("s_name", tidy(F.col("s_name")))
     joined = lines.join(part, F.col("l_partkey") == F.col("p_partkey")).join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
     return joined.select(
         F.col("l_orderkey").alias("contract"), F.col("l_linenumber").alias("line"), F.col("l_suppkey").alias("inn"),

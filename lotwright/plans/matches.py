@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import normalise as N
-from ..operators import canon, resolve, rollups
+from ..operators import canon, resolve, rollups, select
 from ..sources.tables import table
 from .bindings import POSITION_SQL, positions
 from .reports import PRODUCER_SQL
@@ -49,21 +49,25 @@ def registry_cascade(spark, sf_dir):
 
 
 @query("op.apply_registry", f"""
-WITH {POSITION_SQL}
-SELECT contract, line, inn, total, coalesce(CASE WHEN line > 2 THEN manufacturer END, p_brand) AS manufacturer,
-       CASE WHEN line > 2 THEN 'contract' WHEN p_brand IS NOT NULL THEN 'registry' ELSE 'none' END AS source,
-       CASE WHEN line > 2 THEN 'high' WHEN p_brand IS NULL THEN '' WHEN p_name = name THEN 'high' ELSE 'medium' END AS confidence
-FROM positions LEFT JOIN part ON ru_number = p_partkey AND p_size < 25
+WITH {POSITION_SQL}, p AS (SELECT *, CASE WHEN line > 2 THEN manufacturer END AS m, 'KLT-' || CAST(100 + line AS VARCHAR) AS mark0 FROM positions),
+r AS (SELECT p_partkey, p_brand, p_type, p_size, CASE WHEN p_size % 2 = 0 THEN p_name || ' KLT-103' ELSE 'прочее' END AS r_name FROM part WHERE p_size < 25)
+SELECT contract, line, inn, total, coalesce(m, p_brand) AS manufacturer,
+       CASE WHEN m IS NOT NULL THEN 'contract' WHEN p_brand IS NOT NULL THEN 'registry' ELSE 'none' END AS source,
+       CASE WHEN m IS NOT NULL THEN 'high' WHEN p_brand IS NULL THEN '' WHEN p_size % 2 = 0 AND regexp_matches(name, '[A-Za-z]{{4,}}') THEN 'high' ELSE 'medium' END AS confidence,
+       p_type AS holder, CASE WHEN p_size < 12 THEN 'действует' WHEN p_size < 25 THEN 'отменён' END AS status,
+       CASE WHEN p_brand IS NOT NULL THEN 'РЗН ' || ru_number ELSE CAST(ru_number AS VARCHAR) END AS unified,
+       CASE WHEN p_size % 2 = 0 AND line <> 3 AND p_brand IS NOT NULL THEN NULL ELSE mark0 END AS mark
+FROM p LEFT JOIN r ON ru_number = p_partkey
 """)
 def apply_registry(spark, sf_dir):
-    known = table(spark, sf_dir, "part").filter("p_size < 25").select("p_partkey", "p_brand", "p_name")
-    rows = positions(spark, sf_dir).join(known, F.col("ru_number") == F.col("p_partkey"), "left")
-    own, held = F.when(F.col("line") > 2, F.col("manufacturer")), F.col("p_brand")
-    return rows.select(
-        *ROW, F.coalesce(own, held).alias("manufacturer"),
-        F.when(own.isNotNull(), "contract").when(held.isNotNull(), "registry").otherwise("none").alias("source"),
-        F.when(own.isNotNull(), "high").when(held.isNull(), "").when(F.col("p_name") == F.col("name"), "high").otherwise("medium").alias("confidence"),
+    registry = table(spark, sf_dir, "part").filter("p_size < 25").select(
+        "p_partkey", F.col("p_brand").alias("producer"), F.col("p_type").alias("declarant"), F.when(F.col("p_size") < 12, "действует").otherwise("отменён").alias("status"),
+        F.when(F.col("p_size") % 2 == 0, F.concat("p_name", F.lit(" KLT-103"))).otherwise("прочее").alias("r_name"), F.concat(F.lit("РЗН "), F.col("p_partkey").cast("string")).alias("unified"),
     )
+    rows = positions(spark, sf_dir).select(
+        *ROW, "ru_number", "name", F.when(F.col("line") > 2, F.col("manufacturer")).alias("manufacturer"), F.concat(F.lit("KLT-"), (100 + F.col("line")).cast("string")).alias("mark")
+    )
+    return resolve.apply_registry(rows, "ru_number", registry, "p_partkey").drop("ru_number", "name")
 
 
 def _transfer_sql(key: str) -> str:
@@ -104,35 +108,39 @@ def extend_marks(spark, sf_dir):
     return resolve.extend_marks(rows, "number", "mark")
 
 
-@query("op.kind_slice", "SELECT p_partkey, p_name, p_brand FROM part WHERE p_size = 7 AND (SELECT count(*) FROM part WHERE p_size = 7) < 50000 ORDER BY p_partkey LIMIT 1200")
+@query("op.kind_slice", """
+SELECT p_partkey, p_name, p_brand, (SELECT count(*) FROM part WHERE p_size = 7) AS total, (SELECT count(*) FROM part WHERE p_size = 7) > 1200 AS truncated, false AS unfiltered
+FROM part WHERE p_size = 7 ORDER BY p_partkey LIMIT 1200
+""")
 def kind_slice(spark, sf_dir):
-    rows = table(spark, sf_dir, "part").filter("p_size = 7").select("p_partkey", "p_name", "p_brand")
-    # a slice as large as the whole registry is a filter that was not heeded
-    size = rows.agg(F.count("*").alias("_n"))
-    return rows.crossJoin(F.broadcast(size)).filter("_n < 50000").drop("_n").orderBy("p_partkey").limit(1200)
+    registry = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_size")
+    return select.kind_slice(registry, F.col("p_size") == 7, ["p_partkey"]).drop("p_size")
 
 
 @query("op.kind_match", f"""
-WITH {POSITION_SQL}, q AS (SELECT contract, line, inn, total, nkmi, unnest(list_distinct(list_concat(string_split(name, ' '), [ktru]))) AS token FROM positions WHERE line = 1),
-r AS (SELECT p_partkey, p_size, p_brand, unnest(list_distinct(list_concat(string_split(p_name, ' '), [p_type]))) AS token FROM part),
-s AS (SELECT contract, line, inn, total, p_partkey, p_brand, sum(CASE WHEN length(q.token) >= 5 THEN 3.0 ELSE 2.0 END) AS score
-      FROM (SELECT DISTINCT * FROM q) AS q JOIN r ON nkmi = p_size AND q.token = r.token GROUP BY ALL),
-b AS (SELECT *, max(score) OVER (PARTITION BY contract, line, inn, total) AS top FROM s)
-SELECT contract, line, inn, total, CAST(max(top) AS DOUBLE) AS score, min(p_brand) AS producer FROM b WHERE score >= top - 0.01 AND top >= 3 GROUP BY ALL HAVING count(DISTINCT p_brand) = 1
+WITH {POSITION_SQL}, q AS (SELECT DISTINCT nkmi, name, ktru FROM positions),
+t AS (SELECT DISTINCT nkmi, name, ktru, unnest(list_concat(string_split(name, ' '), [ktru])) AS token FROM q),
+k AS (SELECT p_size, p_name, p_type, p_brand, min(p_partkey) AS r FROM part GROUP BY ALL),
+r AS (SELECT DISTINCT r, p_size, p_brand, unnest(list_concat(string_split(p_name, ' '), [p_type])) AS token FROM k),
+z AS (SELECT p_size, count(*) AS records FROM k GROUP BY 1), f AS (SELECT p_size, token, count(*) / max(records) AS share FROM r JOIN z USING (p_size) GROUP BY ALL),
+s AS (SELECT nkmi, name, ktru, r, p_brand, sum(CASE WHEN length(t.token) >= 5 THEN 3.0 ELSE 2.0 END) AS score
+      FROM t JOIN f ON f.p_size = nkmi AND f.token = t.token AND share <= 0.3 JOIN r ON r.p_size = nkmi AND r.token = t.token GROUP BY ALL),
+b AS (SELECT *, max(score) OVER (PARTITION BY nkmi, name, ktru) AS top FROM s),
+a AS (SELECT nkmi, name, ktru, CAST(max(top) AS DOUBLE) AS score, min(p_brand) AS producer FROM b WHERE score >= top - 0.01 AND top >= 3 GROUP BY ALL HAVING count(DISTINCT p_brand) = 1)
+SELECT contract, line, inn, total, score, producer FROM positions JOIN a USING (nkmi, name, ktru)
 """)
 def kind_match(spark, sf_dir):
-    tokens = lambda name, kind: F.array_distinct(F.concat(F.split(name, " "), F.array(kind)))
-    asked = positions(spark, sf_dir).filter("line = 1").select(*ROW, "nkmi", F.explode(tokens("name", "ktru")).alias("token")).distinct()
-    asked = asked.withColumn("q", F.struct(*ROW)).select("q", F.concat_ws("/", "nkmi", "token").alias("token"))
-    records = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("r"), F.col("p_brand").alias("firm"), "p_size", F.explode(tokens("p_name", "p_type")).alias("t"))
-    records = records.select("r", "firm", F.concat_ws("/", "p_size", "t").alias("token"))
-    plain = F.split_part("token", F.lit("/"), F.lit(2))
-    shared = asked.join(records, "token")
-    scores = shared.groupBy("q", "r", "firm").agg(F.sum(resolve.token_weight(plain)).alias("score"))
-    top = scores.groupBy("q").agg(F.max("score").alias("top")).filter("top >= 3").withColumnRenamed("q", "tq")
-    best = scores.join(top, (F.col("q") == F.col("tq")) & (F.col("score") >= F.col("top") - 0.01))
-    found = best.groupBy("q").agg(F.max("top").alias("score"), F.min("firm").alias("producer"), F.count_distinct("firm").alias("firms")).filter("firms = 1")
-    return found.select("q.*", "score", "producer")
+    """Positions of a kind, name and code ask one question; records of a kind, name, code and producer are one record."""
+    tokens = lambda kind, name, code: F.transform(F.array_distinct(F.concat(F.split(name, " "), F.array(code))), lambda t: F.concat_ws("/", F.col(kind), t))
+    rows = positions(spark, sf_dir).select(*ROW, "nkmi", "name", "ktru")
+    questions = rows.select(F.struct("nkmi", "name", "ktru").alias("q")).distinct()
+    asked = questions.select("q", F.explode(tokens("q.nkmi", "q.name", "q.ktru")).alias("token"))
+    records = table(spark, sf_dir, "part").groupBy("p_size", "p_name", "p_type", "p_brand").agg(F.min("p_partkey").alias("r"))
+    held = records.select("r", "p_size", F.col("p_brand").alias("firm"), F.explode(tokens("p_size", "p_name", "p_type")).alias("token"))
+    sizes = records.groupBy("p_size").agg(F.count("*").alias("records"))
+    frequency = held.groupBy("p_size", "token").agg(F.count("*").alias("df")).join(sizes, "p_size").select("token", (F.col("df") / F.col("records")).alias("share"))
+    answers = resolve.match_rules(asked, held.drop("p_size"), frequency, plain=F.split_part("token", F.lit("/"), F.lit(2)))
+    return rows.join(answers.select("q.*", "score", F.col("firm").alias("producer")), ["nkmi", "name", "ktru"]).select(*ROW, "score", "producer")
 
 
 @query("op.match_rules", """
@@ -147,9 +155,11 @@ SELECT q, min(r) AS r, CAST(max(top) AS DOUBLE) AS score, min(firm) AS firm FROM
 def match_rules(spark, sf_dir):
     tokens = F.array_distinct(F.filter(F.split(N.name_key(F.col("text")), " "), lambda w: F.length(w) >= 3))
     docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
-    frequency = resolve.document_frequency(docs, "doc_id", tokens)
-    records = docs.select(F.col("doc_id").alias("r"), F.col("source").alias("firm"), F.explode(tokens).alias("token"))
     questions = items.select(F.col("item_id").alias("q"), F.explode(tokens).alias("token"))
+    asked = questions.select("token").distinct()
+    # tokens that no question has are dropped before anything is counted or shuffled by token
+    frequency = resolve.document_frequency(docs, "doc_id", tokens, asked)
+    records = docs.select(F.col("doc_id").alias("r"), F.col("source").alias("firm"), F.explode(tokens).alias("token")).join(asked, "token", "left_semi")
     return resolve.match_rules(questions, records, frequency, most_share=0.02)
 
 
@@ -162,14 +172,14 @@ def bridge_kind(spark, sf_dir):
 
 
 @query("op.firm_search", f"""
-WITH {POSITION_SQL}, s AS (SELECT DISTINCT inn FROM positions WHERE manufacturer = 'Brand#3' AND nkmi = 5)
-SELECT DISTINCT p.ru_number FROM positions p WHERE inn IN (SELECT inn FROM s)
+WITH {POSITION_SQL}, n AS (SELECT DISTINCT ru_number FROM positions WHERE manufacturer = 'Brand#3' AND nkmi = 5),
+s AS (SELECT DISTINCT inn FROM positions WHERE ru_number IN (SELECT ru_number FROM n))
+SELECT DISTINCT ru_number FROM positions WHERE inn IN (SELECT inn FROM s)
 """)
 def firm_search(spark, sf_dir):
-    edges = positions(spark, sf_dir).select("ru_number", "inn")
-    seeds = positions(spark, sf_dir).filter("manufacturer = 'Brand#3' AND nkmi = 5").select("ru_number", "inn")
-    via = seeds.select("inn").distinct()
-    return edges.join(via, "inn", "left_semi").select("ru_number").distinct()
+    rows = positions(spark, sf_dir)
+    seeds = rows.filter("manufacturer = 'Brand#3' AND nkmi = 5").select("ru_number").distinct()
+    return resolve.two_hop(rows.select("ru_number", "inn"), seeds, "ru_number", "inn")
 
 
 @query("op.assign_groups", """
@@ -219,16 +229,14 @@ def group_split(spark, sf_dir):
 
 @query("op.registry_gaps", f"""
 WITH {POSITION_SQL}
-SELECT count(*) AS positions, count(*) FILTER (p_brand IS NULL) AS without_manufacturer, count(*) FILTER (p_brand IS NOT NULL AND p_name <> 'red widget') AS mismatched
+SELECT count(*) AS positions, count(*) FILTER (p_brand IS NULL) AS without_manufacturer, count(*) FILTER (p_brand IS NOT NULL AND (line = 3 OR line <> 4 AND NOT regexp_matches(name, '[A-Za-z]{{4,}}'))) AS mismatched
 FROM positions LEFT JOIN part ON ru_number = p_partkey AND p_size < 25
 """)
 def registry_gaps(spark, sf_dir):
-    known = table(spark, sf_dir, "part").filter("p_size < 25").select("p_partkey", "p_brand", "p_name")
-    rows = positions(spark, sf_dir).join(known, F.col("ru_number") == F.col("p_partkey"), "left")
-    return rows.agg(
-        F.count("*").alias("positions"), F.count(F.when(F.col("p_brand").isNull(), 1)).alias("without_manufacturer"),
-        F.count(F.when(F.col("p_brand").isNotNull() & (F.col("p_name") != "red widget"), 1)).alias("mismatched"),
-    )
+    known = table(spark, sf_dir, "part").filter("p_size < 25").select("p_partkey", "p_brand", F.concat(F.lit("Изделие "), "p_name").alias("r_name"))
+    said = F.when(F.col("line") == 3, "Иное изделие").when(F.col("line") == 4, F.concat(F.lit("изделие: "), "name")).otherwise(F.concat(F.lit("Набор "), "name"))
+    rows = positions(spark, sf_dir).withColumn("said", said).join(known, F.col("ru_number") == F.col("p_partkey"), "left")
+    return rollups.registry_gaps(rows, "said", "p_brand", "r_name")
 
 
 DOUBT_SQL = f"WITH {POSITION_SQL}, d AS (SELECT contract, line, inn, total, ru_number, manufacturer, CASE WHEN line = 1 THEN 'бренд' WHEN line = 2 THEN 'исполнение' ELSE '' END AS doubt FROM positions)"
@@ -240,25 +248,26 @@ def _doubtful(spark, sf_dir):
 
 
 @query("op.confirm_brand", f"""
-{DOUBT_SQL} SELECT contract, line, inn, total, CASE WHEN doubt = 'бренд' AND p_brand IN ('Brand#1', 'Brand#2') THEN '' ELSE doubt END AS doubt, doubt = 'бренд' AND coalesce(p_brand IN ('Brand#1', 'Brand#2'), false) AS confirmed
+{DOUBT_SQL} SELECT contract, line, inn, total, CASE WHEN doubt = 'бренд' AND p_type = 'PROMO' THEN '' ELSE doubt END AS doubt, doubt = 'бренд' AND coalesce(p_type = 'PROMO', false) AS confirmed
 FROM d LEFT JOIN part ON ru_number = p_partkey AND p_size < 25
 """)
 def confirm_brand(spark, sf_dir):
-    known = table(spark, sf_dir, "part").filter("p_size < 25").select("p_partkey", "p_brand")
+    known = table(spark, sf_dir, "part").filter("p_size < 25").select("p_partkey", F.concat("p_brand", F.lit(", "), F.lower("p_type")).alias("record"))
     rows = _doubtful(spark, sf_dir).join(known, F.col("ru_number") == F.col("p_partkey"), "left")
-    yes = (F.col("doubt") == "бренд") & F.coalesce(F.col("p_brand").isin("Brand#1", "Brand#2"), F.lit(False))
-    return rows.select(*ROW, F.when(yes, "").otherwise(F.col("doubt")).alias("doubt"), yes.alias("confirmed"))
+    return select.confirm_brand(rows, "doubt", F.lit("ПРОМО AJ-15"), F.col("record")).select(*ROW, "doubt", "confirmed")
 
 
 @query("op.resolve_variant", f"""
-{DOUBT_SQL}, a AS (SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN p_type END AS answer FROM part WHERE p_size < 25)
-SELECT contract, line, inn, total, CASE WHEN doubt = 'исполнение' AND answer = 'PROMO' THEN '' ELSE doubt END AS doubt FROM d LEFT JOIN a ON ru_number = p_partkey
-WHERE NOT (doubt = 'исполнение' AND answer IS NOT NULL AND answer <> 'PROMO')
+{DOUBT_SQL}, a AS (SELECT p_partkey, p_size FROM part WHERE p_size < 25)
+SELECT contract, line, inn, total, CASE WHEN doubt = 'исполнение' AND p_size = 9 THEN '' ELSE doubt END AS doubt FROM d LEFT JOIN a ON ru_number = p_partkey
+WHERE NOT (doubt = 'исполнение' AND coalesce(p_size % 3 = 0 AND p_size <> 9, false))
 """)
 def resolve_variant(spark, sf_dir):
-    answers = table(spark, sf_dir, "part").filter("p_size < 25").select("p_partkey", F.when(F.col("p_size") % 3 == 0, F.col("p_type")).alias("answer"))
+    """Every third answer is borne out by its quotation; others quote what doesn't name the variant, or invent a quotation."""
+    size = F.col("p_size").cast("string")
+    answers = table(spark, sf_dir, "part").filter("p_size < 25").select(
+        "p_partkey", F.concat(F.lit("DA "), size).alias("variant"), F.concat(F.lit("Стул врача, модель DA-"), size, F.lit(" белая, с подставкой")).alias("text"),
+        F.when(F.col("p_size") % 3 == 0, F.concat(F.lit("модель DA-"), size, F.lit(" белая"))).when(F.col("p_size") % 3 == 1, "модель белая").otherwise(F.concat(F.lit("кресло зелёное DA-"), size)).alias("quote"),
+    )
     rows = _doubtful(spark, sf_dir).join(answers, F.col("ru_number") == F.col("p_partkey"), "left")
-    asked = F.col("doubt") == "исполнение"
-    right = asked & F.coalesce(F.col("answer") == "PROMO", F.lit(False))
-    wrong = asked & F.coalesce(F.col("answer") != "PROMO", F.lit(False))
-    return rows.filter(~wrong).select(*ROW, F.when(right, "").otherwise(F.col("doubt")).alias("doubt"))
+    return select.resolve_variant(rows, "doubt", F.lit("DA-9"), F.col("variant"), F.col("quote"), F.col("text")).select(*ROW, "doubt")

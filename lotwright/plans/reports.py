@@ -90,6 +90,22 @@ def discount_stats(spark, sf_dir):
     return rollups.discount_stats(contracts(spark, sf_dir), ["stage"])
 
 
+@query("op.discount_note", f"""
+WITH {CONTRACT_SQL}, p AS (SELECT *, CASE WHEN bidding = '—' THEN raw_pct END AS percent FROM graded),
+g AS (SELECT stage, count(*) FILTER (percent > 0) AS lowered, count(percent) AS known, max(percent) AS most,
+             count(*) FILTER (bidding IN ('торгов не было', 'торгов не было: закупка малого объёма')) AS nb, count(*) FILTER (why <> '') AS inc FROM p GROUP BY 1),
+w AS (SELECT *, CASE WHEN known % 10 = 1 AND known % 100 <> 11 THEN 'контракта' ELSE 'контрактов' END AS kw, CASE WHEN inc % 10 = 1 AND inc % 100 <> 11 THEN 'контракта' ELSE 'контрактов' END AS iw FROM g)
+SELECT stage, CASE WHEN known = 0 AND nb > 0 THEN 'торгов не было' WHEN known = 0 THEN 'начальная цена неизвестна'
+                   ELSE 'снижали в ' || lowered || ' из ' || known || ' ' || kw || ', максимум −' || CAST(round(most, 1) AS VARCHAR) || '%' END
+              || CASE WHEN nb > 0 AND known > 0 THEN '; ещё ' || nb || ' без торгов' ELSE '' END
+              || CASE WHEN inc > 0 THEN '; у ' || inc || ' ' || iw || ' цену сравнить не с чем' ELSE '' END AS note
+FROM w
+""")
+def discount_note(spark, sf_dir):
+    stats = rollups.discount_stats(contracts(spark, sf_dir), ["stage"])
+    return stats.select("stage", prices.discount_note(*map(F.col, ("lowered", "known", "no_bidding", "incomparable", "most_pct"))).alias("note"))
+
+
 @query("op.remarks", f"""
 WITH {POSITION_SQL}, odd AS (
   SELECT *, CASE WHEN line <> 7 THEN manufacturer END AS m, CASE WHEN tax <> 0 THEN ru_number END AS r,
@@ -138,15 +154,18 @@ SELECT CAST(p.contract AS VARCHAR) AS reestr_number, strftime(o_orderdate, '%d.%
 FROM positions p JOIN orders ON p.contract = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN graded g ON g.contract = p.contract
 """)
 def report(spark, sf_dir):
-    orders, customer = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
+    """Texts are tidied in the tables that hold each once, before they are joined to the lines; numbers need no tidying."""
+    orders = table(spark, sf_dir, "orders")
+    customer = table(spark, sf_dir, "customer").select("c_custkey", N.or_dash(F.col("c_name")).alias("customer"))
     graded = contracts(spark, sf_dir).select(F.col("contract").alias("g"), "nmck", "bidding", "raw_pct")
-    rows = positions(spark, sf_dir).join(orders, F.col("contract") == F.col("o_orderkey")).join(customer, F.col("o_custkey") == F.col("c_custkey")).join(graded, F.col("contract") == F.col("g"))
+    lines = positions(spark, sf_dir, tidy=N.or_dash)
+    rows = lines.join(orders, F.col("contract") == F.col("o_orderkey")).join(customer, F.col("o_custkey") == F.col("c_custkey")).join(graded, F.col("contract") == F.col("g"))
     maker = F.when(F.col("line") != 7, F.col("manufacturer"))
+    number = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(N.DASH))
     return rows.select(
-        N.or_dash(F.col("contract")).alias("reestr_number"), F.date_format("o_orderdate", "dd.MM.yyyy").alias("concluded"), F.col("o_orderstatus").alias("stage"),
-        N.or_dash(F.col("c_name")).alias("customer"), N.or_dash(F.col("declarant")).alias("supplier"), N.or_dash(F.col("inn")).alias("supplier_inn"),
-        N.or_dash(F.col("name")).alias("name"), N.or_dash(F.col("ktru")).alias("ktru"), N.or_dash(F.col("nkmi")).alias("nkmi"),
-        N.or_dash(F.col("ru_number")).alias("ru_number"), N.or_dash(maker).alias("manufacturer"), "price", "quantity", "total", "nmck",
+        number("contract").alias("reestr_number"), F.date_format("o_orderdate", "dd.MM.yyyy").alias("concluded"), F.col("o_orderstatus").alias("stage"),
+        "customer", F.col("declarant").alias("supplier"), number("inn").alias("supplier_inn"), "name", "ktru", number("nkmi").alias("nkmi"),
+        number("ru_number").alias("ru_number"), F.coalesce(maker, F.lit(N.DASH)).alias("manufacturer"), "price", "quantity", "total", "nmck",
         F.when(F.col("bidding") == "—", F.col("raw_pct").cast("string")).otherwise(F.col("bidding")).alias("discount_cell"),
         cell_class(maker, F.lit(True), F.lit(True)).alias("fill"),
     )

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import evidence as E
 from ..functions import identifiers as I
+from ..functions import names
 from ..functions import normalise as N
 from ..operators import canon, resolve, select
+from ..sources import contract_xml
 from ..sources import pages as P
 from ..sources.tables import table
 
@@ -23,21 +26,28 @@ def query(name: str, sql: str | None = None):
     return register
 
 
-@query("op.drop_services", r"""
-SELECT role, count(*) AS n, count(*) FILTER (regexp_matches(text, '^\s*(?:The|Of|La|Die)(?:[^A-Za-zÀ-ÿ]|$)')) AS services FROM conversations GROUP BY 1
+@query("op.drop_services", """
+SELECT p_partkey, p_name FROM part WHERE p_size % 5 IN (0, 4)
 """)
 def drop_services(spark, sf_dir):
-    like = F.col("text").rlike(r"^\s*(?:The|Of|La|Die)(?:[^A-Za-zÀ-ÿ]|$)")
-    return table(spark, sf_dir, "conversations").groupBy("role").agg(F.count("*").alias("n"), F.count(F.when(like, 1)).alias("services"))
+    kind = F.col("p_size") % 5
+    said = F.when(kind == 1, "Ремонт и обслуживание: ").when(kind == 2, "Оказание услуг ").when(kind == 3, "Капитальный ремонт ").when(kind == 4, "Набор для ремонта ").otherwise("")
+    rows = table(spark, sf_dir, "part").select("p_partkey", "p_name", F.concat(said, "p_name").alias("title"))
+    return select.without_services(rows, "title")[0].select("p_partkey", "p_name")
 
 
-@query("op.parse_codes", r"""
-WITH c AS (SELECT doc_id, list_distinct(regexp_extract_all(text, '[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}')) AS codes FROM documents)
-SELECT doc_id, len(codes) AS n, list_sort(codes)[1] AS least FROM c WHERE len(codes) > 0
+CODE_TEXT = "'коды 32.50.' || CAST(10 + p_size % 90 AS VARCHAR) || '.110-' || lpad(CAST(p_partkey % 10000 AS VARCHAR), 8, '0') || '; 26.60.12.119-00000205, 26.60.12.119-00000205 и 1.2.3'"
+
+
+@query("op.parse_codes", rf"""
+WITH c AS (SELECT p_partkey, list_distinct(regexp_extract_all({CODE_TEXT}, '\d{{2}}\.\d{{2}}\.\d{{2}}\.\d{{3}}-\d{{4,8}}')) AS codes FROM part)
+SELECT p_partkey, len(codes) AS n, array_to_string(list_sort(codes), ' ') AS codes, CAST(1 AS BIGINT) AS near FROM c
 """)
 def parse_codes(spark, sf_dir):
-    codes = F.array_distinct(I.every(F.col("text"), r"[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}"))
-    return table(spark, sf_dir, "documents").select("doc_id", codes.alias("codes")).filter(F.size("codes") > 0).select("doc_id", F.size("codes").cast("long").alias("n"), F.array_min("codes").alias("least"))
+    number = F.lpad((F.col("p_partkey") % 10000).cast("string"), 8, "0")
+    text = F.concat(F.lit("коды 32.50."), (10 + F.col("p_size") % 90).cast("string"), F.lit(".110-"), number, F.lit("; 26.60.12.119-00000205, 26.60.12.119-00000205 и 1.2.3"))
+    found = table(spark, sf_dir, "part").select("p_partkey", I.catalogue_codes(text).alias("c"), I.near_codes(text).alias("near"))
+    return found.select("p_partkey", F.size("c").cast("long").alias("n"), F.array_join(F.array_sort("c"), " ").alias("codes"), F.size("near").cast("long").alias("near"))
 
 
 @query("op.name_key", """
@@ -98,12 +108,12 @@ def parse_phrase(spark, sf_dir):
 
 
 @query("op.article_keys", r"""
-WITH d AS (SELECT doc_id, regexp_extract_all(text, '[0-9A-Za-zА-Яа-яЁё]+') AS ws FROM documents WHERE lang = 'en')
-SELECT doc_id, len(list_distinct(list_filter(list_transform(ws, lambda x: lower(x)), lambda x: regexp_matches(x, '[0-9]')))) AS single FROM d
+WITH d AS (SELECT doc_id, list_concat(regexp_extract_all(text, '[0-9A-Za-zА-Яа-яЁё]+'),
+             regexp_extract_all(text, '(?:^|[^0-9A-Za-zА-Яа-яЁё])([A-Za-zА-Яа-яЁё]{1,5}[ \-‑–]?\d[0-9A-Za-zА-Яа-яЁё]*)', 1)) AS ws FROM documents)
+SELECT doc_id, len(list_distinct(list_filter(list_transform(ws, lambda x: regexp_replace(lower(x), '[^a-z0-9]+', '', 'g')), lambda x: regexp_matches(x, '[0-9]')))) AS n FROM d
 """)
 def article_keys(spark, sf_dir):
-    single = F.array_distinct(F.filter(F.transform(N.words(F.col("text")), N.latin_key), lambda k: k.rlike(r"\d")))
-    return table(spark, sf_dir, "documents").filter("lang = 'en'").select("doc_id", F.size(single).cast("long").alias("single"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(I.article_keys(F.col("text"))).cast("long").alias("n"))
 
 
 @query("op.judge", """
@@ -119,18 +129,25 @@ def judge(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", verdict.alias("v")).select("p_partkey", "v.ok", "v.doubt", "v.rank")
 
 
-@query("op.jaccard_similarity", r"""
-WITH b AS (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '[a-zа-я0-9\-]{3,}')) AS t FROM benchmark)
-SELECT x.item_id AS a, y.item_id AS b, round(len(list_intersect(x.t, y.t)) / len(list_distinct(list_concat(x.t, y.t))), 6) AS similarity
-FROM b x JOIN b y ON x.item_id < y.item_id AND len(list_intersect(x.t, y.t)) >= 12
+def _dealt_items(spark, sf_dir):
+    """Every document beside an item of the benchmark, in turn."""
+    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("quote"))
+    many = items.agg(F.count("*").alias("many"))  # one row
+    return docs.crossJoin(F.broadcast(many)).join(items, F.col("doc_id") % F.col("many") == F.col("item_id"))
+
+
+KEY_TOKENS = r"list_distinct(list_filter(regexp_extract_all(replace(lower({}), 'ё', 'е'), '[a-zа-я0-9\-]{{3,}}'), lambda x: NOT list_contains([" + ", ".join(f"'{w}'" for w in I.KEY_STOP) + "], x)))"
+
+
+@query("op.jaccard_similarity", f"""
+WITH b AS (SELECT item_id, {KEY_TOKENS.format("text")} AS bt, (SELECT count(*) FROM benchmark) AS many FROM benchmark),
+d AS (SELECT doc_id, {KEY_TOKENS.format("text")} AS dt FROM documents)
+SELECT doc_id, item_id, CASE WHEN len(dt) > 0 AND len(bt) > 0 THEN round(len(list_intersect(dt, bt)) / len(list_distinct(list_concat(dt, bt))), 6) ELSE 0.0 END AS similarity
+FROM d JOIN b ON doc_id % many = item_id
 """)
 def jaccard_similarity(spark, sf_dir):
-    tokens = table(spark, sf_dir, "benchmark").select("item_id", I.key_tokens(F.col("text")).alias("t"))
-    # pairs come from shared tokens, and their counts from a grouping, so no side is repeated for the other
-    each = tokens.select("item_id", F.size("t").alias("n"), F.explode("t").alias("token"))
-    other = each.select(F.col("item_id").alias("b"), F.col("n").alias("m"), "token")
-    shared = each.join(other, "token").filter(F.col("item_id") < F.col("b")).groupBy(F.col("item_id").alias("a"), "b", "n", "m").agg(F.count("*").alias("both"))
-    return shared.filter("both >= 12").select("a", "b", F.round(F.col("both") / (F.col("n") + F.col("m") - F.col("both")), 6).alias("similarity"))
+    like = F.round(I.jaccard(I.key_tokens(F.col("text")), I.key_tokens(F.col("quote"))), 6)
+    return _dealt_items(spark, sf_dir).select("doc_id", "item_id", like.alias("similarity"))
 
 
 @query("op.doc_freq", """
@@ -154,15 +171,13 @@ def canon_case(spark, sf_dir):
 
 
 @query("op.quote_supported", """
-WITH q AS (SELECT item_id, text AS quote FROM benchmark WHERE item_id % 10 = 0),
-w AS (SELECT item_id, list_filter(string_split(trim(regexp_replace(lower(quote), '[^a-zа-я0-9]+', ' ', 'g')), ' '), lambda x: length(x) >= 4) AS ws FROM q)
+WITH w AS (SELECT item_id, (SELECT count(*) FROM benchmark) AS many,
+                  list_filter(string_split(trim(regexp_replace(lower(text), '[^a-zа-я0-9]+', ' ', 'g')), ' '), lambda x: length(x) >= 4) AS ws FROM benchmark)
 SELECT doc_id, item_id, len(list_filter(ws, lambda x: contains(trim(regexp_replace(lower(text), '[^a-zа-я0-9]+', ' ', 'g')), x))) * 2 >= len(ws) AS supported
-FROM documents JOIN w ON doc_id % 40 = item_id
+FROM documents JOIN w ON doc_id % many = item_id
 """)
 def quote_supported(spark, sf_dir):
-    quotes = table(spark, sf_dir, "benchmark").filter("item_id % 10 = 0").select("item_id", F.col("text").alias("quote"))
-    joined = table(spark, sf_dir, "documents").join(quotes, F.col("doc_id") % 40 == F.col("item_id"))
-    return joined.select("doc_id", "item_id", I.quote_supported(F.col("quote"), F.col("text")).alias("supported"))
+    return _dealt_items(spark, sf_dir).select("doc_id", "item_id", I.quote_supported(F.col("quote"), F.col("text")).alias("supported"))
 
 
 @query("op.looks_like_mark", r"""
@@ -196,29 +211,52 @@ def extract_ru(spark, sf_dir):
 
 
 @query("op.flatten_specs", """
-SELECT event_id, 'k: ' || json_extract_string(props, '$.k') AS specs FROM events
+SELECT event_id, 'k: ' || json_extract_string(props, '$.k') || '; Тип: ' || event_type AS specs FROM events
 """)
 def flatten_specs(spark, sf_dir):
-    pairs = F.map_entries(F.from_json("props", "map<string,string>"))
-    return table(spark, sf_dir, "events").select("event_id", F.array_join(F.transform(pairs, lambda p: F.concat(p["key"], F.lit(": "), p["value"])), "; ").alias("specs"))
+    pairs = F.transform(F.map_entries(F.from_json("props", "map<string,string>")), lambda p: F.struct(F.concat(p["key"], F.lit(" :")).alias("name"), p["value"].alias("value")))
+    more = F.array(*[F.struct(F.lit(n).alias("name"), v.cast("string").alias("value")) for n, v in (("Тип: ", F.col("event_type")), ("тип", F.lit("второй")), ("Пусто", F.lit("  ")))])
+    return table(spark, sf_dir, "events").select("event_id", contract_xml.specs_text(F.concat(pairs, more)).alias("specs"))
 
 
-@query("op.parse_print_form", r"""
+@query("op.page_parts", r"""
 SELECT page_id, regexp_extract(html, '(?s)<title>(.*?)</title>', 1) AS title, regexp_extract(html, '(?s)<h1[^>]*>(.*?)</h1>', 1) AS heading,
        len(regexp_extract_all(html, '<a [^>]*href="([^"]*)"', 1)) AS links FROM pages
 """)
-def parse_print_form(spark, sf_dir):
+def page_parts(spark, sf_dir):
     return P.page_parts(table(spark, sf_dir, "pages")).select("page_id", "title", "heading", F.size("links").cast("long").alias("links"))
 
 
-@query("op.pick_attachment", r"""
-WITH l AS (SELECT page_id, unnest(regexp_extract_all(html, '<a [^>]*href="([^"]*)"', 1)) AS href FROM pages)
-SELECT page_id, href, CAST(length(href) AS BIGINT) AS score FROM l QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY length(href) DESC, href) = 1
+@query("op.parse_print_form", """
+SELECT l_orderkey, 'part ' || l_partkey AS name, l_quantity AS quantity, 'шт' AS unit, l_extendedprice AS price, round(l_quantity * l_extendedprice, 2) AS total FROM lineitem
+""")
+def parse_print_form(spark, sf_dir):
+    cell = lambda *parts: F.concat(F.lit("<td>"), *parts, F.lit("</td>"))
+    number = lambda c: F.format_string("%.2f", F.col(c))
+    row = F.concat(F.lit("<tr><td>1</td>"), cell(F.lit("part "), F.col("l_partkey").cast("string")), cell(number("l_quantity")), cell(F.lit("шт")), cell(number("l_extendedprice")), F.lit("</tr>"))
+    head = "<table><tr><th>Свод</th></tr></table><table><tr><th>№</th><th>Наименование товара</th><th>Количество</th><th>Единица измерения</th><th>Цена за единицу</th></tr><tr><td>1</td><td>2</td><td>3</td><td>4</td><td>5</td></tr>"
+    # a contract's lines are few, as a document holds them
+    forms = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.concat(F.lit(head), F.array_join(F.collect_list(row), ""), F.lit("</table>")).alias("html"))
+    rows = forms.select("l_orderkey", F.explode(P.print_form(F.col("html"))).alias("p"))
+    return rows.select("l_orderkey", "p.name", "p.quantity", "p.unit", "p.price", "p.total")
+
+
+ATTACHMENTS = (
+    "Контракт № {}.xml (12,5 КБ)", "Электронный контракт {}.xml", "Контракт {} с учётом доп. соглашений 1, 2.xml", "Счёт {}.xml", "Контракт {}.docx", "Доп. соглашение {}.xml", "Акт о приёмке {}.xml",
+)
+
+
+@query("op.pick_attachment", """
+SELECT p_partkey, CASE WHEN p_size % 4 = 0 THEN 'Контракт ' || p_partkey || ' с учётом доп. соглашений 1, 2.xml' WHEN p_size % 4 = 1 THEN 'Электронный контракт ' || p_partkey || '.xml'
+                       ELSE 'Контракт № ' || p_partkey || '.xml (12,5 КБ)' END AS file, CASE p_size % 4 WHEN 0 THEN 1002 WHEN 1 THEN 500 ELSE 100 END AS rank
+FROM part WHERE p_size % 4 <> 3
 """)
 def pick_attachment(spark, sf_dir):
-    links = P.page_parts(table(spark, sf_dir, "pages")).select("page_id", F.explode("links").alias("href")).withColumn("score", F.length("href").cast("long"))
-    best = F.min_by(F.struct("href", "score"), F.struct(-F.col("score"), F.col("href")))
-    return links.groupBy("page_id").agg(best.alias("b")).select("page_id", "b.href", "b.score")
+    named = lambda n: F.replace(F.lit(ATTACHMENTS[n]), F.lit("{}"), F.col("p_partkey").cast("string"))
+    always = [named(n) for n in (3, 4, 5, 6)]
+    kind = F.col("p_size") % 4
+    files = F.when(kind == 0, F.array(*always, *[named(n) for n in (0, 1, 2)])).when(kind == 1, F.array(*always, named(0), named(1))).when(kind == 2, F.array(*always, named(0))).otherwise(F.array(*always))
+    return select.pick_attachment(table(spark, sf_dir, "part").select("p_partkey", F.explode(files).alias("file")), "p_partkey", "file")
 
 
 @query("op.starting_price", r"""
@@ -234,62 +272,64 @@ def starting_price(spark, sf_dir):
 @query("op.parse_contract_xml", """
 WITH p AS (SELECT l_orderkey, l_partkey, l_extendedprice, l_quantity,
                   '<productInfo><name>part ' || l_partkey || '</name><price>' || l_extendedprice || '</price><quantity>' || l_quantity || '</quantity></productInfo>' AS x
-           FROM lineitem WHERE l_orderkey % 50 = 0)
+           FROM lineitem)
 SELECT CAST(l_orderkey AS VARCHAR) AS reestr_number, row_number() OVER (PARTITION BY l_orderkey ORDER BY x) - 1 AS line, 'part ' || l_partkey AS name,
        l_extendedprice AS price, l_quantity AS quantity, round(l_extendedprice * l_quantity, 2) AS total FROM p
 """)
 def parse_contract_xml(spark, sf_dir):
-    from ..sources import contract_xml
-
-    lines = table(spark, sf_dir, "lineitem").filter("l_orderkey % 50 = 0")
+    lines = table(spark, sf_dir, "lineitem")
     product = F.concat(F.lit("<productInfo><name>part "), F.col("l_partkey").cast("string"), F.lit("</name><price>"), F.col("l_extendedprice").cast("string"), F.lit("</price><quantity>"), F.col("l_quantity").cast("string"), F.lit("</quantity></productInfo>"))
     body = F.array_join(F.array_sort(F.collect_list(product)), "")
     made = lines.groupBy("l_orderkey").agg(F.concat(F.lit("<export><contract><regNum>"), F.first(F.col("l_orderkey").cast("string")), F.lit("</regNum>"), body, F.lit("</contract></export>")).alias("xml"))
     return contract_xml.positions(made, "xml").select("reestr_number", "line", "name", "price", "quantity", "total")
 
 
-@query("op.parse_name")
+@query("op.parse_name", """
+WITH n AS (SELECT p_partkey, upper(p_type) || '-' || p_size AS model,
+                  array_to_string(list_transform(list_filter(string_split(p_name, ' '), lambda x: length(x) < 4), lambda x: upper(x[1]) || x[2:]), ' ') AS brand FROM part)
+SELECT p_partkey, brand, model, '' AS variant, trim(brand || ' ' || model) AS "full" FROM n
+""")
 def parse_name(spark, sf_dir):
-    from ..functions.names import parse_name as parse
-
-    return table(spark, sf_dir, "part").select("p_partkey", parse(F.concat(F.initcap("p_name"), F.lit(", модель "), F.upper("p_type"), F.lit("-"), F.col("p_size").cast("string")), F.array("p_name")).alias("n")).select("p_partkey", "n.*")
+    title = F.concat(F.initcap("p_name"), F.lit(", модель "), F.upper("p_type"), F.lit("-"), F.col("p_size").cast("string"))
+    return table(spark, sf_dir, "part").select("p_partkey", names.parse_name(title, F.array("p_name")).alias("n")).select("p_partkey", "n.*")
 
 
 @query("op.similarity")
 def similarity(spark, sf_dir):
-    from ..functions.names import similarity as like
+    """Each item of the benchmark beside the next; held against a plain version by the tests, as SQL has no likeness of letters in order."""
+    items = table(spark, sf_dir, "benchmark").select("item_id", "text")
+    following = items.select((F.col("item_id") - 1).alias("item_id"), F.col("text").alias("next"))
+    return items.join(following, "item_id").select("item_id", F.round(names.similarity(F.col("text"), F.col("next")), 6).alias("similarity"))
 
-    rows = table(spark, sf_dir, "benchmark").select("item_id", "text", F.lead("text").over(F_window("item_id")).alias("next"))
-    return rows.filter("next is not null").select("item_id", F.round(like(F.col("text"), F.col("next")), 6).alias("similarity"))
 
+@query("op.phonetic_close")
+def phonetic_close(spark, sf_dir):
+    """Brands beside part names, each distinct pair once; held against a plain version by the tests."""
+    pairs = table(spark, sf_dir, "part").select(F.concat("p_name", F.lit(" ("), "p_type", F.lit(")")).alias("a"), F.reverse("p_type").alias("b")).distinct()
+    return pairs.select("a", "b", names.phonetic_close(F.col("a"), F.concat("b", F.lit(" "), F.substring_index("a", " ", 2))).alias("close"))
 
-def F_window(order: str):
-    from pyspark.sql import Window
-
-    return Window.partitionBy(F.lit(0)).orderBy(order)
 
+_SAME_WORD = "(w = x OR (least(length(w), length(x)) >= 5 AND left(w, greatest(5, least(length(w), length(x)) - 3)) = left(x, greatest(5, least(length(w), length(x)) - 3))))"
 
-@query("op.phonetic_close")
-def phonetic_close(spark, sf_dir):
-    from ..functions.names import phonetic_close as close
 
-    names = table(spark, sf_dir, "part").select("p_name").distinct()
-    pairs = names.join(names.select(F.col("p_name").alias("other")), F.split("p_name", " ")[1] == F.split("other", " ")[1]).filter("p_name < other")
-    return pairs.select("p_name", "other", close(F.col("p_name"), F.col("other")).alias("close"))
+def _words_like(words: str, others: str) -> str:
+    return f"len(list_filter({words}, lambda w: len(list_filter({others}, lambda x: {_SAME_WORD})) > 0))"
 
 
-@query("op.name_match")
+@query("op.name_match", f"""
+WITH n AS (SELECT DISTINCT p_name AS kind, p_name || 's для ' || lower(p_type) AS card FROM part),
+w AS (SELECT kind, card, string_split(kind, ' ') AS k, list_filter(string_split(card, ' '), lambda y: length(y) > 2 AND y <> 'для') AS c FROM n)
+SELECT kind, card, CASE WHEN {_words_like("[k[1]]", "c")} = 0 THEN 0.0 ELSE round(greatest({_words_like("k", "c")} / len(k), {_words_like("c", "k")} / len(c)), 6) END AS score FROM w
+""")
 def name_match(spark, sf_dir):
-    from ..functions.names import name_match as match
+    pairs = table(spark, sf_dir, "part").select(F.col("p_name").alias("kind"), F.concat("p_name", F.lit("s для "), F.lower("p_type")).alias("card")).distinct()
+    return pairs.select("kind", "card", F.round(E.name_match(F.col("kind"), F.col("card")), 6).alias("score"))
 
-    names = table(spark, sf_dir, "part").select("p_name").distinct()
-    pairs = names.join(names.select(F.col("p_name").alias("other")), F.split("p_name", " ")[0] == F.split("other", " ")[0])
-    return pairs.select("p_name", "other", F.round(match(F.col("p_name"), F.col("other")), 6).alias("score"))
 
-
-@query("op.registry_variants")
+@query("op.registry_variants", """
+SELECT p_brand, count(DISTINCT p_type || '-' || p_size) AS n, string_agg(DISTINCT p_type || '-' || p_size, ',' ORDER BY p_type || '-' || p_size) AS variants FROM part GROUP BY 1
+""")
 def registry_variants(spark, sf_dir):
-    from ..functions.names import registry_variants as variants
-
-    text = F.concat(F.lit("Варианты исполнения: "), F.array_join(F.array_sort(F.collect_set(F.concat("p_type", F.lit("-"), F.col("p_size").cast("string")))), "; "))
-    return table(spark, sf_dir, "part").groupBy("p_brand").agg(text.alias("t")).select("p_brand", variants(F.col("t")).alias("v")).select("p_brand", F.size("v").cast("long").alias("n"), F.array_join("v", ",").alias("variants"))
+    listed = F.array_join(F.array_sort(F.collect_set(F.concat("p_type", F.lit("-"), F.col("p_size").cast("string")))), "; ")
+    records = table(spark, sf_dir, "part").groupBy("p_brand").agg(F.concat(F.lit("Варианты исполнения: "), listed).alias("t"))
+    return records.select("p_brand", names.registry_variants(F.col("t")).alias("v")).select("p_brand", F.size("v").cast("long").alias("n"), F.array_join("v", ",").alias("variants"))

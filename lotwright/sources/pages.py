@@ -42,13 +42,20 @@ def plain_text(html: Column) -> Column:
 
 
 def labelled(text: Column, label: str, span: int = 120) -> Column:
-    """Up to `span` characters after a label."""
+    """What stands after the last of a label, `span` characters at most: a value is short, and nothing marks its end."""
     return F.when(F.instr(text, label) > 0, F.trim(F.substring(F.substring_index(text, label, -1), 1, span)))
 
 
+def total_found(html: Column) -> Column:
+    """How many records a search page says it found; null if it doesn't."""
+    said = F.regexp_extract(plain_text(html), r"(?iu)(?:найдено|результат[а-яё]*|записей)[^0-9]{0,40}((?:\d[\d ]*\d|\d))", 1)
+    return F.replace(said, F.lit(" "), F.lit("")).try_cast("long")
+
+
 def search_hits(html: Column) -> Column:
     """Contract headers of a search page, as an array of structs; blocks without a number are left out."""
-    blocks = F.slice(F.split(html, "search-registry-entry-block"), 2, 10_000)
+    pieces = F.split(html, "search-registry-entry-block")
+    blocks = F.slice(pieces, F.lit(2), F.greatest(F.size(pieces) - 1, F.lit(0)))
     number = lambda b: F.regexp_extract(plain_text(b), r"№\s*(\d{19})", 1)
     header = lambda b: F.struct(
         number(b).alias("reestr_number"),
@@ -91,7 +98,7 @@ def _number(text: str | None) -> float | None:
 
 def _columns(cells: list[str]) -> dict[str, int]:
     out: dict[str, int] = {}
-    for i, cell in enumerate(cells[:14]):
+    for i, cell in enumerate(cells):
         for field, pattern in HEADINGS:
             if field not in out and re.search(pattern, cell, re.I):
                 out[field] = i
