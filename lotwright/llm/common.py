@@ -46,7 +46,16 @@ def store(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/lotwright/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    scan = spark.read.schema(df.schema).parquet(path)
+    scan._stored_at = path
+    return scan
+
+
+def discard(*stored: DataFrame) -> None:
+    """Delete tables that `store` wrote and that nothing reads any more, such as those of a finished round."""
+    for df in stored:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._stored_at)
+        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def fresh(df: DataFrame, name: str) -> str:

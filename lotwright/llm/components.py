@@ -23,10 +23,10 @@ def _least(edges: DataFrame) -> DataFrame:
     return edges.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
 
 
-def _star(edges: DataFrame, name: str) -> DataFrame:
-    """Rows (u, v, m) for stored `edges`, m the least of u's neighbourhood."""
-    least = common.store(_least(edges), name)
-    return edges.join(least, "u")
+def _star(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows (u, v, m) for stored `edges`, m the least of u's neighbourhood; and the table of those."""
+    least = common.store(_least(edges), "cc-least")
+    return edges.join(least, "u"), least
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -40,11 +40,13 @@ def components(links: DataFrame) -> DataFrame:
     before = None
     for _ in range(MOST_ROUNDS):
         both = common.store(edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))), "cc-both")
-        large = _star(both, "cc-least").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = common.store(large, "cc-large")
-        starred = _star(large, "cc-least")
+        starred, least = _star(both)
+        large = common.store(starred.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "cc-large")
+        common.discard(edges, both, least)
+        starred, least = _star(large)
         small = starred.select(F.col("v").alias("u"), F.col("m").alias("v")).union(starred.select("u", F.col("m").alias("v")))
         edges = common.store(small.filter("u <> v").distinct(), "cc-edge")
+        common.discard(large, least)
         now = _state(edges)
         if now == before:
             break

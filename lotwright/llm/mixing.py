@@ -100,7 +100,7 @@ def dual_variables(histogram: DataFrame, goals: DataFrame, cap: int = CAP) -> Da
         inside = F.coalesce((step > low) & (step < high), F.lit(False))
         met = F.abs(F.col("words") - F.col("target")) <= TOLERANCE * F.col("target")
         moved = F.when(met, F.col("dual")).when(inside, step).otherwise((low + high) / 2)
-        state = common.store(
+        last, state = state, common.store(
             both.select(
                 "source", "mean", "total", "target",
                 F.when(F.col("words").isNotNull(), moved).otherwise(F.col("dual")).alias("dual"),
@@ -110,6 +110,7 @@ def dual_variables(histogram: DataFrame, goals: DataFrame, cap: int = CAP) -> Da
             ),
             "mix-dual",
         )
+        common.discard(last)
         if state.filter("not done").isEmpty():
             break
     return state.select("source", "mean", "total", "target", "dual")
