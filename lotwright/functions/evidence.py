@@ -67,8 +67,7 @@ def same_device_kind(registered: Column, kinds: Column) -> Column:
 
 def telling_tokens(c: Column) -> Column:
     """The strong tokens of a text and its hyphened names, each once in any case."""
-    every = F.concat(I.strong_tokens(c), I.every(c, HYPHENED))
-    return F.filter(every, lambda t, i: (F.length(t) >= 2) & (F.array_position(F.transform(every, F.lower), F.lower(t)) == i + 1))
+    return I.first_of_case(F.filter(F.concat(I.strong_tokens(c), I.every(c, HYPHENED)), lambda t: F.length(t) >= 2))
 
 
 def shares_mark(name: Column, registered: Column) -> Column:
@@ -76,10 +75,8 @@ def shares_mark(name: Column, registered: Column) -> Column:
     text = tidy(registered)
     bare = tidy(F.regexp_replace(F.coalesce(name, F.lit("")), I.REGISTRATION, " "))
     whole = (F.length(bare) >= 20) & F.contains(text, bare)
-    tokens = F.transform(telling_tokens(name), tidy)
-    found = F.exists(tokens, lambda t: (F.length(t) >= 4) & F.contains(text, t))
-    words = F.exists(tokens, lambda t: F.exists(F.split(t, " "), lambda w: (F.length(w) >= 5) & F.contains(text, w)))
-    return (text != "") & (whole | found | words)
+    inside = lambda t: (F.length(t) >= 4) & F.contains(text, t) | F.exists(F.split(t, " "), lambda w: (F.length(w) >= 5) & F.contains(text, w))
+    return (text != "") & (whole | F.exists(F.transform(telling_tokens(name), tidy), inside))
 
 
 def article_families(c: Column) -> Column:
@@ -92,10 +89,14 @@ def article_families(c: Column) -> Column:
 
 def contradicts(text: Column, registered: Column) -> Column:
     """Whether a family of articles that both texts name has no number in common; silence is no contradiction."""
-    said, held = article_families(text), article_families(registered)
-    other = lambda p: F.exists(held, lambda h: h["family"] == p["family"])
-    agreed = lambda p: F.exists(said, lambda s: (s["family"] == p["family"]) & F.array_contains(held, s))
-    return F.exists(said, lambda p: other(p) & ~agreed(p))
+
+    def apart(both: Column) -> Column:
+        said, held = both["said"], both["held"]
+        other = lambda p: F.exists(held, lambda h: h["family"] == p["family"])
+        agreed = lambda p: F.exists(said, lambda s: (s["family"] == p["family"]) & F.array_contains(held, s))
+        return F.exists(said, lambda p: other(p) & ~agreed(p))
+
+    return N.let(F.struct(article_families(text).alias("said"), article_families(registered).alias("held")), apart)
 
 
 def evidence(tokens: Column, text: Column, registered: Column) -> Column:

@@ -36,6 +36,12 @@ def every(c: Column, pattern: str, group: int = 0) -> Column:
     return F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(pattern), F.lit(group))
 
 
+def first_of_case(texts: Column) -> Column:
+    """Texts that differ in more than case, the first of each."""
+    once = lambda ts: F.filter(ts, lambda t, i: F.array_position(F.transform(ts, F.lower), F.lower(t)) == i + 1)
+    return N.let(texts, once)
+
+
 def is_service(name: Column) -> Column:
     return F.coalesce(name.rlike(SERVICES), F.lit(False))
 
@@ -169,7 +175,7 @@ def strong_tokens(c: Column) -> Column:
         every(text, r"(?U)\b[\w-]*\d[\w-]*\b"),
     )
     tidy = F.filter(F.transform(kinds, lambda t: F.regexp_replace(t, "^[-– ]+|[-– ]+$", "")), lambda t: (F.length(t) >= 2) & ~F.lower(t).isin(*TOKEN_STOP))
-    return F.filter(tidy, lambda t, i: F.array_position(F.transform(tidy, F.lower), F.lower(t)) == i + 1)
+    return first_of_case(tidy)
 
 
 def key_tokens(c: Column) -> Column:

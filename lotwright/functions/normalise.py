@@ -6,6 +6,7 @@ values are both null here; the report alone writes a dash for them.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -51,6 +52,11 @@ ABBREVIATIONS = {
 }
 
 
+def let(c: Column, then: Callable[[Column], Column]) -> Column:
+    """`then` of a value that is worked out once, however often `then` uses it."""
+    return F.get(F.transform(F.array(c), lambda x: then(x)), F.lit(0))
+
+
 def blank_to_null(c: Column) -> Column:
     """Trimmed, inner white space single, no-break spaces plain; nothing left is null."""
     tidy = F.trim(F.regexp_replace(F.translate(c, "  ", "  "), r"\s+", " "))

@@ -14,8 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.identifiers import every
-from ..functions.normalise import money
+from ..functions.identifiers import every, purchase_number
+from ..functions.normalise import date, money
 
 POSITION = T.StructType([T.StructField(c, T.DoubleType() if c in ("quantity", "price", "total") else T.StringType()) for c in ("name", "code", "quantity", "unit", "price", "total")])
 
@@ -133,3 +133,35 @@ def form_positions(html: str) -> list[dict]:
 @F.pandas_udf(T.ArrayType(POSITION))
 def print_form(pages: pd.Series) -> pd.Series:
     return pd.Series([form_positions(p) for p in pages])
+
+
+def _pairs(html: Column) -> Column:
+    """The two-cell rows of a form's tables, as structs of lower-case key and value."""
+    cut = every(html, r"(?is)<tr[^>]*>(.*?)</tr>", 1)
+    cells = F.transform(cut, lambda r: F.transform(F.regexp_extract_all(r, F.lit(r"(?is)<td[^>]*>(.*?)</td>"), F.lit(1)), plain_text))
+    two = F.filter(cells, lambda c: (F.size(c) == 2) & (c[0] != "") & (c[1] != "") & (F.length(c[0]) < 130))
+    return F.transform(two, lambda c: F.struct(F.lower(c[0]).alias("k"), c[1].alias("v")))
+
+
+def form_headers(forms: DataFrame, html: str) -> DataFrame:
+    """`forms` with the contract's number, purchase, price, parties and day of signature from a print form.
+
+    The first short name is the customer's and the second the supplier's, the first two
+    taxpayer numbers theirs; the customer's signature dates the contract, else the last.
+    """
+    told = forms.withColumn("_pairs", _pairs(F.col(html)))
+    values = lambda needle: F.transform(F.filter("_pairs", lambda p: F.contains(p["k"], F.lit(needle))), lambda p: p["v"])
+    first = lambda needle: F.get(values(needle), F.lit(0))
+    short, full = values("сокращенное наименование"), values("полное наименование")
+    inns = F.array_distinct(F.transform(F.filter("_pairs", lambda p: (F.trim(p["k"]) == "инн") & p["v"].rlike(r"^\d{10,12}$")), lambda p: p["v"]))
+    text = plain_text(F.col(html))
+    signed = F.regexp_extract(text, r"(?isu)Подпись заказчика.*?Дата и время подписания:?\s*(\d{2}\.\d{2}\.\d{4})", 1)
+    days = F.transform(every(text, r"(?iu)Дата и время подписания:?\s*(\d{2}\.\d{2}\.\d{4})", 1), date)
+    return told.select(
+        *forms.columns, first("номер контракта").alias("contract_number"), first("идентификационный код закупки").alias("ikz"),
+        purchase_number(first("номер извещения")).alias("purchase_number"), F.coalesce(first("валюта контракта"), F.lit("RUB")).alias("currency"),
+        money(first("цена контракта")).alias("contract_price"), date(first("дата окончания исполнения")).alias("ends"),
+        F.coalesce(F.get(short, F.lit(0)), F.get(full, F.lit(0))).alias("customer"), F.coalesce(F.get(short, F.lit(1)), F.get(full, F.lit(1))).alias("supplier"),
+        F.get(inns, F.lit(0)).alias("customer_inn"), F.get(inns, F.lit(1)).alias("supplier_inn"),
+        F.coalesce(F.when(signed != "", date(signed)), F.array_max(days)).alias("signed"),
+    )

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from lotwright.functions import companies as C
 from lotwright.functions import evidence as E
 from lotwright.functions import identifiers as I
+from lotwright.functions import marks as M
 from lotwright.functions import names
 from lotwright.functions import normalise as N
 from lotwright.functions import prices
@@ -257,3 +258,64 @@ def test_discount_notes(spark):
     ]
     note = prices.discount_note(*map(F.col, "abcde"))
     assert of(spark, [c for c, _ in cases], note, "a long, b long, c long, d long, e double") == [w for _, w in cases]
+
+
+def latin(text):
+    return text.translate(str.maketrans(N.LOOKALIKE_CYRILLIC, N.LOOKALIKE_LATIN))
+
+
+def test_type_words_and_families(spark):
+    hints = F.array(F.lit("Установка стоматологическая"), F.lit(None).cast("string"))
+    words = ["Облучатель-рециркулятор", "установка", "РЗН", "", "DIPLOMAT", "Бирюса", "аппараты"]
+    assert of(spark, words, M.is_type_word(F.col("v"), hints)) == [True, True, True, True, False, False, True]
+    assert of(spark, ["Стомат1", "Стоматологическая1", "Бирюса1", "Сто1", None], M.is_type_fragment(F.col("v"), hints)) == [True, False, False, False, False]
+    pairs = [("УС", "Установка стоматологическая"), ("УС", "УС прибор"), ("KLT", "Установка"), ("ИК", "аппарат инфракрасный крупный")]
+    assert of(spark, pairs, M.is_type_abbreviation(F.col("a"), F.col("b")), "a string, b string") == [True, False, False, True]
+    assert of(spark, ["Бирюcа Cтол", "ABС", "Ёж"], M.mended_script(F.col("v"))) == ["Бирюса Стол", "ABC", "Ёж"]
+    assert of(spark, ["Бирюса-450 x", "Mercury550", "5x", None], M.family_root(F.col("v"))) == ["бирюса", "mercury", "", ""]
+    pairs = [("Бирюса 450", "Бирюса-5"), ("Mercury 5", "Merc"), ("KLT-1", "KLT-2"), ("Бирюса", "Орфей")]
+    assert of(spark, pairs, M.same_family(F.col("a"), F.col("b")), "a string, b string") == [True, True, False, False]
+    assert of(spark, ["Бирюса 450S-R", "Установка DA290 x", "ab", "АРМЕД"], M.mark_keys(F.col("v"), hints)) == [[latin("бирюса450sr"), latin("бирюса"), "450sr"], [latin("установкаda290x"), "da290"], [], [latin("армед")]]
+
+
+def test_marks_and_their_lists(spark):
+    two, three = "a string, b string", "a string, b string, c string"
+    assert of(spark, [("AJ", "AJ-15"), ("AJ", "AJax"), ("AJ", "AJ"), ("aj", "AJ 15")], M.extends(F.col("a"), F.col("b")), two) == [True, False, False, True]
+    rows = [("Бирюса", "Бирюса 450S", "модели 350S; 450S"), ("Бирюса", "Бирюса 450S", "350S"), ("Бирюса", "Бирюса", "Бирюса 5"), ("a", "b", "")]
+    assert of(spark, rows, M.addition_listed(F.col("a"), F.col("b"), F.col("c")), three) == [True, False, True, False]
+    names_ = ["Лампа модели А1, А2", "Лампы «Луч» и «Свет»", "Лампа «Луч» по ТУ 9452-001", "Лампа KLT-1, KLT-2", "Лампа KLT-1", None]
+    assert of(spark, names_, M.lists_several(F.col("v"))) == [True, True, False, True, False, False]
+    assert of(spark, [("aj15", "модель AJ-15 белая"), ("aj15", "другое")], M.as_written(F.col("a"), F.col("b")), two) == ["AJ-15", "AJ15"]
+    assert of(spark, ["KLT (объект закупки является медицинским изделием)", "Товарный знак: отсутствует", " «A» ,"], M.clean_trademark(F.col("v"))) == ["KLT", "", "«A»"]
+    assert of(spark, ["М2 (HEM-7121), М3 (HEM-7131)", "М2 (HEM-7121)", "М2 (HEM-1), М3 (KLT-2)"], M.listed_articles(F.col("v"))) == [["HEM-7121", "HEM-7131"], [], []]
+    brands = M.brand_tokens(F.array("v"), F.array(F.lit("Установка")))
+    assert of(spark, ["ООО DIXION dixion «Бирюса» Luch5", "установка ABC"], brands) == [["Бирюса", "DIXION"], []]
+    companies = F.array(F.lit("ООО «Диксион»"), F.lit("ARMED Ltd"))
+    assert of(spark, ["Convelar Диксион 5", "Диксион 5", "Convelar", "X1 ARMED"], M.without_company_tail(F.col("v"), companies)) == ["Convelar", "Диксион 5", "Convelar", "X1"]
+
+
+def test_tidy_marks(spark):
+    cases = {
+        "1. KLT-5": "KLT-5", "KLT-5 KLT-5": "KLT-5", "Mercury mercury 550": "Mercury 550", "KLT 5 5": "KLT 5 5", "Облучатель KLT-5": "KLT-5", "Светильник передвижной ARMED": "ARMED",
+        "Облучатель": "Облучатель", "KLT-5, вариант исполнения II": "KLT-5", "KLT-5 II.": "KLT-5", "": "",
+    }
+    assert dict(zip(cases, of(spark, list(cases), M.tidy_mark(F.col("v"))), strict=True)) == cases
+    why = {"KLT-5": None, "ООО Луч": M.IS_COMPANY, "Ромашка": M.IS_COMPANY, "": M.IS_NOTHING, "стол белый": M.IS_DESCRIPTION, "5 штук": M.IS_DESCRIPTION, "302 мм": M.IS_MEASURE, "Россия": M.IS_COUNTRY, "A, B, C": M.IS_LIST, "A (B": M.IS_LIST}
+    assert dict(zip(why, of(spark, list(why), M.why_no_mark(F.col("v"), F.lit("ромашка"))), strict=True)) == why
+    assert of(spark, ["масса не более 5", "Есть: ДА Цвет", "KLT", "a: b: c: " + "x" * 120], M.spec_sheet(F.col("v"))) == [True, True, False, True]
+    assert of(spark, ["Действует", " действующее", "Отменён", None], M.is_active(F.col("v"))) == [True, True, False, False]
+
+
+def test_captions(spark):
+    assert of(spark, ["Стол операционный, белый / малый", "Аппарат искусственной вентиляции лёгких"], M.name_variants(F.col("v"))) == [
+        ["Стол операционный, белый / малый", "Стол операционный, белый", "Стол операционный"], ["Аппарат искусственной вентиляции лёгких", "аппарат искусственной"],
+    ]
+    assert of(spark, ["a; B\nA;; c", None], M.lines(F.col("v"))) == [["a", "B", "c"], []]
+    days = [("01.02.2024", "2024-02-02"), ("03.02.2024", "02.03.2024"), ("02.02.2024", "02.02.2024"), ("x", "02.02.2024")]
+    assert of(spark, days, M.earlier(F.col("a"), F.col("b")), "a string, b string") == [True, True, False, False]
+    values = [("есть", None, None, None, "ММ"), (None, "5", None, None, "ММ"), (None, None, "> 1", "3", "К"), (None, None, "1", " ", None), ("", "", "", "7", "кг"), (None, None, None, None, "ММ")]
+    assert of(spark, values, M.value_text(*map(F.col, "abcde")), "a string, b string, c string, d string, e string") == ["есть", "5 мм", "> 1–3 К", "от 1", "до 7 кг", ""]
+    times = {10.0: "меньше минуты", 60.0: "около минуты", 240.0: "около 4 минут", 21 * 60.0: "около 21 минуты", 3600.0: "около часа", 2 * 3600 + 30 * 60.0: "около 2 часов 30 мин", 21 * 3600.0: "около 21 часа"}
+    assert of(spark, [(t,) for t in times], M.duration(F.col("v")), "v double") == list(times.values())
+    assert of(spark, ["32.50.13.110-00001", "рускан 70п?", None], M.report_name(F.col("v"), F.lit("2024-01-02 03:04:05").cast("timestamp"))) == ["медизделия_32_50_13_110-00001_20240102_030405", "медизделия_рускан_70п_20240102_030405", "медизделия_папка_20240102_030405"]
+    assert of(spark, [("", "file"), (" 1 ", "file"), (None, None)], M.contract_key(F.col("a"), F.col("b")), "a string, b string") == ["file", "1", None]
