@@ -192,12 +192,3 @@ def drop_holder(spark, sf_dir):
 def purchase_numbers(spark, sf_dir):
     number = F.lpad(F.col("o_orderkey").cast("string"), 19, "0")
     return table(spark, sf_dir, "orders").select("o_orderkey", I.purchase_number(_text("№ ", F.left(number, F.lit(5)), " ", F.substring(number, 6, 14), "/77")).alias("number"))
-
-
-@query("op.phonetic_forms", """
-SELECT p_partkey, len(list_distinct([lower(p_name), lower(p_name) || ' ' || lower(p_type)])) AS written FROM part
-""")
-def phonetic_forms(spark, sf_dir):
-    """Spellings of a name, by their folded keys."""
-    spelled = F.array_distinct(F.transform(F.array(F.col("p_name"), F.upper("p_name"), _text(F.col("p_name"), " ", F.col("p_type"))), N.name_key))
-    return table(spark, sf_dir, "part").select("p_partkey", F.size(spelled).cast("long").alias("written"))

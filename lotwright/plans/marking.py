@@ -114,12 +114,11 @@ def is_type_word(spark, sf_dir):
 
 
 @query("op.mark_keys", """
-SELECT p_partkey, lower(p_brand_word) || 'da' || p_partkey AS whole, lower(p_brand_word) AS first, 'da' || p_partkey AS later
-FROM (SELECT p_partkey, 'Mercury' AS p_brand_word FROM part WHERE p_partkey > 9)
+SELECT p_partkey, 'mercuryda' || p_partkey AS whole, 'mercury' AS first, CASE WHEN p_partkey > 9 THEN 'da' || p_partkey END AS later FROM part
 """)
 def mark_keys(spark, sf_dir):
     keys = M.mark_keys(_text("Mercury DA-", F.col("p_partkey")), F.array("p_name"))
-    rows = table(spark, sf_dir, "part").filter("p_partkey > 9").select("p_partkey", keys.alias("k"))
+    rows = table(spark, sf_dir, "part").select("p_partkey", keys.alias("k"))
     return rows.select("p_partkey", *[F.get("k", F.lit(i)).alias(n) for i, n in enumerate(("whole", "first", "later"))])
 
 
