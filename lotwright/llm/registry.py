@@ -18,5 +18,6 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op4_substring_dedup": substring.OP4_SQL,
     "op7_exact_dedup": exact.OP7_SQL,
 }
