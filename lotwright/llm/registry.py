@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact, mixing, packing, quality, rollups, secrets, simhash, substring, toxicity, vectors, winnow
+from . import conversations, exact, mixing, packing, quality, rollups, secrets, simhash, substring, toxicity, vectors, winnow
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
@@ -15,11 +15,13 @@ QUERIES = {
     "op8_winnow": winnow.op8_winnow,
     "op9_simhash": simhash.op9_simhash,
     "op10_secrets": secrets.op10_secrets,
+    "op11_conversation_repair": conversations.op11_conversation_repair,
     "op13_vector_codes": vectors.op13_vector_codes,
 }
 
 ORACLES = {
     "op4_substring_dedup": substring.OP4_SQL,
     "op7_exact_dedup": exact.OP7_SQL,
+    "op11_conversation_repair": conversations.OP11_SQL,
     "op13_vector_codes": vectors.OP13_SQL,
 }
