@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import conversations, exact, mixing, packing, quality, rollups, secrets, simhash, substring, toxicity, vectors, winnow
+from . import conversations, exact, mixing, packing, quality, repeats, rollups, secrets, simhash, substring, toxicity, vectors, winnow
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_simhash": simhash.op9_simhash,
     "op10_secrets": secrets.op10_secrets,
     "op11_conversation_repair": conversations.op11_conversation_repair,
+    "op12_suffix_dedup": repeats.op12_suffix_dedup,
     "op13_vector_codes": vectors.op13_vector_codes,
 }
 
@@ -23,5 +24,6 @@ ORACLES = {
     "op4_substring_dedup": substring.OP4_SQL,
     "op7_exact_dedup": exact.OP7_SQL,
     "op11_conversation_repair": conversations.OP11_SQL,
+    "op12_suffix_dedup": repeats.OP12_SQL,
     "op13_vector_codes": vectors.OP13_SQL,
 }
