@@ -5,11 +5,14 @@ identifiers and long hexadecimal runs. Weak candidates look like parts of a
 credential but occur in ordinary text too: identifiers in capitals and digits, mixed
 tokens, and endpoints. They are reported only in company. Parts of a document are
 interval-joined: each part's scope is its span and SCOPE code points on either side,
-and an identifier and a secret link when one lies in the scope of the other.
+and parts of different sorts (identifier, secret, endpoint) are complementary and link
+when one lies in the scope of the other. An endpoint is weak, however it is written.
 
-* A link of a weak part with a strong one reports the weak part.
-* A link of two weak parts reports both, if an endpoint lies in the scope of either,
-  and the endpoint with them.
+* A link of a weak part with a strong one reports the weak part, so an endpoint beside
+  a strong identifier or secret is reported too.
+* A link of a weak identifier and a weak secret reports both, if an endpoint lies in
+  the scope of either, and the endpoint with them; a weak part and an endpoint alone
+  are ordinary text.
 
 The join is an equi-join on the document and a bucket of positions as long as a
 scope; a part is in every bucket that its span meets, with its scope on one side, so
@@ -37,6 +40,7 @@ from . import common
 
 SCOPE = 200
 KINDS = ("assign", "access", "hex", "weak_access", "weak_secret", "endpoint")
+STRONG = KINDS[:3]
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ASSIGN_WORDS = ("password", "passwd", "secret", "token", "api")
@@ -128,7 +132,9 @@ def linked(parts: DataFrame) -> DataFrame:
     reach = two.withColumn("bucket", F.explode(F.sequence(F.floor((F.col("s") - SCOPE) / SCOPE), F.floor((F.col("e") + SCOPE) / SCOPE))))
     met = reach.join(_bucketed(ends, "n", 0), ["row", "bucket"]).filter(_close("i", "n") | _close("k", "n"))
     three = met.select("row", F.explode(F.array(*[F.struct(F.col(f"{p}_kind").alias("kind"), F.col(f"{p}_s").alias("s"), F.col(f"{p}_e").alias("e")) for p in "ikn"])).alias("part"))
-    return one.unionByName(three).distinct().select("row", "part.*")
+    beside = _bucketed(ends, "n", SCOPE).join(_bucketed(parts.filter(F.col("kind").isin(*STRONG)), "k", 0), ["row", "bucket"]).filter(_close("n", "k"))
+    lone = beside.select("row", F.struct(F.col("n_kind").alias("kind"), F.col("n_s").alias("s"), F.col("n_e").alias("e")).alias("part"))
+    return one.unionByName(three).unionByName(lone).distinct().select("row", "part.*")
 
 
 def scanned(docs: DataFrame) -> DataFrame:
@@ -137,7 +143,7 @@ def scanned(docs: DataFrame) -> DataFrame:
     parts = found.filter(F.size("parts") > 0).select("row", F.explode("parts").alias("p")).select("row", "p.*")
     more = linked(parts).groupBy("row").agg(F.collect_set(F.struct("kind", "s", "e")).alias("more"))
     joined = found.join(more, "row", "left")
-    spans = F.filter("parts", lambda p: p["kind"].isin(*KINDS[:3]))
+    spans = F.filter("parts", lambda p: p["kind"].isin(*STRONG))
     rank = F.create_map(*[x for i, k in enumerate(KINDS) for x in (F.lit(k), F.lit(i))])
     keyed = F.array_sort(F.transform(F.concat(spans, F.col("more")), lambda p: F.struct(p["s"].alias("s"), rank[p["kind"]].alias("rank"), p["e"].alias("e"), p["kind"].alias("kind"))))
     text = F.array_join(F.transform(keyed, lambda p: F.concat_ws(":", p["kind"], p["s"], p["e"])), ",")

@@ -176,3 +176,13 @@ def test_lower_bound_is_one(lengths):
     assert packing.lower_bound(np.array(lengths, np.int64), 20) <= optimum
     _, _, fill = packing.best_fit_decreasing(np.array(lengths, np.int64), 20)
     assert sum(lengths) == fill.sum() and len(fill) >= optimum and (not lengths or fill.max() <= 20)
+
+
+def test_ids_of_words_like_special_tokens():
+    """Names of special tokens in any case beside control characters and letters whose case changes their bytes."""
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    bits = ["<|endoftext|>", "<|ENDOFTEXT|>", "<|EndOfText|>", "<|startoftext|>", "<|StartOfText|>", *"\x1c\x1f\x85\x00 \t\n\x0b_", "Don't", "'S", *"ÉßİſK♥𝒳é", "12", "a1b2", "</w>", "x" * 50]
+    rng = np.random.default_rng(5)
+    texts = ["".join(bits[k] for k in rng.integers(0, len(bits), rng.integers(0, 10))) for _ in range(20_000)]
+    got = packing.word_ids(packing.default_vocabulary()).of(texts)
+    assert [t for t, ids in zip(texts, got, strict=True) if np.asarray(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() != ids] == []
