@@ -2,21 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .stored import shared_folder
+
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path for a report in the folder that all executors share; a local session without one gets a temporary folder."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="lotwright-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return f"{folder.rstrip('/')}/lotwright/{name}-{uuid.uuid4().hex}"
+    """A fresh path for a report in the folder that all executors share."""
+    return f"{shared_folder(spark)}/lotwright/{name}-{uuid.uuid4().hex}"
 
 
 def save(report: DataFrame, path: str, partitions: list[str]) -> str:
