@@ -66,9 +66,6 @@ class WordIds:
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        # for words of a text without a special token, which lower case and splitting may make look like one
-        self.words = Tokenizer.from_file(vocabulary)
-        self.words.encode_special_tokens = True
         # the same merges for parts that are in lower case and parted already
         self.merges = Tokenizer.from_file(vocabulary)
         self.merges.encode_special_tokens = True
@@ -80,8 +77,10 @@ class WordIds:
         self.known: dict[bytes, bytes] = {}
         self.parts: dict[str, bytes] = {}
 
-    def _encoded(self, texts: list[str], tokenizer) -> list[bytes]:
-        return [np.asarray(x.ids, "<u4").tobytes() for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _encoded(self, texts: list[str], special: bool) -> list[bytes]:
+        """Ids of texts; without `special` the names of special tokens are plain text, as lower case and splitting may make a word look like one."""
+        self.tokenizer.encode_special_tokens = not special
+        return [np.asarray(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn_parts(self, new: list[str]) -> None:
         runs = [" ".join(new[i : i + 200]) for i in range(0, len(new), 200)]
@@ -91,7 +90,7 @@ class WordIds:
             raw = ids.tobytes()
             self.parts.update(zip(new, (raw[s:e] for s, e in pairwise([0, *ends.tolist()])), strict=True))
         else:
-            self.parts.update(zip(new, self._encoded(new, self.merges), strict=True))
+            self.parts.update(zip(new, self._encoded(new, False), strict=True))
 
     def _learn(self, new: list[bytes]) -> None:
         # letters alone are one part; all else is parted by the pattern
@@ -108,7 +107,7 @@ class WordIds:
             else:
                 other.append(word)
         if other:
-            self.known.update(zip(other, self._encoded([w.decode() for w in other], self.words), strict=True))
+            self.known.update(zip(other, self._encoded([w.decode() for w in other], False), strict=True))
         if fresh := list(set(lower).union(*parted).difference(self.parts)):
             self._learn_parts(fresh)
         get = self.parts.__getitem__
@@ -119,7 +118,7 @@ class WordIds:
         """The ids of each text. One with a special token is no sequence of words, and goes to the tokenizer whole."""
         plain = [not any(s in t for s in self.special) for t in texts]
         of_words = self._of_words(list(compress(texts, plain)))
-        return (next(of_words) if p else self._encoded([t], self.tokenizer)[0] for t, p in zip(texts, plain, strict=True))
+        return (next(of_words) if p else self._encoded([t], True)[0] for t, p in zip(texts, plain, strict=True))
 
     def _of_words(self, texts: list[str]) -> Iterator[bytes]:
         words = [(t.encode().lower() if t.isascii() else t.encode()).split() for t in texts]
