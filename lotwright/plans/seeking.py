@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import lists
-from ..operators import kinds, lookup
+from ..operators import kinds, lookup, sweeps
+from ..sources import cards, ingest, products
 from ..sources.tables import table
-from .bindings import positions
+from ..streaming import states
+from .bindings import POSITION_SQL, positions
 from .texts import _words_like
 
 QUERIES, ORACLES = {}, {}
@@ -147,3 +149,131 @@ def match_in_kind(spark, sf_dir):
     kinds_table = records.select("kind", F.lit("Прибор").alias("kind_name"), F.col("kind").alias("kind_code")).distinct()
     found = kinds.match(questions, records, kinds_table)
     return found.select("q", "r", "score", "strong", F.array_join("tokens", "|").alias("tokens"), "rivals", "reason")
+
+
+# --- second waves, plans, streams, documents ---
+
+
+SWEEP_SQL = f"""
+WITH {POSITION_SQL}, p AS (SELECT contract, line, name, ktru || '-' || nkmi AS code, CASE WHEN contract % 7 = 0 THEN 'Ремонт ' || name ELSE name END AS object, shipped FROM positions),
+m AS (SELECT *, name = 'red widget' AS hit FROM p), seen AS (SELECT DISTINCT contract FROM m WHERE hit AND shipped >= TIMESTAMP '1997-01-01'),
+early AS (SELECT * FROM m WHERE hit AND shipped < TIMESTAMP '1997-01-01' AND contract NOT IN (SELECT contract FROM seen)),
+heads AS (SELECT contract FROM early GROUP BY contract ORDER BY min(CASE WHEN starts_with(object, 'Ремонт') THEN 1 ELSE 0 END), max(shipped) DESC, contract LIMIT 25),
+codes AS (SELECT code, min(wave) AS wave FROM (SELECT code, 1 AS wave FROM m WHERE hit AND shipped >= TIMESTAMP '1997-01-01' UNION ALL
+          SELECT code, 2 FROM early WHERE contract IN (SELECT contract FROM heads) AND NOT starts_with(object, 'Ремонт')) GROUP BY 1),
+found AS (SELECT * FROM m WHERE shipped >= TIMESTAMP '1997-01-01' AND code IN (SELECT code FROM codes))
+"""
+
+
+def _sweep(spark, sf_dir):
+    rows = positions(spark, sf_dir).select(
+        "contract", "line", "name", F.concat_ws("-", "ktru", "nkmi").alias("code"), F.when(F.col("contract") % 7 == 0, F.concat(F.lit("Ремонт "), "name")).otherwise(F.col("name")).alias("object"), "shipped"
+    )
+    return sweeps.sweep(rows, F.col("name") == "red widget", day="shipped", begins=F.lit("1997-01-01").cast("timestamp"), discover=25)
+
+
+@query("op.sweep_codes", f"""{SWEEP_SQL}
+SELECT code, wave, coalesce(contracts, 0) AS contracts, coalesce(fresh, 0) AS fresh FROM codes
+LEFT JOIN (SELECT code, count(DISTINCT contract) AS contracts, count(DISTINCT CASE WHEN contract NOT IN (SELECT contract FROM seen) THEN contract END) AS fresh FROM found GROUP BY 1) USING (code)
+""")
+def sweep_codes(spark, sf_dir):
+    return _sweep(spark, sf_dir).codes
+
+
+@query("op.sweep_looked", f"{SWEEP_SQL} SELECT CAST(least(25, count(DISTINCT contract)) AS BIGINT) AS looked, count(DISTINCT contract) AS \"of\" FROM early")
+def sweep_looked(spark, sf_dir):
+    return _sweep(spark, sf_dir).looked
+
+
+@query("op.plan_searches", """
+WITH s AS (SELECT p_partkey AS q, [p_type, lower(p_type), p_brand] AS codes, CASE WHEN p_size % 2 = 0 THEN ['R ' || p_size] ELSE [] END AS regs, [p_name, upper(p_name) || ' ' || p_type] AS phrases, p_size % 5 = 0 AS inside FROM part),
+e AS (SELECT q, unnest(CASE WHEN inside THEN list_transform(codes, lambda c: {'kind': 'code', 'value': c})
+  ELSE list_concat(list_transform(codes, lambda c: {'kind': 'code', 'value': c}), list_transform(regs, lambda r: {'kind': 'registration', 'value': r}),
+                   list_transform(string_split(array_to_string(phrases, ' '), ' '), lambda w: {'kind': 'word', 'value': w})) END) AS s, generate_subscripts(CASE WHEN inside THEN codes ELSE list_concat(codes, regs, string_split(array_to_string(phrases, ' '), ' ')) END, 1) AS i FROM s),
+o AS (SELECT q, s.kind AS kind, s.value AS value, i FROM e QUALIFY row_number() OVER (PARTITION BY q, s.kind, lower(s.value) ORDER BY i) = 1)
+SELECT q, row_number() OVER (PARTITION BY q ORDER BY i) - 1 AS place, kind, value FROM o
+""")
+def plan_searches(spark, sf_dir):
+    size = F.col("p_size")
+    searches = table(spark, sf_dir, "part").select(
+        F.col("p_partkey").alias("q"), F.array(F.col("p_type"), F.lower("p_type"), F.col("p_brand")).alias("codes"),
+        F.when(size % 2 == 0, F.array(F.concat(F.lit("R "), size.cast("string")))).alias("registrations"),
+        F.array(F.col("p_name"), F.concat_ws(" ", F.upper("p_name"), "p_type")).alias("phrases"), (size % 5 == 0).alias("only_codes"),
+    )
+    return sweeps.plans(searches)
+
+
+@query("op.run_states", "SELECT user_id, max(event_id) AS event_id, arg_max(ts, event_id) AS ts, arg_max(event_type, event_id) AS event_type, arg_max(value, event_id) AS value, count(*) AS events FROM events GROUP BY user_id")
+def run_states(spark, sf_dir):
+    """The events read as a stream to its end; a year of silence would end a run, so none ends within the table."""
+    path = f"{sf_dir}/events.parquet"
+    schema = spark.read.parquet(path).schema
+    stream = states.from_folder(spark, f"{sf_dir}/[e]vents.parquet", schema)  # a pattern, as the table may be one file
+    last = states.read_to_end(stream, "run-states", idle_ms=365 * states.IDLE_MS)
+    return last.withColumn("ts", F.col("ts").cast(schema["ts"].dataType))
+
+
+DOCUMENT_SQL = """
+WITH k AS (SELECT l_orderkey AS contract, l_orderkey % 5 AS kind, 'part ' || l_partkey AS name, l_quantity AS quantity, round(l_extendedprice, 2) AS price, round(l_quantity * round(l_extendedprice, 2), 2) AS total FROM lineitem)
+"""
+
+
+def _documents(spark, sf_dir):
+    """Contracts of five kinds: whole; cut off, with a form; without products, with a form; a form alone; cut off, without one."""
+    number = lambda c: F.format_string("%.2f", F.col(c))
+    product = F.concat(F.lit("<ns:productInfo><ns:name>part "), F.col("l_partkey").cast("string"), F.lit("</ns:name><ns:quantity>"), number("l_quantity"), F.lit("</ns:quantity><ns:price>"), number("l_extendedprice"), F.lit("</ns:price></ns:productInfo>"))
+    cells = F.concat(F.lit("<tr><td>1</td><td>part "), F.col("l_partkey").cast("string"), F.lit("</td><td>"), number("l_quantity"), F.lit("</td><td>шт</td><td>"), number("l_extendedprice"), F.lit("</td></tr>"))
+    made = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("contract")).agg(F.array_join(F.collect_list(product), "").alias("products"), F.array_join(F.collect_list(cells), "").alias("rows"))
+    kind = F.col("contract") % 5
+    xml = F.concat(F.lit('<ns:export xmlns:ns="urn:e"><ns:contract>'), F.when(kind == 2, "").otherwise(F.col("products")), F.lit("</ns:contract>"), F.when(kind.isin(1, 4), "").otherwise("</ns:export>"))
+    head = "<table><tr><th>№</th><th>Наименование товара</th><th>Количество</th><th>Единица измерения</th><th>Цена за единицу</th></tr>"
+    files = made.filter(kind != 3).select("contract", F.concat(F.lit("Контракт № "), F.col("contract").cast("string"), F.lit(".xml (12,5 КБ)")).alias("file"), xml.alias("body"))
+    forms = made.filter(kind.isin(1, 2, 3)).select("contract", F.concat(F.lit(head), F.col("rows"), F.lit("</table>")).alias("html"))
+    return ingest.load(made.select("contract"), files, forms)
+
+
+@query("op.load_contracts", f"{DOCUMENT_SQL} SELECT contract, CASE kind WHEN 0 THEN 'eis-xml' ELSE 'eis-html' END AS source, name, quantity, price, total FROM k WHERE kind <> 4")
+def load_contracts(spark, sf_dir):
+    return _documents(spark, sf_dir)[0].select("contract", "source", "name", "quantity", "price", "total")
+
+
+@query("op.load_problems", f"{DOCUMENT_SQL} SELECT DISTINCT contract, 'загрузка' AS step, 'XML не разобран; печатной формы нет' AS reason FROM k WHERE kind = 4")
+def load_problems(spark, sf_dir):
+    return _documents(spark, sf_dir)[1]
+
+
+@query("op.product_fields", """
+SELECT l_orderkey AS contract, l_partkey AS part, 'part ' || l_partkey || ' <' || l_linestatus || '>' AS name, l_returnflag || l_linenumber AS ktru, 'Длина: ' || CASE WHEN l_linenumber % 2 = 0 THEN '> ' ELSE '' END || l_linenumber || '–9 мм' AS specs,
+       CAST(l_quantity AS DOUBLE) AS quantity, round(l_extendedprice, 2) AS price, round(l_quantity * round(l_extendedprice, 2), 2) AS total, l_returnflag = 'R' AS is_medical, CASE WHEN l_linenumber % 3 = 0 THEN 'KLT-' || l_partkey END AS trademark FROM lineitem
+""")
+def product_fields(spark, sf_dir):
+    """Each line as a document of one product, read again."""
+    text, line = (lambda c: F.col(c).cast("string")), F.col("l_linenumber")
+    number = lambda c: F.format_string("%.2f", F.col(c))
+    xml = F.concat(
+        F.lit('<a:x xmlns:a="u"><a:productInfo><a:KTRUInfo><a:code>'), F.col("l_returnflag"), text("l_linenumber"), F.lit("</a:code><a:name>имя кода</a:name></a:KTRUInfo><a:name>part "), text("l_partkey"), F.lit(" &lt;"), F.col("l_linestatus"), F.lit("&gt;</a:name><a:quantity>"),
+        number("l_quantity"), F.lit("</a:quantity><a:price>"), number("l_extendedprice"), F.lit("</a:price><a:medicalProductInfo><a:isMedicalProductInfo>"), F.when(F.col("l_returnflag") == "R", "true").otherwise("false"),
+        F.lit("</a:isMedicalProductInfo></a:medicalProductInfo><a:characteristics><a:characteristicsUsingTextForm><a:name>Длина:</a:name><a:values><a:value><a:OKEI><a:nationalCode>ММ</a:nationalCode></a:OKEI><a:valueRange><a:minMathNotation>"),
+        F.when(line % 2 == 0, "greater").otherwise("greaterOrEqual"), F.lit("</a:minMathNotation><a:min>"), line.cast("string"), F.lit("</a:min><a:max>9</a:max></a:valueRange></a:value></a:values></a:characteristicsUsingTextForm></a:characteristics><a:tradeMark>"),
+        F.when(line % 3 == 0, F.concat(F.lit("KLT-"), text("l_partkey"))).otherwise("отсутствует"), F.lit("</a:tradeMark></a:productInfo></a:x>"),
+    )
+    documents = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("contract"), F.col("l_partkey").alias("part"), xml.alias("xml"))
+    found = products.products(documents, ["contract", "part"], "xml")
+    return found.select("contract", "part", "name", "ktru", F.col("specs_text").alias("specs"), "quantity", "price", "total", "is_medical", "trademark")
+
+
+@query("op.catalogue_cards", r"""
+WITH p AS (SELECT page_id, trim(regexp_replace(replace(regexp_extract(html, '<title>(.*?)</title>', 1), '&amp;', '&'), '\s+', ' ', 'g')) AS title FROM pages)
+SELECT page_id, CAST(page_id AS VARCHAR) AS code, title AS name, 'штука' AS unit, '01.02.2020' AS included, '' AS excluded, true AS is_position FROM p
+UNION ALL SELECT page_id, 'x' || page_id, 'Имя ' || page_id, '', '', '03.04.2021', false FROM p
+""")
+def catalogue_cards(spark, sf_dir):
+    """Each page's title as a card of a page of two, read again."""
+    title, key = F.regexp_extract("html", "<title>(.*?)</title>", 1), F.col("page_id").cast("string")
+    html = F.concat(
+        F.lit('<div class="search-registry-entry-block box"><div class="registry-entry__header-mid__number"><a>'), key, F.lit('</a></div><div class="registry-entry__header-mid__h4">'), title,
+        F.lit('</div><p>Позиция <p>КТРУ</div><div class="search-registry-entry-block"><div class="registry-entry__header-mid__number">x'), key, F.lit("</div>Имя "), key, F.lit("<div>Исключено <i>03.04.2021</i></div></div>"),
+    )
+    html = F.replace(html, F.lit("<p>Позиция <p>КТРУ"), F.lit("<p>Позиция КТРУ</p><p>Единица измерения: штука<br>Включено в каталог<p>01.02.2020"))
+    cut = table(spark, sf_dir, "pages").select("page_id", F.explode(cards.cards(html)).alias("c"))
+    return cut.select("page_id", "c.*")
