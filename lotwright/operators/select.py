@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import evidence as E
 from ..functions import identifiers as I
 from ..functions import normalise as N
+from ..sources.stored import store
 from .ranking import first_wins
 
 
@@ -46,6 +47,61 @@ def collect_rows(positions: DataFrame, codes: list[str], contract: str) -> DataF
     return coded.select(*columns, F.lit("code").alias("by")).unionByName(rescued.select(*columns, F.lit("name").alias("by")))
 
 
+CHOSEN = ("name", "ktru_name", "trademark", "mark", "specs_text")
+FAMILY = ("ru_name", "ru_variants")
+
+
+def collected(positions: DataFrame, *, codes: list[str] = (), registrations: list[str] = (), phrases: list[str] = (), drop_services: bool = False) -> tuple[DataFrame, DataFrame]:
+    """The positions that a search is for, and one row with what was left out and why.
+
+    Conditions of different sorts must all hold; of several codes, registrations or
+    phrases one is enough. With codes, a position without one is taken where it has the
+    name of a wanted one of its contract. `positions` have contract, ktru, ru_number and
+    the columns CHOSEN and FAMILY; `by`, `note` and `doubt` are added, and a number that a
+    text gives is filled in.
+    """
+    registrations, phrases = ([v for v in values if v.strip()] for values in (registrations, phrases))
+    key = N.name_key(F.coalesce("name", F.lit("")))
+    if codes:
+        coded = F.coalesce(F.col("ktru").isin(*codes), F.lit(False))
+        marked = positions.withColumn("_coded", coded).withColumn("_key", key)
+        both = F.array(F.col("_key"), N.name_key(F.coalesce("ktru_name", F.lit(""))))
+        names = marked.filter("_coded").select(F.col("contract").alias("_c"), F.explode(both).alias("_n")).filter("_n <> ''").distinct().withColumn("_named", F.lit(True))
+        marked = marked.join(names, (F.col("contract") == F.col("_c")) & (F.col("_key") == F.col("_n")), "left").drop("_c", "_n")
+        by = F.when(F.col("_coded"), "code").when(N.blank_to_null(F.col("ktru")).isNull() & F.col("_named"), "name")
+    else:
+        marked = positions.withColumns({"_coded": F.lit(False), "_key": key, "_named": F.lit(None).cast("boolean")})
+        by = F.lit("all")
+    marked = marked.withColumn("by", by)
+    # verdicts are dear, so only what codes or names have taken is judged
+    said, taken = F.concat_ws(" ", *CHOSEN, "ru_name"), marked.filter("by is not null")
+    fits, note, doubt = F.lit(True), F.lit(""), F.lit("")
+    if registrations:
+        fits &= E.any_match(F.array(*map(F.lit, registrations)), said)
+    taken = taken.withColumn("_fits", fits)
+    if phrases:
+        verdict = F.when(F.col("_fits"), judge_any(phrases, F.concat_ws(" ", *CHOSEN), F.concat_ws(" ", *FAMILY), F.lit("")))
+        taken = taken.withColumn("_v", verdict)
+        fits, note, doubt = F.col("_fits") & F.coalesce(F.col("_v.ok"), F.lit(False)), F.coalesce("_v.note", F.lit("")), F.coalesce("_v.doubt", F.lit(""))
+    taken = taken.withColumns({"_fits": fits, "note": note, "doubt": doubt, "_service": F.coalesce(I.is_service(F.col("name")), F.lit(False))})
+    taken = store(taken, "collected")
+    kept = F.col("_fits") & ~F.col("_service") if drop_services else F.col("_fits")
+    n = lambda c: F.count(F.when(c, 1))
+    some = F.lit(bool(codes))
+    before = marked.agg(
+        n(some & ~F.col("_coded")).alias("filtered"), n(some & N.blank_to_null(F.col("ktru")).isNull()).alias("without_code"),
+        F.when(some, F.count_distinct("contract") - F.count_distinct(F.when(F.col("_coded"), F.col("contract")))).otherwise(F.lit(0)).alias("contracts_without"),
+    )
+    after = taken.agg(
+        n(F.col("by") == "name").alias("by_name"), n(~F.col("_fits")).alias("off_query"), n(F.col("_fits") & F.col("_service") & F.lit(drop_services)).alias("services"),
+        n(kept & (F.col("doubt") == VARIANT)).alias("listed_only"), n(kept & (F.col("doubt") == BRAND)).alias("brand_unnamed"), n(kept).alias("rows"),
+    )
+    number = F.coalesce(N.blank_to_null(F.col("ru_number").cast("string")), I.main_registration(F.coalesce("ru_name", "name"), F.coalesce("ktru_name", "name")))
+    columns = [c for c in positions.columns if c != "ru_number"]
+    rows = taken.filter(kept).select(*columns, number.alias("ru_number"), "by", "note", "doubt")
+    return rows, before.crossJoin(F.broadcast(after))  # one row each
+
+
 def without_services(positions: DataFrame, name: str, keep: bool = False) -> tuple[DataFrame, DataFrame]:
     """The positions that are goods (all, with `keep`), and one row with the number of those dropped."""
     service = I.is_service(F.col(name))

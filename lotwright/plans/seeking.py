@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import lists
-from ..operators import kinds, lookup, sweeps
+from ..operators import kinds, lookup, select, sweeps
 from ..sources import cards, ingest, products
 from ..sources.tables import table
 from ..streaming import states
@@ -203,6 +203,39 @@ def plan_searches(spark, sf_dir):
     return sweeps.plans(searches)
 
 
+COLLECT_SQL = f"""
+WITH {POSITION_SQL}, b AS (SELECT contract, line, inn, total, manufacturer, CASE WHEN line % 3 <> 0 THEN ktru END AS ktru, CASE WHEN contract % 6 = 0 THEN 'Ремонт: ' || name ELSE name END AS name, contract % 6 = 0 AS service,
+  regexp_matches(name, 'red') AND regexp_matches(name, 'widget') OR regexp_matches(name, 'blue') AS said, CASE WHEN line % 2 = 0 THEN 'РЗН 2016/' || (1000 + ru_number) END AS ru FROM positions),
+t AS (SELECT *, CASE WHEN ktru IN ('PROMO', 'SMALL') THEN 'code' WHEN ktru IS NULL AND EXISTS (SELECT 1 FROM b y WHERE y.ktru IN ('PROMO', 'SMALL') AND y.contract = x.contract AND y.name = x.name) THEN 'name' END AS how,
+  said AND (regexp_matches(manufacturer, '1') OR line % 2 = 0) AS fits FROM b x)
+"""
+
+
+def _collected(spark, sf_dir):
+    none = F.lit(None).cast("string")
+    rows = positions(spark, sf_dir).select(
+        "contract", "line", "inn", "total", F.when(F.col("line") % 3 != 0, F.col("ktru")).alias("ktru"), F.when(F.col("contract") % 6 == 0, F.concat(F.lit("Ремонт: "), "name")).otherwise(F.col("name")).alias("name"),
+        F.col("manufacturer").alias("trademark"), F.when(F.col("line") % 2 == 0, F.concat(F.lit("Изделие РЗН 2016/"), (1000 + F.col("ru_number")).cast("string"))).alias("ru_name"),
+        *[none.alias(c) for c in ("ktru_name", "mark", "specs_text", "ru_variants", "ru_number")],
+    )
+    return select.collected(rows, codes=["PROMO", "SMALL"], registrations=["Brand 1", " "], phrases=["red widget", "blue"], drop_services=True)
+
+
+@query("op.collect_query", f"{COLLECT_SQL} SELECT contract, line, inn, total, ktru, name, how AS by, ru AS ru_number, CASE WHEN regexp_matches(name, 'red widget') THEN 'red widget' ELSE 'blue' END AS note, '' AS doubt FROM t WHERE how IS NOT NULL AND fits AND NOT service")
+def collect_query(spark, sf_dir):
+    """Codes, registrations and phrases together, services dropped."""
+    return _collected(spark, sf_dir)[0].select("contract", "line", "inn", "total", "ktru", "name", "by", "ru_number", "note", "doubt")
+
+
+@query("op.collect_counts", f"""
+{COLLECT_SQL} SELECT count(*) FILTER (ktru IS NULL OR ktru NOT IN ('PROMO', 'SMALL')) AS filtered, count(*) FILTER (ktru IS NULL) AS without_code, count(*) FILTER (how = 'name') AS by_name,
+  count(DISTINCT contract) - count(DISTINCT CASE WHEN ktru IN ('PROMO', 'SMALL') THEN contract END) AS contracts_without, count(*) FILTER (how IS NOT NULL AND NOT fits) AS off_query,
+  count(*) FILTER (how IS NOT NULL AND fits AND service) AS services, 0 AS listed_only, 0 AS brand_unnamed, count(*) FILTER (how IS NOT NULL AND fits AND NOT service) AS "rows" FROM t
+""")
+def collect_counts(spark, sf_dir):
+    return _collected(spark, sf_dir)[1]
+
+
 @query("op.run_states", "SELECT user_id, max(event_id) AS event_id, arg_max(ts, event_id) AS ts, arg_max(event_type, event_id) AS event_type, arg_max(value, event_id) AS value, count(*) AS events FROM events GROUP BY user_id")
 def run_states(spark, sf_dir):
     """The events read as a stream to its end; a year of silence would end a run, so none ends within the table."""

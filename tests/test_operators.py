@@ -40,6 +40,31 @@ def test_collect_rows_rescues_names_only_beside_a_match(spark):
     assert sorted((r.contract, r.name, r.by) for r in got.collect()) == [(1, "Стол ", "code"), (1, "стол", "name")]
 
 
+def test_collected_by_text_number_and_code(spark):
+    """Text alone, number alone, code and text, no filter; services go where asked."""
+    columns = "contract int, name string, ktru string, ktru_name string, trademark string, mark string, specs_text string, ru_name string, ru_variants string, ru_number string"
+    rows = [
+        (1, "Установка", "A", "Установка", "Ajax AJ15", None, None, "Установка РЗН 2016/4964", None, None),
+        (1, "Установка", None, None, None, None, "модель AJ15", None, None, "R 1"),
+        (2, "Ремонт: Ajax AJ15", "A", None, None, None, None, None, None, None),
+        (3, "Стол", "B", None, None, None, None, None, "AJ11, AJ15", None),
+    ]
+    frame = spark.createDataFrame(rows, columns)
+
+    def got(**asked):
+        found, counts = select.collected(frame, **asked)
+        return sorted((r.contract, r.by, r.ru_number, r.doubt) for r in found.collect()), counts.first().asDict()
+
+    found, counts = got(phrases=["Ajax AJ15"])
+    assert found == [(1, "all", "R 1", "бренд"), (1, "all", "РЗН 2016/4964", ""), (2, "all", None, ""), (3, "all", None, "исполнение")]
+    assert (counts["rows"], counts["listed_only"], counts["brand_unnamed"], counts["off_query"], counts["filtered"]) == (4, 1, 1, 0, 0)
+    found, counts = got(codes=["A"], phrases=["AJ15", " "], drop_services=True)
+    assert found == [(1, "code", "РЗН 2016/4964", ""), (1, "name", "R 1", "")]
+    assert (counts["filtered"], counts["without_code"], counts["by_name"], counts["contracts_without"], counts["services"], counts["rows"]) == (2, 1, 1, 1, 1, 2)
+    assert [r[0] for r in got(registrations=["4964"])[0]] == [1]
+    assert len(got()[0]) == 4 and got(codes=["Z"])[1]["contracts_without"] == 3
+
+
 def test_plan():
     s = select.Search(codes=["1"], registrations=["R"], phrases=["x y", "X"])
     assert select.plan(s) == [("code", "1"), ("registration", "R"), ("word", "x"), ("word", "y")]
