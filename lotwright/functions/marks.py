@@ -182,10 +182,21 @@ def without_company_tail(mark: Column, names: Column) -> Column:
     return F.when(F.size(places) > 0, F.regexp_replace(cut, "^[ –,;\"'«»-]+|[ –,;\"'«»-]+$", "")).otherwise(mark)
 
 
-def _without_label(text: Column) -> Column:
+def _without_numerals(text: Column, known: Column | None) -> Column:
+    """A mark without the Roman numbers after it, up to one that is a known variant."""
+    tail = r"(?:\s+[IVX]{1,4}\.?)+$"
+    if known is None:
+        return F.regexp_replace(text, tail, "")
+    numerals = F.filter(F.split(F.trim(F.regexp_extract(text, tail, 0)), r"\s+"), lambda n: n != "")
+    held = F.transform(F.coalesce(known, F.array().cast("array<string>")), F.lower)
+    last = F.array_max(F.transform(numerals, lambda n, i: F.when(F.array_contains(held, F.lower(F.replace(n, F.lit("."), F.lit("")))), i + 1)))
+    return F.concat_ws(" ", F.regexp_replace(text, tail, ""), F.when(last.isNotNull(), F.array_join(F.slice(numerals, F.lit(1), last), " ")))
+
+
+def _without_label(text: Column, known: Column | None = None) -> Column:
     """A mark up to what a variant's label begins, unless nothing stands before it, and without Roman numbers after it or an item number before it."""
     cut = N.let(F.regexp_replace(text, TAIL_WORDS, ""), lambda c: F.when(F.trim(c) == "", text).otherwise(F.regexp_replace(c, "[ –.,;:\"'«»-]+$", "")))
-    return F.regexp_replace(F.regexp_replace(cut, r"(?:\s+[IVX]{1,4}\.?)+$", ""), r"^(?:\d{1,2}\s*[.)]\s*|[1-9]\s+)(?=[A-Za-zА-Яа-яЁё])", "")
+    return F.regexp_replace(_without_numerals(cut, known), r"^(?:\d{1,2}\s*[.)]\s*|[1-9]\s+)(?=[A-Za-zА-Яа-яЁё])", "")
 
 
 def _said_once(words: Column) -> Column:
@@ -204,9 +215,12 @@ def _without_device(words: Column) -> Column:
     return N.let(rest, lambda r: F.when(I.looks_like_mark(r) & (F.length(r) <= 40), r).otherwise(F.array_join(words, " ")))
 
 
-def tidy_mark(mark: Column) -> Column:
-    """A mark without an item number before it, a repeated half or word, device words that lead it, and what a variant's label begins."""
-    text = N.let(F.trim(F.regexp_replace(F.coalesce(mark, F.lit("")), r"\s+", " ")), _without_label)
+def tidy_mark(mark: Column, known: Column | None = None) -> Column:
+    """A mark without an item number before it, a repeated half or word, device words that lead it, and what a variant's label begins.
+
+    A Roman number at its end stays if it is one of the `known` variants.
+    """
+    text = N.let(F.trim(F.regexp_replace(F.coalesce(mark, F.lit("")), r"\s+", " ")), lambda t: _without_label(t, known))
     return N.let(N.let(F.split(text, " "), _said_once), _without_device)
 
 

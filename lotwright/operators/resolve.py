@@ -112,14 +112,14 @@ def match_rules(questions: DataFrame, records: DataFrame, frequency: DataFrame,
 
     `questions` (q, token), `records` (r, firm, token), `frequency` (token, share). A
     question is answered if its best score reaches `least` and all records as good are
-    of one firm; of those the smallest is named. `plain` is the token without a prefix
+    of one firm, however its name is quoted or its form written; of those the smallest is named. `plain` is the token without a prefix
     that keeps kinds apart.
     """
     telling = frequency.filter(F.col("share") <= most_share).select("token")
     shared = questions.join(telling, "token").join(records, "token")
     scores = shared.groupBy("q", "r", "firm").agg(F.round(F.sum(token_weight(F.col("token") if plain is None else plain)), 4).alias("score"))
     best = scores.withColumn("top", F.max("score").over(Window.partitionBy("q"))).filter((F.col("score") >= F.col("top") - tie) & (F.col("top") >= least))
-    return best.groupBy("q").agg(F.min("r").alias("r"), F.max("top").alias("score"), F.count_distinct("firm").alias("firms"), F.min("firm").alias("firm")).filter("firms = 1").drop("firms")
+    return best.groupBy("q").agg(F.min("r").alias("r"), F.max("top").alias("score"), F.count_distinct(N.producer_key(F.col("firm"))).alias("firms"), F.min("firm").alias("firm")).filter("firms = 1").drop("firms")
 
 
 def bridge(observed: DataFrame, kind: str, code: str, contract: str) -> DataFrame:

@@ -121,6 +121,23 @@ def registry_list(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", F.array_join(lists.registry_list(listed, name), "|").alias("variants"))
 
 
+@query("op.described_variants", """
+WITH p AS (SELECT p_partkey, upper(p_type) || '-' || p_size AS a, 'X' || p_partkey AS b, p_size % 4 AS kind, upper(replace(p_name, ' ', '-')) AS c FROM part)
+SELECT p_partkey, CASE kind WHEN 0 THEN a || '|' || b WHEN 1 THEN a || '|' || b || '|' || c WHEN 2 THEN a || '|' || c ELSE b END AS variants FROM p
+""")
+def described_variants(spark, sf_dir):
+    """Variants within a line; in numbered lines; in both, with contents, standards and descriptions between them; in lower case."""
+    a, b = F.concat_ws("-", F.upper("p_type"), F.col("p_size").cast("string")), F.concat(F.lit("X"), F.col("p_partkey").cast("string"))
+    c, kind = F.upper(F.replace(F.col("p_name"), F.lit(" "), F.lit("-"))), F.col("p_size") % 4
+    text = (
+        F.when(kind == 0, F.concat(F.lit("<p>Прибор, вариант исполнения: "), a, F.lit("; вариант исполнения "), b, F.lit(" по ТУ 9452-005-13391002-2014</p>")))
+        .when(kind == 1, F.concat(F.lit("I. "), a, F.lit(", в составе: блок<br>II.&nbsp;"), b, F.lit(" - 2 шт.<br>3. "), c, F.lit("<br>4. Кресло XR<br>5. инструкция A1")))
+        .when(kind == 2, F.concat(F.lit("Серия "), a, F.lit(", блок\n1. "), a, F.lit("\n2. "), c, F.lit(" ГОСТ Р 50444-92\n3. Паспорт X")))
+        .otherwise(F.concat(F.lit("вариант исполнения: "), F.col("p_name"), F.lit("; вариант исполнения: "), b))
+    )
+    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(lists.described_variants(text), "|").alias("variants"))
+
+
 @query("op.without_twins", """
 WITH w AS (SELECT p_partkey, p_size, split_part(p_name, ' ', 1) AS a, split_part(p_name, ' ', 2) AS b FROM part)
 SELECT p_partkey, CASE WHEN length(a) < 4 THEN a || ' ' || b || ' ' || a || '-' || p_size ELSE a || '-' || p_size || ' ' || b END AS mark FROM w

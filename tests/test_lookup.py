@@ -104,3 +104,22 @@ def test_cards_by_name(spark, most):
     want = {(q, i + 1, c, round(-m, 6), not e, len(g), len(g) > most) for q, g in graded.items() for i, (e, m, c) in enumerate(sorted(g)[:most])}
     got = lookup.by_card_name(kinds_frame, cards_frame, most).collect()
     assert {(r.q, r.place, r.code, r.match, r.exact, r.found, r["cut"]) for r in got} == want and len(got) == len(want)
+
+
+def test_described_variants(spark):
+    hints = F.array(F.lit("Установка стоматологическая"))
+    cases = {
+        "Вариант исполнения: установка Ajax AJ15; варианты исполнения: AJ16 (тип": ["Ajax AJ15", "AJ16 (тип)"],
+        "<li>I. Ajax&nbsp;AJ11, в составе: блок</li><li>2. AJ12 - 3 шт.</li><li>3. кресло AJ13</li><li>4. паспорт AJ</li>": ["Ajax AJ11", "AJ12"],
+        "модели без знаков": [],
+        None: [],
+        "; ".join(f"серия A{i}" for i in range(20)): [f"A{i}" for i in range(12)],
+    }
+    assert of(spark, list(cases), lists.described_variants(F.col("v"), hints)) == list(cases.values())
+
+
+def test_known_numerals_stay(spark):
+    from lotwright.functions import marks as M
+
+    cases = [("Mercury II", ["ii"]), ("Mercury II", ["IV"]), ("Mercury II IV", ["II"]), ("Mercury IV.", None), ("Mercury", ["II"])]
+    assert of(spark, cases, M.tidy_mark(F.col("v"), F.col("k")), schema="v string, k array<string>") == ["Mercury II", "Mercury", "Mercury II", "Mercury", "Mercury"]
