@@ -25,32 +25,39 @@ def query(name: str, sql: str | None = None):
 
 ROW = ["contract", "line", "inn", "total"]
 
+#: The registry: all parts, some under a number that no position has, so that looking them up fails.
+REGISTRY_SQL = "(SELECT * REPLACE (CASE WHEN p_size < 25 THEN p_partkey ELSE -1 - p_partkey END AS p_partkey) FROM part) AS registry"
 
-@query("op.registry_lookup", f"WITH {POSITION_SQL} SELECT contract, line, inn, total, p.ru_number, p_brand AS producer FROM positions p LEFT JOIN part ON p.ru_number = p_partkey AND p_size < 25")
+
+def _registry(spark, sf_dir):
+    return table(spark, sf_dir, "part").withColumn("p_partkey", F.when(F.col("p_size") < 25, F.col("p_partkey")).otherwise(-1 - F.col("p_partkey")))
+
+
+@query("op.registry_lookup", f"WITH {POSITION_SQL} SELECT contract, line, inn, total, p.ru_number, p_brand AS producer FROM positions p LEFT JOIN {REGISTRY_SQL} ON p.ru_number = p_partkey")
 def registry_lookup(spark, sf_dir):
     rows = positions(spark, sf_dir).select(*ROW, "ru_number")
-    known = table(spark, sf_dir, "part").filter("p_size < 25").select(F.col("p_partkey").alias("k"), F.col("p_brand").alias("producer"))
+    known = _registry(spark, sf_dir).select(F.col("p_partkey").alias("k"), F.col("p_brand").alias("producer"))
     asked = rows.select("ru_number").distinct()
     answers = asked.join(known, F.col("ru_number") == F.col("k")).select(F.col("ru_number").alias("a"), "producer")
     return rows.join(answers, F.col("ru_number") == F.col("a"), "left").select(*ROW, "ru_number", "producer")
 
 
 @query("op.registry_cascade", f"""
-WITH {POSITION_SQL}, a AS (SELECT p_partkey AS k, min(p_brand) AS p, count(DISTINCT p_brand) AS c FROM part WHERE p_size < 25 GROUP BY 1),
-b AS (SELECT p_name || p_type AS k, min(p_brand) AS p, count(DISTINCT p_brand) AS c FROM part WHERE p_size < 25 GROUP BY 1)
+WITH {POSITION_SQL}, a AS (SELECT p_partkey AS k, min(p_brand) AS p, count(DISTINCT p_brand) AS c FROM {REGISTRY_SQL} GROUP BY 1),
+b AS (SELECT p_name || p_type AS k, min(p_brand) AS p, count(DISTINCT p_brand) AS c FROM {REGISTRY_SQL} GROUP BY 1)
 SELECT contract, line, inn, total, CASE WHEN a.c = 1 THEN a.p WHEN b.c = 1 THEN b.p END AS producer, CASE WHEN a.c = 1 THEN 'ru_number' WHEN b.c = 1 THEN 'title' END AS found_by
 FROM positions LEFT JOIN a ON ru_number = a.k LEFT JOIN b ON name || ktru = b.k
 """)
 def registry_cascade(spark, sf_dir):
     asked = positions(spark, sf_dir).select(*ROW, "ru_number", F.concat("name", "ktru").alias("title"))
-    registry = table(spark, sf_dir, "part").filter("p_size < 25").select("p_partkey", "p_brand", F.concat("p_name", "p_type").alias("t"))
+    registry = _registry(spark, sf_dir).select("p_partkey", "p_brand", F.concat("p_name", "p_type").alias("t"))
     found = resolve.registry_cascade(asked, registry, [("ru_number", "p_partkey"), ("title", "t")], "p_brand", N.producer_key(F.col("p_brand")))
     return found.select(*ROW, "producer", "found_by")
 
 
 @query("op.apply_registry", f"""
 WITH {POSITION_SQL}, p AS (SELECT *, CASE WHEN line > 2 THEN manufacturer END AS m, 'KLT-' || CAST(100 + line AS VARCHAR) AS mark0 FROM positions),
-r AS (SELECT p_partkey, p_brand, p_type, p_size, CASE WHEN p_size % 2 = 0 THEN p_name || ' KLT-103' ELSE 'прочее' END AS r_name FROM part WHERE p_size < 25)
+r AS (SELECT p_partkey, p_brand, p_type, p_size, CASE WHEN p_size % 2 = 0 THEN p_name || ' KLT-103' ELSE 'прочее' END AS r_name FROM {REGISTRY_SQL})
 SELECT contract, line, inn, total, coalesce(m, p_brand) AS manufacturer,
        CASE WHEN m IS NOT NULL THEN 'contract' WHEN p_brand IS NOT NULL THEN 'registry' ELSE 'none' END AS source,
        CASE WHEN m IS NOT NULL THEN 'high' WHEN p_brand IS NULL THEN '' WHEN p_size % 2 = 0 AND regexp_matches(name, '[A-Za-z]{{4,}}') THEN 'high' ELSE 'medium' END AS confidence,
@@ -60,7 +67,7 @@ SELECT contract, line, inn, total, coalesce(m, p_brand) AS manufacturer,
 FROM p LEFT JOIN r ON ru_number = p_partkey
 """)
 def apply_registry(spark, sf_dir):
-    registry = table(spark, sf_dir, "part").filter("p_size < 25").select(
+    registry = _registry(spark, sf_dir).select(
         "p_partkey", F.col("p_brand").alias("producer"), F.col("p_type").alias("declarant"), F.when(F.col("p_size") < 12, "действует").otherwise("отменён").alias("status"),
         F.when(F.col("p_size") % 2 == 0, F.concat("p_name", F.lit(" KLT-103"))).otherwise("прочее").alias("r_name"), F.concat(F.lit("РЗН "), F.col("p_partkey").cast("string")).alias("unified"),
     )
@@ -230,10 +237,10 @@ def group_split(spark, sf_dir):
 @query("op.registry_gaps", f"""
 WITH {POSITION_SQL}
 SELECT count(*) AS positions, count(*) FILTER (p_brand IS NULL) AS without_manufacturer, count(*) FILTER (p_brand IS NOT NULL AND (line = 3 OR line <> 4 AND NOT regexp_matches(name, '[A-Za-z]{{4,}}'))) AS mismatched
-FROM positions LEFT JOIN part ON ru_number = p_partkey AND p_size < 25
+FROM positions LEFT JOIN {REGISTRY_SQL} ON ru_number = p_partkey
 """)
 def registry_gaps(spark, sf_dir):
-    known = table(spark, sf_dir, "part").filter("p_size < 25").select("p_partkey", "p_brand", F.concat(F.lit("Изделие "), "p_name").alias("r_name"))
+    known = _registry(spark, sf_dir).select("p_partkey", "p_brand", F.concat(F.lit("Изделие "), "p_name").alias("r_name"))
     said = F.when(F.col("line") == 3, "Иное изделие").when(F.col("line") == 4, F.concat(F.lit("изделие: "), "name")).otherwise(F.concat(F.lit("Набор "), "name"))
     rows = positions(spark, sf_dir).withColumn("said", said).join(known, F.col("ru_number") == F.col("p_partkey"), "left")
     return rollups.registry_gaps(rows, "said", "p_brand", "r_name")
@@ -249,23 +256,23 @@ def _doubtful(spark, sf_dir):
 
 @query("op.confirm_brand", f"""
 {DOUBT_SQL} SELECT contract, line, inn, total, CASE WHEN doubt = 'бренд' AND p_type = 'PROMO' THEN '' ELSE doubt END AS doubt, doubt = 'бренд' AND coalesce(p_type = 'PROMO', false) AS confirmed
-FROM d LEFT JOIN part ON ru_number = p_partkey AND p_size < 25
+FROM d LEFT JOIN {REGISTRY_SQL} ON ru_number = p_partkey
 """)
 def confirm_brand(spark, sf_dir):
-    known = table(spark, sf_dir, "part").filter("p_size < 25").select("p_partkey", F.concat("p_brand", F.lit(", "), F.lower("p_type")).alias("record"))
+    known = _registry(spark, sf_dir).select("p_partkey", F.concat("p_brand", F.lit(", "), F.lower("p_type")).alias("record"))
     rows = _doubtful(spark, sf_dir).join(known, F.col("ru_number") == F.col("p_partkey"), "left")
     return select.confirm_brand(rows, "doubt", F.lit("ПРОМО AJ-15"), F.col("record")).select(*ROW, "doubt", "confirmed")
 
 
 @query("op.resolve_variant", f"""
-{DOUBT_SQL}, a AS (SELECT p_partkey, p_size FROM part WHERE p_size < 25)
+{DOUBT_SQL}, a AS (SELECT p_partkey, p_size FROM {REGISTRY_SQL})
 SELECT contract, line, inn, total, CASE WHEN doubt = 'исполнение' AND p_size = 9 THEN '' ELSE doubt END AS doubt FROM d LEFT JOIN a ON ru_number = p_partkey
 WHERE NOT (doubt = 'исполнение' AND coalesce(p_size % 3 = 0 AND p_size <> 9, false))
 """)
 def resolve_variant(spark, sf_dir):
     """Every third answer is borne out by its quotation; others quote what doesn't name the variant, or invent a quotation."""
     size = F.col("p_size").cast("string")
-    answers = table(spark, sf_dir, "part").filter("p_size < 25").select(
+    answers = _registry(spark, sf_dir).select(
         "p_partkey", F.concat(F.lit("DA "), size).alias("variant"), F.concat(F.lit("Стул врача, модель DA-"), size, F.lit(" белая, с подставкой")).alias("text"),
         F.when(F.col("p_size") % 3 == 0, F.concat(F.lit("модель DA-"), size, F.lit(" белая"))).when(F.col("p_size") % 3 == 1, "модель белая").otherwise(F.concat(F.lit("кресло зелёное DA-"), size)).alias("quote"),
     )

@@ -146,8 +146,13 @@ SELECT doc_id, item_id, CASE WHEN len(dt) > 0 AND len(bt) > 0 THEN round(len(lis
 FROM d JOIN b ON doc_id % many = item_id
 """)
 def jaccard_similarity(spark, sf_dir):
-    like = F.round(I.jaccard(I.key_tokens(F.col("text")), I.key_tokens(F.col("quote"))), 6)
-    return _dealt_items(spark, sf_dir).select("doc_id", "item_id", like.alias("similarity"))
+    """An item's tokens are taken once, before it meets its documents, and a document's once, before they are compared."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", I.key_tokens(F.col("text")).alias("said"))
+    items = table(spark, sf_dir, "benchmark").select("item_id", I.key_tokens(F.col("text")).alias("asked"))
+    many = items.agg(F.count("*").alias("many"))  # one row
+    dealt = docs.crossJoin(F.broadcast(many)).join(items, F.col("doc_id") % F.col("many") == F.col("item_id"))
+    both = N.let(F.struct("said", "asked"), lambda t: I.jaccard(t["said"], t["asked"]))
+    return dealt.select("doc_id", "item_id", F.round(both, 6).alias("similarity"))
 
 
 @query("op.doc_freq", """
