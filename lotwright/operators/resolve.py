@@ -33,17 +33,21 @@ def fill(rows: DataFrame, donated: DataFrame, keys: list[str], value: str) -> Da
     )
 
 
-def registry_cascade(queries: DataFrame, registry: DataFrame, steps: list[tuple[str, str]], producer: str, producer_core: Column) -> DataFrame:
+def registry_cascade(queries: DataFrame, registry: DataFrame, steps: list[tuple[str, str]], producer: str, producer_core: Column, one_firm=None) -> DataFrame:
     """Look keys up in order: the first step whose hits name one producer answers; others fall through.
 
-    `steps` are pairs of a column of `queries` and the column of `registry` that it must equal.
+    `steps` are pairs of a column of `queries` and the column of `registry` that it must
+    equal. Producers are one by equal cores, or as `one_firm` (such as `firms.unanimous`) has it.
     """
     out, taken = queries, F.lit(None).cast("string")
     step_name = F.lit(None).cast("string")
     for i, (asked, held) in enumerate(steps):
-        hits = registry.filter(F.col(held).isNotNull()).groupBy(F.col(held).alias(f"_k{i}")).agg(
-            F.min(producer).alias(f"_p{i}"), F.count_distinct(producer_core).alias(f"_n{i}")
-        )
+        known = registry.filter(F.col(held).isNotNull())
+        if one_firm is None:
+            hits = known.groupBy(F.col(held).alias(f"_k{i}")).agg(F.min(producer).alias(f"_p{i}"), F.count_distinct(producer_core).alias(f"_n{i}"))
+        else:
+            found = one_firm(known, [held], producer, producer)
+            hits = found.select(F.col(held).alias(f"_k{i}"), F.col("donated").alias(f"_p{i}"), F.col("companies").alias(f"_n{i}"))
         out = out.join(hits, F.col(asked) == F.col(f"_k{i}"), "left")
         answer = F.col(f"_n{i}") == 1
         step_name = F.coalesce(step_name, F.when(answer, F.lit(asked)))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import lists
-from ..operators import kinds, lookup, select, sweeps
+from ..functions import normalise as N
+from ..operators import firms, kinds, lookup, resolve, select, sweeps
 from ..sources import cards, ingest, products
 from ..sources.tables import table
 from ..streaming import states
@@ -64,6 +65,44 @@ def search_by_firm(spark, sf_dir):
 _LATIN, _CYRILLIC = "abdefgiklmnoprstuvz", "абдефгиклмнопрстувз"
 
 
+def _spelled(name, line):
+    """A firm's name in Latin or Cyrillic capitals, by line."""
+    return F.when(line % 2 == 0, F.upper(name)).otherwise(F.upper(F.translate(F.lower(name), _LATIN, _CYRILLIC)))
+
+
+SPELLED_SQL = f"CASE WHEN line % 2 = 0 THEN upper(name) ELSE upper(translate(lower(name), '{_LATIN}', '{_CYRILLIC}')) END"
+
+
+@query("op.transfer_by_likeness", f"""
+WITH {POSITION_SQL}, b AS (SELECT contract, line, inn, total, ru_number, CASE WHEN line = 1 THEN NULL WHEN line = 5 AND ru_number % 5 = 0 THEN 'KARL STORZ' ELSE {SPELLED_SQL} END AS m FROM positions),
+d AS (SELECT ru_number, min(m) AS donated, bool_or(m = 'KARL STORZ') AND bool_or(m <> 'KARL STORZ') AS two FROM b WHERE m IS NOT NULL GROUP BY 1)
+SELECT contract, line, inn, total, CASE WHEN m IS NULL AND NOT two THEN donated ELSE m END AS filled, CASE WHEN m IS NOT NULL THEN 'own' WHEN NOT two THEN 'donor' ELSE 'none' END AS source, m IS NULL AND coalesce(two, false) AS conflict
+FROM b LEFT JOIN d USING (ru_number)
+""")
+def transfer_by_likeness(spark, sf_dir):
+    """Donors spell one firm in two alphabets; where another firm is among them, nothing is passed on."""
+    line = F.col("line")
+    said = F.when(line == 1, F.lit(None)).when((line == 5) & (F.col("ru_number") % 5 == 0), "KARL STORZ").otherwise(_spelled(F.col("name"), line))
+    rows = positions(spark, sf_dir).select("contract", "line", "inn", "total", "ru_number", said.alias("m"))
+    donors = firms.unanimous(rows, ["ru_number"], "m", "m")
+    return resolve.fill(rows, donors, ["ru_number"], "m").select("contract", "line", "inn", "total", "filled", "source", "conflict")
+
+
+@query("op.cascade_by_likeness", f"""
+WITH {POSITION_SQL}, r AS (SELECT p_partkey, p_size % 10 AS spec, CASE WHEN p_size % 2 = 0 THEN upper(p_name) ELSE upper(translate(lower(p_name), '{_LATIN}', '{_CYRILLIC}')) END AS p, p_name FROM part),
+a AS (SELECT CAST(p_partkey AS VARCHAR) AS k, p FROM r WHERE p_partkey % 3 = 0), b AS (SELECT p_name AS k, min(p) AS p FROM r GROUP BY 1)
+SELECT contract, line, inn, total, coalesce(a.p, b.p) AS producer, CASE WHEN a.p IS NOT NULL THEN 'number' WHEN b.p IS NOT NULL THEN 'name' END AS found_by
+FROM positions LEFT JOIN a ON CAST(ru_number AS VARCHAR) = a.k LEFT JOIN b ON name = b.k
+""")
+def cascade_by_likeness(spark, sf_dir):
+    """A number, or a name whose records spell one firm in two alphabets."""
+    part = table(spark, sf_dir, "part")
+    registry = part.select(F.when(F.col("p_partkey") % 3 == 0, F.col("p_partkey").cast("string")).alias("held"), "p_name", _spelled(F.col("p_name"), F.col("p_size")).alias("producer"))
+    asked = positions(spark, sf_dir).select("contract", "line", "inn", "total", F.col("ru_number").cast("string").alias("number"), "name")
+    found = resolve.registry_cascade(asked, registry, [("number", "held"), ("name", "p_name")], "producer", N.producer_key(F.col("producer")), firms.unanimous)
+    return found.select("contract", "line", "inn", "total", "producer", "found_by")
+
+
 @query("op.firm_records")
 def firm_records(spark, sf_dir):
     """Firms are written in Cyrillic where the key is odd, and in both alphabets where it is a multiple of six."""
