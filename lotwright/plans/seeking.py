@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import lists
+from ..functions import lists, spans
 from ..functions import normalise as N
 from ..operators import firms, kinds, lookup, resolve, select, sweeps
 from ..sources import cards, ingest, products
@@ -177,6 +177,21 @@ def described_variants(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", F.array_join(lists.described_variants(text), "|").alias("variants"))
 
 
+@query("op.mark_spans", """
+WITH w AS (SELECT p_partkey, upper(p_type) || '-' || p_size AS a, upper(left(split_part(p_name, ' ', 1), 1)) || substr(split_part(p_name, ' ', 1), 2) AS q, split_part(p_name, ' ', 2) AS b, regexp_extract(p_brand, '[0-9]+') AS n FROM part),
+c AS (SELECT p_partkey, unnest([{'mark': q, 'score': 14, 'at': 2}, {'mark': a, 'score': 7 + CASE WHEN starts_with(lower(a), lower(q)) THEN 10 ELSE 0 END, 'at': 1}, {'mark': b || ' ' || n, 'score': 6 + CASE WHEN starts_with(b, lower(q)) THEN 10 ELSE 0 END, 'at': 3}, {'mark': 'ОБН', 'score': 3, 'at': 0}]) AS c FROM w)
+SELECT p_partkey, string_agg(c.mark || ':' || c.score, '|' ORDER BY c.score DESC, length(c.mark) DESC, c.at) AS marks FROM c GROUP BY p_partkey
+""")
+def mark_spans(spark, sf_dir):
+    """Each part's name with a model, a quotation and a number in it."""
+    first, second = (F.split_part("p_name", F.lit(" "), F.lit(k)) for k in (1, 2))
+    text = F.concat(
+        F.lit("Аппарат белый ОБН, модель "), F.upper("p_type"), F.lit("-"), F.col("p_size").cast("string"), F.lit(" «"), F.initcap(first), F.lit("», тип "), second, F.lit(" "), F.regexp_extract("p_brand", r"\d+", 0), F.lit(" с принадлежностями"),
+    )
+    found = F.transform(spans.candidates(text), lambda s: F.concat_ws(":", s["mark"], s["score"].cast("string")))
+    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(found, "|").alias("marks"))
+
+
 @query("op.without_twins", """
 WITH w AS (SELECT p_partkey, p_size, split_part(p_name, ' ', 1) AS a, split_part(p_name, ' ', 2) AS b FROM part)
 SELECT p_partkey, CASE WHEN length(a) < 4 THEN a || ' ' || b || ' ' || a || '-' || p_size ELSE a || '-' || p_size || ' ' || b END AS mark FROM w
