@@ -6,7 +6,9 @@ tokenizer version and written as one folder, named by the batch, of a ledger in
 storage; a row in the ledger's list of commits then makes it count. Totals are sums
 over the committed batches, which may come in any order. A batch that is committed
 again changes nothing; a batch cut short does not count, and its next try replaces
-what it left. No text or count is read again to keep totals current.
+what it left. No text or count is read again to keep totals current. A snapshot sums
+the batches up to now, and totals are then those of the last whole snapshot and of the
+batches that it does not cover. A ledger has one writer at a time.
 
 Defined cases: a null text has no tokens but is a document; null sources and
 languages are keys of their own; equal rows count each; groups that come to no
@@ -31,6 +33,8 @@ from .packing import slices
 KEY = ["source", "lang", "tokenizer"]
 DELTA = "source string, lang string, tokenizer string, documents long, tokens long, batch string"
 COMMIT = "batch string"
+TOTAL = "source string, lang string, tokenizer string, documents long, tokens long"
+WHOLE = "number long"
 RANKS = "byte_bpe_50k.tiktoken"
 VERSIONS = {"words": "words-1", "bpe": "byte-bpe-50k-1"}
 
@@ -91,12 +95,13 @@ class Rollup:
 
     `deltas` has a folder of summed changes for each batch, `commits` a row for each
     batch that is whole. A batch counts from the moment that its row is there, so one
-    cut short, and then tried again, counts never or once.
+    cut short, and then tried again, counts never or once. `snapshots` has numbered sums
+    and the batches that each covers, `whole` the numbers of those that are whole.
     """
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
-        for name, schema in (("commits", COMMIT), ("deltas/none", DELTA)):  # so that a ledger without batches can be read
+        for name, schema in (("commits", COMMIT), ("deltas/none", DELTA), ("whole", WHOLE)):  # so that a ledger without batches can be read
             spark.createDataFrame([], schema).write.mode("append").parquet(f"{self.folder}/{name}")
 
     def committed(self) -> DataFrame:
@@ -111,13 +116,39 @@ class Rollup:
         summed.withColumn("batch", F.lit(batch)).write.mode("overwrite").parquet(f"{self.folder}/deltas/{quote(batch, safe='')}")
         self.spark.range(1).select(F.lit(batch).alias("batch")).write.mode("append").parquet(f"{self.folder}/commits")
 
-    def totals(self) -> DataFrame:
-        """source, lang, tokenizer, documents and tokens over all committed batches."""
+    def _snapshot(self) -> int:
+        """The number of the last whole snapshot, 0 without one."""
+        return self.spark.read.schema(WHOLE).parquet(f"{self.folder}/whole").agg(F.max("number")).first()[0] or 0
+
+    def _summed(self, covered: int, batches: DataFrame) -> DataFrame:
+        """Sums over a snapshot and those of the committed `batches` that it does not cover."""
         ledger = self.spark.read.schema(DELTA).option("recursiveFileLookup", "true").parquet(f"{self.folder}/deltas")
-        counted = ledger.join(self.committed(), "batch", "left_semi")
+        if covered:
+            batches = batches.join(self.spark.read.schema(COMMIT).parquet(f"{self.folder}/snapshots/{covered}/covers"), "batch", "left_anti")
+        counted = ledger.join(batches, "batch", "left_semi").select(*KEY, "documents", "tokens")
+        if covered:
+            counted = counted.unionByName(self.spark.read.schema(TOTAL).parquet(f"{self.folder}/snapshots/{covered}/totals"))
         summed = counted.groupBy(*KEY).agg(F.sum("documents").alias("documents"), F.sum("tokens").alias("tokens"))
         return summed.filter((F.col("documents") != 0) | (F.col("tokens") != 0))
 
+    def write_snapshot(self) -> int:
+        """Write the next snapshot; it counts once `compact` has listed it as whole, so one cut short is written over."""
+        last = self._snapshot()
+        place = f"{self.folder}/snapshots/{last + 1}"
+        self.committed().distinct().write.mode("overwrite").parquet(f"{place}/covers")
+        covers = self.spark.read.schema(COMMIT).parquet(f"{place}/covers")
+        self._summed(last, covers).write.mode("overwrite").parquet(f"{place}/totals")
+        return last + 1
+
+    def compact(self) -> None:
+        """Sum all batches committed so far, so that totals no longer read them."""
+        number = self.write_snapshot()
+        self.spark.range(1).select(F.lit(number).cast("long").alias("number")).write.mode("append").parquet(f"{self.folder}/whole")
+
+    def totals(self) -> DataFrame:
+        """source, lang, tokenizer, documents and tokens over all committed batches."""
+        return self._summed(self._snapshot(), self.committed().distinct())
+
 
 def estimated(docs: DataFrame) -> DataFrame:
     """The counts that documents come with, before any tokenizer has run: a token for each four code points."""

@@ -27,7 +27,7 @@ and in the exact pass, so no block grows with the copies of a text.
 
 Defined cases: a null text has no words; with fewer words than a window nothing is
 removed; rows of equal doc_id are copies of a document at the same place, neither
-earlier; null ids come last; a very long text is a pack of its own; an empty table
+earlier; null ids come last; a very long text is whole in its pack; an empty table
 gives an empty result; other columns are ignored.
 """
 

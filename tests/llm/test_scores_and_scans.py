@@ -177,6 +177,35 @@ def test_rollup_of_nothing(spark, nothing, tmp_path):
     assert ledger.totals().count() == 0
 
 
+def test_compacted_ledger_keeps_its_totals(spark, docs, tmp_path):
+    """Snapshots, one cut short among them, change no totals; batches that they cover are not counted again."""
+    counts = rollups.token_counts(docs).cache()
+    plain, compacted = (rollups.Rollup(spark, f"file://{tmp_path}/{name}") for name in ("plain", "compacted"))
+    some = counts.filter("lang = 'en'")
+    changes = [("1", rollups.inserts(counts)), ("2", rollups.deletes(some)), ("1", rollups.inserts(counts)), ("3", rollups.inserts(some)), ("2", rollups.deletes(some))]
+    for k, (batch, rows) in enumerate(changes):
+        for ledger in (plain, compacted):
+            ledger.commit(batch, rows)
+        if k in (0, 2, 4):
+            compacted.compact()
+        if k in (1, 3):
+            compacted.write_snapshot()
+        assert sorted(map(str, compacted.totals().collect())) == sorted(map(str, plain.totals().collect()))
+    assert sorted(r.batch for r in compacted.committed().collect()) == ["1", "2", "3"]
+
+
+def test_rollup_ignores_other_columns_and_counts_as_the_tokenizer(docs, clashing):
+    import public_tokenizers
+
+    counted = {c: sorted(map(str, rollups.token_counts(c).collect())) for c in (docs, clashing)}
+    assert counted[docs] == counted[clashing]
+    encoding = rollups._encoding(public_tokenizers.path(rollups.RANKS))
+    texts = {r.doc_id: r.text for r in docs.filter("doc_id is not null and doc_id <> 600").collect()}
+    for r in rollups.token_counts(docs).filter("tokenizer = 'byte-bpe-50k-1' and doc_id is not null and doc_id <> 600").collect():
+        assert r.tokens == len(encoding.encode_ordinary(texts[r.doc_id] or ""))
+
+
+
 # --- winnowing ---
 
 
