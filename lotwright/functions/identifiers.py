@@ -14,7 +14,7 @@ SERVICES = (
     r"(?:текущ|капитальн|планов|внепланов|аварийн|срочн)[а-яё]*\s+ремонт)"
 )
 CATALOGUE_CODE = r"(?<![0-9.])\d{2}\.\d{2}\.\d{2}\.\d{3}-\d{4,8}(?![0-9])"
-REGISTRATION = r"(?iu)(?<![а-яёa-z0-9])(РЗН|ФСЗ|ФСР|ФС)\s*[-–]?\s*№?\s*(\d{4})\s*/\s*(\d{2,6})(?!\d)"
+REGISTRATION = r"(?iu)(?<![а-яёa-z0-9])(РЗН|ФСЗ|ФСР|ФС)\s*[-–]?\s*№?\s*(\d{4})\s*/\s*(\d{2,})"
 OLD_REGISTRATION = r"(?iu)(?<![а-яёa-z0-9])МЗ\s*РФ\s*№?\s*(\d{2,4})\s*/\s*(\d{2,6})(?!\d)"
 SPECIFICATION = r"(?iu)(?<![а-яёa-z0-9])ТУ\s*[-–]?\s*№?\s*(\d[\d.]*(?:\s*[-–]\s*[\da-zа-яё]+){2,})"
 MEASURE = r"(?iu)^(?:(?:[dhlwдøØ⌀]|диам(?:етр)?[а-яё]*)\s*[=:]?\s*\d+(?:[.,]\d+)?\s*(?:мм|см|мкм|нм|м|дюйм[а-яё]*|fr|шр|°|град(?:ус[а-яё]*)?)?|\d+(?:[.,]\d+)?\s*(?:мм|см|мкм|нм|м|дюйм[а-яё]*|fr|шр|°|град(?:ус[а-яё]*)?))$"

@@ -77,6 +77,11 @@ def test_registrations(spark):
     assert of(spark, ["Лампа по ТУ 9452-005- 13391002-2014", "нет"], I.specification(F.col("v"))) == ["9452-005-13391002-2014", None]
 
 
+def test_registration_of_many_digits(spark):
+    text = "РУ № РЗН 2024/1000100 от 1.1.2020, фсз 2009/123"
+    assert of(spark, [text], I.registrations(F.col("v"))) == [["РЗН 2024/1000100", "ФСЗ 2009/123"]]
+
+
 def test_measures_and_trademarks(spark):
     assert of(spark, ["d=10мм", "302 мм", "AJ15", "8989"], I.is_measure(F.col("v"))) == [True, True, False, False]
     junk = ["отсутствует", "не установлен", "false", "-", "№ 123", "нет", "давление >= 5", "a: b: c", "x"]
