@@ -158,11 +158,16 @@ def phrase_names(c: Column) -> Column:
 
 def quote_supported(quote: Column, text: Column) -> Column:
     """Whether at least half of a quotation's words of four letters are in the text; with none, whether all of it is."""
-    hay = N.name_key(text)
-    long_words = F.filter(F.split(N.name_key(quote), " "), lambda w: F.length(w) >= 4)
-    hits = F.size(F.filter(long_words, lambda w: F.contains(hay, w)))
-    whole = (N.name_key(quote) != "") & F.contains(hay, N.name_key(quote))
-    return F.coalesce((hay != "") & F.when(F.size(long_words) > 0, 2 * hits >= F.size(long_words)).otherwise(whole), F.lit(False))
+
+    def found(t: Column) -> Column:
+        hits = F.size(F.filter(t["words"], lambda w: F.contains(t["hay"], w)))
+        whole = (t["said"] != "") & F.contains(t["hay"], t["said"])
+        return (t["hay"] != "") & F.when(F.size(t["words"]) > 0, 2 * hits >= F.size(t["words"])).otherwise(whole)
+
+    # each key is taken once and not once a word
+    words = lambda k: F.struct(k["hay"].alias("hay"), k["said"].alias("said"), F.filter(F.split(k["said"], " "), lambda w: F.length(w) >= 4).alias("words"))
+    keys = F.struct(N.name_key(text).alias("hay"), N.name_key(quote).alias("said"))
+    return F.coalesce(N.let(keys, lambda k: N.let(words(k), found)), F.lit(False))
 
 
 def strong_tokens(c: Column) -> Column:

@@ -102,6 +102,16 @@ def test_quotes(spark):
     assert of(spark, pairs, I.quote_supported(F.col("q"), F.col("t")), "q string, t string") == [True, False, True]
 
 
+def test_quotes_take_a_text_once(spark, capsys):
+    """A text's key stands once in the plan, not in what is asked of each word."""
+    frame = spark.createDataFrame([("аппарат Рускан", "Аппарат РУСКАН", True), ("выдумано целиком", "Аппарат", False), ("", "a", False), ("a b", "x a b", True), ("a b", None, False)], "q string, t string, want boolean")
+    told = frame.select("want", I.quote_supported(F.col("q"), F.col("t")).alias("got"))
+    assert all(r.want == r.got for r in told.collect())
+    told.select("got").explain()
+    plan = capsys.readouterr().out
+    assert len(re.findall(r"lower\(t#", plan)) == 1 and len(re.findall(r"lower\(q#", plan)) == 1
+
+
 def test_articles(spark):
     assert "aj15" in of(spark, ["Установка Ajax AJ 15 с принадлежностями"], I.article_keys(F.col("v")))[0]
     assert "ajax832695" not in of(spark, ["Ajax (№ 832695)"], I.article_keys(F.col("v")))[0]
