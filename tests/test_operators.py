@@ -153,6 +153,16 @@ def test_contract_xml(spark):
     assert got == [(0, "Стол", "32.50.13.190-00007", 100.25, 2.0, 200.5), (1, "Стул", None, 5.0, 20.0, 99.0)]
 
 
+def test_contract_xml_reads_a_product_once(spark, capsys):
+    """Comments, character data, empty, repeated and nested elements; one parse a product."""
+    odd = """<e><!-- <regNum>x</regNum> --><regNum/><b><regNum><![CDATA[7&8]]></regNum></b><productInfo><name/><KTRUInfo><name>k &#1080; &lt;</name></KTRUInfo><KTRUInfo><code>c2</code></KTRUInfo><foo><price>9</price></foo><price></price><price cur="R">5</price></productInfo><productInfo/></e>"""
+    read = contract_xml.positions(spark.createDataFrame([(odd,), (None,), ("<e><productInfo/></e>",)], "xml string"), "xml")
+    assert [tuple(r) for r in read.collect()] == [("7&8", 0, "k и <", "c2", 5.0, None, None)]
+    read.explain()
+    plan = capsys.readouterr().out
+    assert plan.count("from_xml") == 1 and "productInfo/name" not in plan
+
+
 def test_specs(spark):
     frame = spark.sql("SELECT array(named_struct('name', 'Цвет: ', 'value', 'белый'), named_struct('name', 'цвет', 'value', 'x'), named_struct('name', 'Вес', 'value', ' ')) AS s")
     assert frame.select(contract_xml.specs_text(F.col("s")).alias("t")).first().t == "Цвет: белый"
