@@ -107,16 +107,19 @@ def is_measure(c: Column) -> Column:
 
 
 def is_trademark(c: Column) -> Column:
-    tidy = F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", " "))
-    colons = F.length(tidy) - F.length(F.replace(tidy, F.lit(":"), F.lit("")))
-    return (
-        F.length(tidy).between(2, 120)
-        & ~F.lower(tidy).isin(*FLAGS)
-        & ~tidy.rlike(SPECIFIC)
-        & (colons < 2)
-        & ~tidy.rlike(NO_TRADEMARK)
-        & ~tidy.rlike(BARE_NUMBER)
-    )
+
+    def fits(tidy: Column) -> Column:
+        colons = F.length(tidy) - F.length(F.replace(tidy, F.lit(":"), F.lit("")))
+        return (
+            F.length(tidy).between(2, 120)
+            & ~F.lower(tidy).isin(*FLAGS)
+            & ~tidy.rlike(SPECIFIC)
+            & (colons < 2)
+            & ~tidy.rlike(NO_TRADEMARK)
+            & ~tidy.rlike(BARE_NUMBER)
+        )
+
+    return N.let(F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", " ")), fits)
 
 
 def looks_like_mark(c: Column) -> Column:

@@ -268,10 +268,17 @@ def contract_key(number: Column, reference: Column) -> Column:
 
 def value_text(quality: Column, concrete: Column, low: Column, high: Column, unit: Column) -> Column:
     """A characteristic's value: words, a number, or a range, with its unit; strict limits keep their sign."""
-    short = F.when(F.length(unit) > 1, F.lower(unit)).otherwise(F.coalesce(unit, F.lit("")))
-    some = lambda c: N.blank_to_null(c)
-    spread = F.when(some(low).isNotNull() & some(high).isNotNull(), F.concat(low, F.lit("–"), high)).when(some(low).isNotNull(), F.concat(F.lit("от "), low)).when(some(high).isNotNull(), F.concat(F.lit("до "), high))
-    return F.coalesce(some(quality), F.trim(F.concat(F.coalesce(some(concrete), spread), F.lit(" "), short)), F.lit(""))
+    said = {"quality": quality, "concrete": concrete, "low": low, "high": high}
+    given = F.struct(*[c.alias(n) for n, c in said.items()], F.coalesce(unit, F.lit("")).alias("unit"))
+    bound = lambda v: F.struct(*[v[n] for n in ("low", "high", "unit")], *[N.blank_to_null(v[n]).alias(f"some_{n}") for n in said])
+
+    def text(v: Column) -> Column:
+        short = F.when(F.length(v["unit"]) > 1, F.lower(v["unit"])).otherwise(v["unit"])
+        least, most = v["some_low"].isNotNull(), v["some_high"].isNotNull()
+        spread = F.when(least & most, F.concat(v["low"], F.lit("–"), v["high"])).when(least, F.concat(F.lit("от "), v["low"])).when(most, F.concat(F.lit("до "), v["high"]))
+        return F.coalesce(v["some_quality"], F.trim(F.concat(F.coalesce(v["some_concrete"], spread), F.lit(" "), short)), F.lit(""))
+
+    return N.let(given, lambda v: N.let(bound(v), text))
 
 
 def duration(seconds: Column) -> Column:

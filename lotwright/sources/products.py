@@ -22,7 +22,7 @@ ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&amp;": "&"
 
 def _plain(xml: Column) -> Column:
     """A document without comments, prefixes and the declarations that bind them."""
-    bare = F.regexp_replace(xml, r"(?s)<!--.*?-->", "")
+    bare = F.when(F.contains(xml, F.lit("<!--")), F.regexp_replace(xml, r"(?s)<!--.*?-->", "")).otherwise(xml)
     return F.regexp_replace(F.regexp_replace(bare, r"(</?)[\w.-]+:", "$1"), r'\s+xmlns(?::[\w.-]+)?="[^"]*"', "")
 
 
@@ -42,7 +42,8 @@ def field(xml: Column, *names: str) -> Column:
         raw = F.regexp_extract(F.coalesce(xml, F.lit("")), rf"<{name}(?:\s[^>]*)?>([^<]*)</{name}>", 1)
         for written, sign in ENTITIES.items():
             raw = F.replace(raw, F.lit(written), F.lit(sign))
-        return N.blank_to_null(raw)
+        # worked out once, in expressions of arrays too
+        return F.get(F.filter(F.array(N.tidy(raw)), lambda t: t != ""), F.lit(0))
 
     return F.coalesce(*[one(n) for n in names])
 
@@ -55,16 +56,16 @@ def without(xml: Column, *names: str) -> Column:
 
 def _edge(spread: Column, side: str) -> Column:
     """A limit of a range, a strict one with its sign."""
-    number, note = field(spread, side), field(spread, f"{side}MathNotation")
-    sign = F.create_map(*[F.lit(x) for pair in STRICT.items() for x in pair])[note]
-    return F.when(number.isNotNull(), F.concat_ws(" ", sign, number))
+    sign = F.create_map(*[F.lit(x) for pair in STRICT.items() for x in pair])
+    limit = F.struct(field(spread, side).alias("number"), field(spread, f"{side}MathNotation").alias("note"))
+    return N.let(limit, lambda x: F.when(x["number"].isNotNull(), F.concat_ws(" ", sign[x["note"]], x["number"])))
 
 
 def _value(value: Column) -> Column:
     """A characteristic's value: words, or a number or range with its unit."""
-    unit = block(value, "OKEI")
-    spread = block(value, "valueRange")
-    return M.value_text(field(value, "qualityDescription"), field(value, "concreteValue"), _edge(spread, "min"), _edge(spread, "max"), F.coalesce(field(unit, "nationalCode", "name"), F.lit("")))
+    parts = F.struct(block(value, "OKEI").alias("unit"), block(value, "valueRange").alias("spread"))
+    told = lambda p: M.value_text(field(value, "qualityDescription"), field(value, "concreteValue"), _edge(p["spread"], "min"), _edge(p["spread"], "max"), F.coalesce(field(p["unit"], "nationalCode", "name"), F.lit("")))
+    return N.let(parts, told)
 
 
 def characteristics(product: Column) -> Column:
@@ -93,8 +94,9 @@ def product_nodes(xml: Column) -> Column:
     old = lambda t, name: F.filter(found(t, name), lambda n: n.rlike("<KTRUInfo[\\s>]|<price[\\s>]"))
 
     def first(t: Column) -> Column:
-        pick = lambda x: F.when(F.size(x["new"]) > 0, x["new"]).when(F.size(x["product"]) > 0, x["product"]).otherwise(x["subject"])
-        return N.let(F.struct(found(t, "productInfo").alias("new"), old(t, "product").alias("product"), old(t, "contractSubjectInfo").alias("subject")), pick)
+        # old forms are looked for only where there is nothing else
+        older = N.let(F.struct(old(t, "product").alias("product"), t.alias("t")), lambda x: F.when(F.size(x["product"]) > 0, x["product"]).otherwise(old(x["t"], "contractSubjectInfo")))
+        return N.let(F.struct(found(t, "productInfo").alias("new"), t.alias("t")), lambda x: F.when(F.size(x["new"]) > 0, x["new"]).otherwise(older))
 
     return N.let(text, first)
 
@@ -108,10 +110,10 @@ def products(documents: DataFrame, keys: list[str], xml: str) -> DataFrame:
     own = F.col("own")
     # a code's own name is not that of what it stands in
     ktru, medical = F.col("KTRUInfo"), F.col("medicalProductInfo")
-    price, quantity = N.money(field(own, "price")), F.replace(F.replace(field(own, "quantity"), F.lit(" "), F.lit("")), F.lit(","), F.lit(".")).try_cast("double")
-    said = field(node, "tradeMark", "trademark")
-    clean = M.clean_trademark(said)
-    place = field(own, "indexNum")
+    number = F.replace(F.replace(field(own, "quantity"), F.lit(" "), F.lit("")), F.lit(","), F.lit(".")).try_cast("double")
+    cut = cut.withColumns({"_price": N.money(field(own, "price")), "_quantity": number, "_place": field(own, "indexNum"), "_said": field(node, "tradeMark", "trademark")})
+    price, quantity, place, said = (F.col(c) for c in ("_price", "_quantity", "_place", "_said"))
+    mark = N.let(F.struct(said.alias("said"), M.clean_trademark(said).alias("clean")), lambda x: F.when(is_trademark(x["clean"]), x["clean"]).when(is_trademark(x["said"]), x["said"]))
     return cut.select(
         *keys, F.coalesce(F.when(place.rlike(r"^\d{1,9}$"), place.cast("long")), F.col("at") + 1).alias("line"),
         F.coalesce(field(own, "name"), field(ktru, "name")).alias("name"), field(ktru, "code").alias("ktru"), field(ktru, "name").alias("ktru_name"), field(F.col("OKPD2Info"), "OKPDCode").alias("okpd2"),
@@ -119,5 +121,5 @@ def products(documents: DataFrame, keys: list[str], xml: str) -> DataFrame:
         field(medical, "certificateNameMedicalProduct").alias("ru_name"), F.transform("specs", lambda s: F.struct(s["name"].alias("name"), s["value"].alias("value"))).alias("specs"), specs_text(F.col("specs")).alias("specs_text"),
         field(F.col("OKEIInfo"), "nationalCode", "name").alias("unit"), quantity.alias("quantity"), price.alias("price"), F.coalesce(N.money(field(own, "sum")), F.round(price * quantity, 2)).alias("total"),
         field(F.col("VATRateInfo"), "VATName", "VATCode").alias("vat"), field(F.col("originCountryInfo"), "countryFullName", "countryCode").alias("country"),
-        F.when(is_trademark(clean), clean).when(is_trademark(said), said).alias("trademark"),
+        mark.alias("trademark"),
     )

@@ -30,6 +30,14 @@ def test_products(spark):
     assert (two.line, two.name, two.ktru, two.total, two.trademark, two.is_medical, two.specs) == (2, "Зонд", "1", 10.0, None, False, [])
 
 
+def test_products_read_a_value_once(spark, capsys):
+    """Parts of a characteristic are looked for once, however often they are spoken of."""
+    products.products(spark.createDataFrame([("a", XML)], "contract string, x string"), ["contract"], "x").explain(mode="extended")
+    optimized = capsys.readouterr().out.split("== Optimized Logical Plan ==")[1].split("== Physical Plan ==")[0]
+    for part in ("qualityDescription", "concreteValue", "minMathNotation", "OKEI", "valueRange"):
+        assert optimized.count(f"<{part}(") == 1, part
+
+
 def test_broken_and_old_documents(spark):
     texts = [XML, OLD, XML[:900], "", None, "просто текст", "<a>&bad;</a>", "<a/>"]
     got = spark.createDataFrame(list(enumerate(texts)), "i int, x string").select("i", products.well_formed(F.col("x")).alias("fit"), F.size(products.product_nodes(F.col("x"))).alias("n")).orderBy("i").collect()
