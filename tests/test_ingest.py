@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from lotwright.sources import cards, ingest, products
+from lotwright.sources import cards, ingest, pages, products
 
 XML = """<?xml version="1.0" encoding="UTF-8"?>
 <ns3:export xmlns:ns3="u" xmlns="v"><!-- <productInfo><name>нет</name></productInfo> --><ns3:contract>
@@ -72,3 +72,25 @@ def test_cards(spark):
         (0, "26.60.12.119-00000205", "Аппарат ультразвуковой", "штука", "", "01.02.2020", True), (0, "1", "Вторая", "", "03.04.2021", "", False),
         (1, "", "Имя", "пара", "", "", False), (4, "", "", "", "", "", False),
     ]
+
+
+def test_plain_forms_read_as_by_the_parser():
+    """Tables without other tags are cut by pattern; the rest goes to the parser, and both give the same cells."""
+    plain = [
+        FORM, FORM.upper(), "<table><tr><td>a &amp; b&nbsp;c&lt;</td ><td class='x y' width=10>\n d</td>", "<td>x</td><tr><table><tr><td>1<td>2</td></tr></table>", "", "text", "<table><tr><td>open",
+        '<table border="1"><tr><th>A</th>tail<td>&copy b</td></tr><tr></tr></table><table></table>',
+    ]
+    odd = ["<table><tr><td>a<br>b</td></tr>", "<table><!-- <tr> --><tr><td>a < b</td></tr>", "<table><tr><td title='a>b'>c</td><td/></tr>", "<table><tr><td><script><td></script>x</td></tr>"]
+    for html in plain + odd:
+        reader = pages._Tables()
+        reader.feed(html)
+        cut = pages._plain_tables(html)
+        assert (cut is None) == (html in odd), html
+        assert pages._tables(html) == reader.tables, html
+
+
+def test_forms_of_a_batch(spark):
+    frame = spark.createDataFrame([(0, FORM), (1, None), (2, ""), (3, FORM.replace("</table>", "<tr><td>2</td><td>Зонд</td><td>3 уп</td><td></td><td>нет</td></tr></table>"))], "i int, html string")
+    got = [tuple(r) for r in frame.select("i", F.posexplode(pages.print_form("html")).alias("at", "p")).select("i", "at", "p.*").orderBy("i", "at").collect()]
+    lamp = ("Лампа", None, 2.0, "шт", 3.5, 7.0)
+    assert got == [(0, 0, *lamp), (3, 0, *lamp), (3, 1, "Зонд", None, 3.0, "уп", None, None)]
