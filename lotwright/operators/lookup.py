@@ -47,21 +47,23 @@ def containing(questions: DataFrame, texts: DataFrame) -> DataFrame:
     return asked.join(met, "p").select("q", "r")
 
 
-def counted(questions: DataFrame, hits: DataFrame, too_broad: int = TOO_BROAD) -> DataFrame:
-    """(q, total, too_broad, records): how many records a question finds, and which, unless they are too many."""
-    total = hits.groupBy("q").agg(F.count("*").alias("total"))
+def by_name(questions: DataFrame, records: DataFrame, text: str, too_broad: int = TOO_BROAD) -> DataFrame:
+    """(q, total, too_broad, records): how many records' texts contain a phrase, and which, unless they are too many.
+
+    Each different text is looked at once, and counts for all its records; records are
+    read only for the questions that are answered.
+    """
+    said = records.select("r", F.coalesce(text, F.lit("")).alias("said"))
+    once = store(said.groupBy("said").agg(F.count("*").alias("n")), "lookup-texts")
+    hits = store(containing(questions, once.select(F.col("said").alias("r"), F.col("said").alias("text"))).withColumnRenamed("r", "said"), "lookup-hits")
+    total = hits.join(once, "said").groupBy("q").agg(F.sum("n").alias("total"))
     told = questions.select("q").distinct().join(total, "q", "left").select("q", F.coalesce("total", F.lit(0)).alias("total"))
-    told = told.withColumn("too_broad", F.col("total") > too_broad)
-    kept = hits.join(told.filter("not too_broad"), "q", "left_semi").groupBy("q").agg(F.array_sort(F.collect_list("r")).alias("records"))
+    told = store(told.withColumn("too_broad", F.col("total") > too_broad), "lookup-totals")
+    answered = hits.join(told.filter("not too_broad"), "q", "left_semi")
+    kept = answered.join(said, "said").groupBy("q").agg(F.array_sort(F.collect_list("r")).alias("records"))
     return told.join(kept, "q", "left")
 
 
-def by_name(questions: DataFrame, records: DataFrame, text: str, too_broad: int = TOO_BROAD) -> DataFrame:
-    """Records whose text contains a phrase; more than `too_broad` are a refusal."""
-    hits = store(containing(questions, records.select("r", F.col(text).alias("text"))), "lookup-hits")
-    return counted(questions, hits, too_broad)
-
-
 def by_firm(questions: DataFrame, records: DataFrame, too_broad: int = TOO_BROAD) -> DataFrame:
     """(q, field, total, too_broad, records): records of a firm by a piece of its name, of four letters at least.
 

@@ -123,3 +123,14 @@ def test_known_numerals_stay(spark):
 
     cases = [("Mercury II", ["ii"]), ("Mercury II", ["IV"]), ("Mercury II IV", ["II"]), ("Mercury IV.", None), ("Mercury", ["II"])]
     assert of(spark, cases, M.tidy_mark(F.col("v"), F.col("k")), schema="v string, k array<string>") == ["Mercury II", "Mercury", "Mercury II", "Mercury", "Mercury"]
+
+
+def test_equal_texts_are_looked_at_once(spark, monkeypatch):
+    """What is stored grows with different texts and not with records; broad questions read no records."""
+    kept, plain = {}, lookup.store
+    monkeypatch.setattr(lookup, "store", lambda df, name: kept.setdefault(name, plain(df, name)))
+    records = spark.createDataFrame([(i, "Лампа" if i < 6 else None if i == 6 else "Лампа X") for i in range(9)], "r int, title string")
+    asked = spark.createDataFrame([("a", "лампа"), ("b", "X"), ("c", "нет"), ("d", None)], "q string, phrase string")
+    got = sorted(tuple(r) for r in lookup.by_name(asked, records, "title", too_broad=5).collect())
+    assert got == [("a", 8, True, None), ("b", 2, False, [7, 8]), ("c", 0, False, None), ("d", 0, False, None)]
+    assert kept["lookup-hits"].count() == 3
