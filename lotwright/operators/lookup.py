@@ -120,11 +120,13 @@ def by_card_name(questions: DataFrame, cards: DataFrame, most: int = MOST_CARDS,
     kinds = questions.select("q", F.col("name").alias("kind"))
     start = lambda w: F.left(w, F.lit(5))
     first = kinds.select("kind", start(F.get(E.kind_words(F.col("kind")), F.lit(0))).alias("start")).distinct()
-    words = once.select("code", "card", F.explode(F.array_distinct(F.transform(E.kind_words(F.col("card")), start))).alias("start"))
+    # equal names are graded once, for all their codes
+    names = once.select("card").distinct()
+    words = names.select("card", F.explode(F.array_distinct(F.transform(E.kind_words(F.col("card")), start))).alias("start"))
     same = kinds.select("kind", _letters(F.col("kind")).alias("letters")).filter("letters <> ''").distinct()
-    pairs = first.join(words, "start").select("kind", "code", "card").union(same.join(once.select("code", "card", _letters(F.col("card")).alias("letters")), "letters").select("kind", "code", "card")).distinct()
+    pairs = first.join(words, "start").select("kind", "card").union(same.join(names.select("card", _letters(F.col("card")).alias("letters")), "letters").select("kind", "card")).distinct()
     exact = (_letters(F.col("kind")) == _letters(F.col("card"))) & (_letters(F.col("kind")) != "")
-    graded = pairs.withColumn("exact", exact).withColumn("match", F.when(F.col("exact"), 1.0).otherwise(E.name_match(F.col("kind"), F.col("card")))).filter(F.col("match") >= least)
+    graded = pairs.withColumn("exact", exact).withColumn("match", F.when(F.col("exact"), 1.0).otherwise(E.name_match(F.col("kind"), F.col("card")))).filter(F.col("match") >= least).join(once, "card")
     of_kind = Window.partitionBy("kind")
     placed = graded.withColumn("place", F.row_number().over(of_kind.orderBy(F.desc("exact"), F.desc("match"), "code"))).withColumn("found", F.count("*").over(of_kind))
     kept = placed.filter(F.col("place") <= most)
